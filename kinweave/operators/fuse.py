@@ -107,17 +107,18 @@ def observations(records: DataFrame, fields: tuple[str, ...] | None = None) -> D
     def fact(field: str, key: Column, value: Column) -> Column:
         return F.struct(F.lit(field).alias("field"), key.alias("key"), value.alias("value"))
 
+    def items(field: str) -> Column:
+        show = struct_text if field in STRUCT_FIELDS else (lambda x: x)
+        return F.coalesce(
+            F.transform(F.col(field), lambda x: fact(field, _item_key(field, x), show(x))),
+            F.array().cast("array<struct<field:string,key:string,value:string>>"),
+        )
+
     scalars = [fact(f, _scalar_text(f), _scalar_text(f)) for f in S.SCALAR_FIELDS if f in wanted]
     parts = [F.array(*scalars)] if scalars else []
     for f in S.LIST_FIELDS:
         if f in wanted:
-            show = struct_text if f in STRUCT_FIELDS else (lambda x: x)
-            parts.append(
-                F.coalesce(
-                    F.transform(F.col(f), lambda x, f=f, show=show: fact(f, _item_key(f, x), show(x))),
-                    F.array().cast("array<struct<field:string,key:string,value:string>>"),
-                )
-            )
+            parts.append(items(f))
     order = F.struct(
         *([F.col("group_seq")] if "group_seq" in records.columns else []), F.col("record_seq")
     )
@@ -280,6 +281,14 @@ def _typed(field: str, value: Column) -> Column:
     return value
 
 
+def _entries_of(field: str) -> Column:
+    return F.filter("entries", lambda e: e["field"] == field)
+
+
+def _typed_items(field: str) -> Column:
+    return F.transform(F.col(f"_{field}"), lambda e: _typed(field, e["value"]))
+
+
 CONFLICT = T.StructType(
     [
         T.StructField("winner", T.StringType()),
@@ -321,8 +330,7 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     lists = [f for f in S.LIST_FIELDS if f in wanted]
     head = F.col("page") == 0
     d = gathered
-    for f in (*scalars, *lists):
-        d = d.withColumn(f"_{f}", F.filter("entries", lambda e, f=f: e["field"] == f))
+    d = d.withColumns({f"_{f}": _entries_of(f) for f in (*scalars, *lists)})
 
     def first(f: str) -> Column:
         return F.when(head, F.try_element_at(F.col(f"_{f}"), F.lit(1)))
@@ -347,7 +355,7 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     }
     values = [
         F.col(ID) if f == ID else _typed(f, first(f)["value"]).alias(f) for f in scalars
-    ] + [F.transform(F.col(f"_{f}"), lambda e, f=f: _typed(f, e["value"])).alias(f) for f in lists]
+    ] + [_typed_items(f).alias(f) for f in lists]
     scalar_prov = _map(
         [_pair(f, F.when(head, F.coalesce(first(f)["sources"], F.array().cast(NO_TEXTS)))) for f in scalars],
         NO_TEXTS,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.functions import standardize as N
 from kinweave.operators.components import connected_components
-from kinweave.operators.skew import join_counted
+from kinweave.operators.skew import cut, join_counted
 
 # Name similarity: shared / all tokens >= 17/20, kept in whole numbers.
 NUM, DEN = 17, 20
@@ -123,16 +123,17 @@ def name_places(records: DataFrame) -> DataFrame:
     places nobody else has are dropped before the two meet, except names long
     enough to match a different one.
     """
-    names, places = _names(records), _places(records)
+    names, places = cut(_names(records)), cut(_places(records))
     short = names.where(F.size("tokens") < FUZZY_TOKENS)
-    useful_names = join_counted(short, _shared(short, ["tokens"]), ["tokens"]).unionByName(
+    useful_names = join_counted(short, _shared(short, ["tokens"]), ["tokens"], total=names.count()).unionByName(
         names.where(F.size("tokens") >= FUZZY_TOKENS)
     )
-    useful_places = join_counted(places, _shared(places, ["place_kind", "place"]), ["place_kind", "place"])
+    on = ["place_kind", "place"]
+    useful_places = join_counted(places, _shared(places, on), on, total=places.count())
     return useful_names.join(useful_places, "candidate_id")
 
 
-def star_edges(keys: DataFrame, on: list[str]) -> DataFrame:
+def star_edges(keys: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
     """(a, b): each candidate with the smallest candidate sharing a key."""
     hubs = (
         keys.groupBy(*on)
@@ -140,15 +141,15 @@ def star_edges(keys: DataFrame, on: list[str]) -> DataFrame:
         .where(F.col("n") > 1)
     )
     return (
-        join_counted(keys, hubs, on)
+        join_counted(keys, hubs, on, total=total)
         .select("a", F.col("candidate_id").alias("b"))
         .where(F.col("a") != F.col("b"))
-        .distinct()
     )
 
 
 def strong_edges(records: DataFrame) -> DataFrame:
-    return star_edges(strong_signals(records), ["kind", "key"])
+    signals = cut(strong_signals(records))
+    return star_edges(signals, ["kind", "key"], signals.count()).distinct()
 
 
 # ------------------------------------------------------- similar, not equal ----
@@ -192,7 +193,7 @@ def _deletion_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     the hub. Any two members that match also match the hub, so a star per group
     connects exactly what all pairs would.
     """
-    keys = _deletion_keys(sets, max_tokens)
+    keys = cut(_deletion_keys(sets, max_tokens))
     on = ["place_kind", "place", "kept"]
     hubs = (
         keys.groupBy(*on)
@@ -201,7 +202,7 @@ def _deletion_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     )
     near = F.size("kept") * (DEN - NUM) >= NUM * (F.col("deleted") + F.col("hub.deleted"))
     return (
-        join_counted(keys, hubs, on)
+        join_counted(keys, hubs, on, total=keys.count())
         .where(near & (F.col("hub.candidate_id") != F.col("candidate_id")))
         .select(F.col("hub.candidate_id").alias("a"), F.col("candidate_id").alias("b"))
     )
@@ -245,14 +246,19 @@ def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
 
 def weak_edges(records: DataFrame, max_tokens: int = DELETION_TOKENS) -> DataFrame:
     """Edges between candidates with a matching name and a common city or country."""
-    pairs = name_places(records)
+    pairs = cut(name_places(records))
     on = ["place_kind", "place", "tokens"]
-    equal = star_edges(pairs, on)
+    edges = star_edges(pairs, on, pairs.count())
     # From here one candidate stands for all that share a token set and place.
-    sets = pairs.groupBy(*on).agg(F.min("candidate_id").alias("candidate_id"))
-    sets = sets.where(F.size("tokens") >= FUZZY_TOKENS)
-    similar = _deletion_edges(sets, max_tokens).unionByName(_prefix_edges(sets, max_tokens))
-    return equal.unionByName(similar).distinct()
+    sets = (
+        pairs.where(F.size("tokens") >= FUZZY_TOKENS).groupBy(*on).agg(F.min("candidate_id").alias("candidate_id"))
+    )
+    longest = pairs.agg(F.max(F.size("tokens"))).first()[0] or 0
+    if longest >= FUZZY_TOKENS:
+        edges = edges.unionByName(_deletion_edges(sets, min(max_tokens, longest)))
+    if longest > max_tokens:
+        edges = edges.unionByName(_prefix_edges(cut(sets), max_tokens))
+    return edges.distinct()
 
 
 # ------------------------------------------------------------- resolution ----

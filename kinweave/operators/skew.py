@@ -41,7 +41,8 @@ def join_counted(
 
     Heavy keys are joined map-side through a broadcast of fewer than ``share``
     rows, so their rows are never shuffled to one task. All other keys take an
-    ordinary shuffle join. ``total`` is the number of left rows where the caller
+    ordinary shuffle join. Both inputs are read more than once, so materialise
+    them first where they are costly. ``total`` is the number of left rows where the caller
     knows it: up to ``floor`` rows no key can be heavy and one join is enough.
     """
     if total is not None and total <= floor:

@@ -391,18 +391,22 @@ found AS (
   UNION ALL
   SELECT id, 'phone', unnest(list_distinct(regexp_extract_all(t, '\\+?\\d[\\d\\s().-]{{7,}}\\d'))) FROM texts
   UNION ALL
-  SELECT id, 'link', unnest(list_distinct(regexp_extract_all(t, 'https?://[^\\s)>,]+'))) FROM texts)
-SELECT id, kind, raw, CASE kind
-  WHEN 'email' THEN CASE WHEN regexp_matches(lower(raw), '^[a-z0-9_]') THEN lower(raw) END
-  WHEN 'link' THEN NULL
-  ELSE CASE WHEN raw LIKE '+%' THEN NULL
-       WHEN regexp_matches(regexp_replace(raw, '[^0-9]', '', 'g'), '^1?[2-9][0-9]{{9}}$')
-       THEN '+1' || right(regexp_replace(raw, '[^0-9]', '', 'g'), 10) END END AS clean
-FROM found WHERE kind <> 'link' AND NOT (kind = 'phone' AND raw LIKE '+%')
+  SELECT id, 'link', unnest(list_distinct(regexp_extract_all(t, 'https?://[^\\s)>,]+'))) FROM texts),
+digits AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM found),
+plan AS (SELECT *, CASE WHEN kind = 'phone' AND raw LIKE '+%'
+  THEN regexp_replace(d, '^(44|91|49|33|61|55|81|86|82|98)0', '\\1') ELSE d END AS n FROM digits)
+SELECT id, kind, raw, CASE
+  WHEN kind = 'email' THEN CASE WHEN regexp_matches(lower(raw), '^[a-z0-9_]') THEN lower(raw) END
+  WHEN kind = 'link' THEN lower(regexp_extract(raw, '^(https?://[^/?#]+)', 1)) ||
+    regexp_replace(regexp_extract(raw, '^https?://[^/?#]+([^?#]*)', 1), '/$', '') || regexp_extract(raw, '^[^?#]*(\\?[^#]*)', 1)
+  WHEN raw LIKE '+%' THEN CASE WHEN regexp_matches(n, '^(1[2-9]\\d{{9}}|52[1-9]\\d{{9}}|44[1-9]\\d{{8,9}}|91[1-9]\\d{{9}}|49[1-9]\\d{{5,10}}|33[1-9]\\d{{8}}|61[1-578]\\d{{8}}|65[3689]\\d{{7}}|55[1-9]\\d{{9,10}}|81[1-9]\\d{{8,9}}|86[1-9]\\d{{9,10}}|82[1-9]\\d{{7,9}}|98[1-9]\\d{{9}})$')
+    THEN '+' || n END
+  WHEN regexp_matches(n, '^1?[2-9][0-9]{{9}}$') THEN '+1' || right(n, 10) END AS clean
+FROM plan
 """,
 )
 def mine_contacts(spark, sf):
-    """Raw matches of mail addresses and national numbers with their clean form."""
+    """Raw matches of mail addresses, numbers and links with their clean form."""
     t = F.col("t")
 
     def hits(kind, pattern, clean):
@@ -411,7 +415,9 @@ def mine_contacts(spark, sf):
         )
 
     found = F.concat(
-        hits("email", X.NOTE_EMAIL, N.email), F.filter(hits("phone", X.PHONE, lambda r: N.phone(r)), lambda h: ~h["raw"].startswith("+"))
+        hits("email", X.NOTE_EMAIL, N.email),
+        hits("phone", X.PHONE, lambda r: N.phone(r)),
+        hits("link", X.NOTE_LINK, N.url),
     )
     return _texts(spark, sf).select("id", F.explode(found).alias("h")).select("id", "h.kind", "h.raw", "h.clean")
 

@@ -1 +1,193 @@
-"""Queries."""
+"""Linking: signals, edges, components, rewrites."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinweave.operators import link
+from kinweave.operators.components import connected_components
+from kinweave.plans import report
+from workload.base import EDGES, STD, query, rec_records, table
+
+
+@query("signals", f"WITH RECURSIVE {STD} {EDGES} SELECT candidate_id, kind, key FROM signals")
+def signals(spark, sf):
+    return link.strong_signals(rec_records(spark, sf))
+
+
+@query(
+    "signal_overlap",
+    f"""WITH {STD},
+g AS (SELECT candidate_id, list_distinct(list(phone) FILTER (phone IS NOT NULL)) AS phones, min(k) AS k FROM std WHERE candidate_id IS NOT NULL GROUP BY candidate_id)
+SELECT x.candidate_id AS a, y.candidate_id AS b, coalesce(list_has_any(x.phones, y.phones), false) AS overlap
+FROM g x JOIN g y ON y.k = x.k AND x.candidate_id < y.candidate_id""",
+)
+def signal_overlap(spark, sf):
+    """Do two groups of the same customer share a phone?"""
+    g = (
+        rec_records(spark, sf)
+        .where(F.col("candidate_id").isNotNull())
+        .groupBy("candidate_id")
+        .agg(F.array_distinct(F.flatten(F.collect_list("phones"))).alias("phones"), F.min("record_seq.pos").alias("k"))
+    )
+    x, y = g.alias("x"), g.alias("y")
+    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.candidate_id") < F.col("y.candidate_id"))).select(
+        F.col("x.candidate_id").alias("a"), F.col("y.candidate_id").alias("b"),
+        link.signal_overlap(F.col("x.phones"), F.col("y.phones")).alias("overlap"),
+    )
+
+
+@query("link_strong", f"WITH RECURSIVE {STD} {EDGES} SELECT a, b FROM strong")
+def link_strong(spark, sf):
+    return link.strong_edges(rec_records(spark, sf))
+
+
+@query("link_weak", f"WITH RECURSIVE {STD} {EDGES} SELECT a, b FROM weak")
+def link_weak(spark, sf):
+    return link.weak_edges(rec_records(spark, sf))
+
+
+# Long names: the words of all of a customer's part, segment, nation and numbers.
+_LONG = """
+people AS (
+  SELECT 'c' || c_custkey AS id, 'City ' || c_custkey % 40 AS city,
+         'item ' || p_name || ' of ' || p_brand || ' ' || p_type || ' for ' || c_mktsegment || ' in ' || n_name ||
+         ' size' || p_size % 3 || CASE WHEN c_custkey % 3 = 0 THEN ' extra' ELSE '' END ||
+         CASE WHEN c_custkey % 2 = 0 THEN ' long delivery note with seal' ELSE '' END AS name
+  FROM customer JOIN nation ON n_nationkey = c_custkey % 3 JOIN part ON p_partkey = c_custkey % 50),
+sets AS (SELECT id, lower(city) AS city, list_distinct(string_split(lower(name), ' ')) AS tokens FROM people)"""
+
+
+def _long_people(spark, sf):
+    k = F.col("c_custkey")
+    name = F.concat(
+        F.lit("item "), "p_name", F.lit(" of "), "p_brand", F.lit(" "), "p_type", F.lit(" for "), "c_mktsegment",
+        F.lit(" in "), "n_name", F.lit(" size"), (F.col("p_size") % 3).cast("string"),
+        F.when(k % 3 == 0, " extra").otherwise(""),
+        F.when(k % 2 == 0, " long delivery note with seal").otherwise(""),
+    )
+    none = F.lit(None).cast("string")
+    c, n, p = (table(spark, sf, t) for t in ("customer", "nation", "part"))
+    return (
+        c.join(n, F.col("n_nationkey") == k % 3)
+        .join(p, F.col("p_partkey") == k % 50)
+        .select(
+            F.concat(F.lit("c"), k.cast("string")).alias("candidate_id"),
+            name.alias("full_name"),
+            F.struct(
+                F.concat(F.lit("City "), (k % 40).cast("string")).alias("city"), none.alias("region"),
+                none.alias("country"), none.alias("raw"),
+            ).alias("location"),
+        )
+    )
+
+
+@query(
+    "link_weak_long_names",
+    f"""
+WITH RECURSIVE {_LONG},
+sym AS (
+  SELECT x.id AS a, y.id AS b FROM sets x JOIN sets y ON x.city = y.city
+  WHERE len(list_intersect(x.tokens, y.tokens)) * 20 >= 17 * (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens)))),
+reach(x, y) AS (SELECT a, a FROM sym UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y)
+SELECT x AS id, min(y) AS root FROM reach GROUP BY x HAVING count(*) > 1
+""",
+)
+def link_weak_long_names(spark, sf):
+    """Clusters of similar long names in the same city (SQL compares all pairs)."""
+    return connected_components(link.weak_edges(_long_people(spark, sf)))
+
+
+@query(
+    "name_jaccard",
+    """
+WITH n AS (SELECT DISTINCT p_name FROM part),
+t AS (SELECT p_name, string_split(lower(p_name), ' ') AS w FROM n)
+SELECT x.p_name AS a, y.p_name AS b,
+  round(len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(x.w || y.w)), 6) AS similarity,
+  len(list_intersect(x.w, y.w)) * 20 >= 17 * len(list_distinct(x.w || y.w)) AS name_match
+FROM t x JOIN t y ON x.w[1] = y.w[1] AND x.p_name <= y.p_name
+""",
+)
+def name_jaccard(spark, sf):
+    """Pairwise predicate over distinct names that share their first word."""
+    n = table(spark, sf, "part").select("p_name").distinct().withColumn("w", F.element_at(F.split("p_name", " "), 1))
+    x, y = n.select(F.col("p_name").alias("a"), "w"), n.select(F.col("p_name").alias("b"), "w")
+    pairs = x.join(y, "w").where(F.col("a") <= F.col("b"))
+    tokens = [link.name_tokens(F.col(c)) for c in ("a", "b")]
+    return pairs.select(
+        "a", "b", F.round(link.token_similarity(*tokens), 6).alias("similarity"),
+        link.name_match(F.col("a"), F.col("b")).alias("name_match"),
+    )
+
+
+@query(
+    "place_match",
+    f"""WITH {STD}
+SELECT x.k, x.source AS sa, y.source AS sb,
+  coalesce(lower(x.city) = lower(y.city), false) OR coalesce(x.country = y.country, false) AS place_match
+FROM std x JOIN std y ON x.k = y.k AND x.block < y.block""",
+)
+def place_match(spark, sf):
+    r = rec_records(spark, sf).select(F.col("record_seq.pos").alias("k"), F.col("record_seq.block").alias("o"), "source", "location")
+    x, y = r.alias("x"), r.alias("y")
+    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.o") < F.col("y.o"))).select(
+        F.col("x.k").alias("k"), F.col("x.source").alias("sa"), F.col("y.source").alias("sb"),
+        link.place_match(F.col("x.location"), F.col("y.location")).alias("place_match"),
+    )
+
+
+@query(
+    "resolve_components",
+    f"WITH RECURSIVE {STD} {EDGES} SELECT old_id, new_id FROM rewrite",
+)
+def resolve_components(spark, sf):
+    return link.resolve(rec_records(spark, sf))
+
+
+@query(
+    "merge_audit",
+    f"WITH RECURSIVE {STD} {EDGES} SELECT old_id AS from_id, new_id AS into_id FROM rewrite WHERE old_id <> new_id",
+)
+def merge_audit(spark, sf):
+    return link.merge_audit(link.resolve(rec_records(spark, sf)))
+
+
+@query(
+    "apply_rewrite",
+    f"""WITH RECURSIVE {STD} {EDGES}
+SELECT s.k, s.source, s.candidate_id AS old_id, coalesce(new_id, s.candidate_id) AS candidate_id
+FROM std s LEFT JOIN rewrite ON old_id = s.candidate_id WHERE s.candidate_id IS NOT NULL""",
+)
+def apply_rewrite(spark, sf):
+    r = rec_records(spark, sf)
+    return link.apply_rewrite(r, link.resolve(r)).select(
+        F.col("record_seq.pos").alias("k"), "source", "old_id", "candidate_id"
+    )
+
+
+@query("orphans", f"WITH {STD} SELECT k, source FROM std WHERE candidate_id IS NULL")
+def orphans(spark, sf):
+    return link.orphans(rec_records(spark, sf)).select(F.col("record_seq.pos").alias("k"), "source")
+
+
+@query(
+    "records_per_id",
+    f"WITH {STD} SELECT candidate_id, count(*) AS records FROM std WHERE candidate_id IS NOT NULL GROUP BY candidate_id",
+)
+def records_per_id(spark, sf):
+    r = rec_records(spark, sf)
+    return r.where(F.col("candidate_id") != "").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    "run_stats",
+    f"""WITH RECURSIVE {STD} {EDGES}
+SELECT (SELECT count(*) FROM std) AS total_records, (SELECT count(*) FROM std WHERE candidate_id IS NULL) AS orphan_records,
+  0 AS files, (SELECT count(DISTINCT candidate_id) FROM std) AS groups_before,
+  (SELECT count(DISTINCT candidate_id) FROM std) - (SELECT count(*) FROM rewrite WHERE old_id <> new_id) AS groups_after,
+  (SELECT count(*) FROM rewrite WHERE old_id <> new_id) AS merges""",
+)
+def run_stats(spark, sf):
+    r = rec_records(spark, sf)
+    return report.run_stats(r, link.resolve(r))

@@ -1 +1,310 @@
-"""Queries."""
+"""Projection, validation, reports and the whole job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinweave import schema as S
+from kinweave.operators import fuse, link
+from kinweave.plans import config as C, project as P, report
+from kinweave.plans.unify import unify
+from workload.base import EDGES, FUSED, STD, canonical, query, rec_records
+
+SCALAR_SQL = "('full_name', 'headline', 'location', 'years_experience', 'candidate_id')"
+
+# One row per candidate with the winners and joined lists, for the SQL forms.
+WIDE = FUSED + """,
+wide AS (
+  SELECT candidate_id,
+    max(value) FILTER (field = 'full_name' AND rn = 1) AS full_name,
+    max(value) FILTER (field = 'headline' AND rn = 1) AS headline,
+    max(value) FILTER (field = 'location' AND rn = 1) AS location,
+    (max(value) FILTER (field = 'years_experience' AND rn = 1))::DOUBLE AS yoe,
+    list(value ORDER BY rn) FILTER (field = 'emails') AS emails,
+    list(value ORDER BY rn) FILTER (field = 'phones') AS phones,
+    list(value ORDER BY rn) FILTER (field = 'skills') AS skills,
+    list(value ORDER BY rn) FILTER (field = 'links') AS links,
+    list(value ORDER BY rn) FILTER (field = 'experience') AS experience,
+    list(value ORDER BY rn) FILTER (field = 'education') AS education
+  FROM ranked GROUP BY candidate_id),
+overall AS (SELECT candidate_id, round(sum(confidence::DECIMAL(10,3)) / count(*), 3)::DOUBLE AS overall_confidence
+  FROM conf WHERE confidence > 0 GROUP BY candidate_id)"""
+
+
+def _cfg(fields, policy="null", provenance=False, confidence=False):
+    return {
+        "fields": [{"key": k, "from": f, **({"normalize": n} if n else {})} for k, f, n in fields],
+        "missing_policy": policy, "include_provenance": provenance, "include_confidence": confidence,
+    }
+
+
+@query(
+    "project_paths",
+    f"""WITH {WIDE} SELECT candidate_id AS id, emails[1] AS first_email, phones[2] AS second_phone,
+  json_extract_string(location, '$.city') AS city, json_extract_string(links[1], '$.url') AS first_link,
+  json_extract_string(experience[1], '$.company') AS company, NULL::VARCHAR AS nowhere, NULL::VARCHAR AS inside_text FROM wide""",
+)
+def project_paths(spark, sf):
+    cfg = _cfg([
+        ("id", "candidate_id", None), ("first_email", "emails[0]", None), ("second_phone", "phones[1]", None),
+        ("city", "location.city", None), ("first_link", "links[0].url", None), ("company", "experience[0].company", None),
+        ("nowhere", "salary.amount", None), ("inside_text", "full_name.first", None),
+    ])
+    return P.project(canonical(spark, sf), cfg).drop("candidate_id", "page", "missing_keys")
+
+
+@query(
+    "project_slim",
+    f"""WITH {WIDE} SELECT candidate_id AS id, headline AS title, yoe, coalesce(array_to_string(skills, '|'), '-') AS top_skills FROM wide""",
+)
+def project_slim(spark, sf):
+    cfg = _cfg([("id", "candidate_id", None), ("title", "headline", None), ("yoe", "years_experience", None), ("top_skills", "skills", None)])
+    out = P.project(canonical(spark, sf), cfg)
+    return out.select("id", "title", "yoe", F.coalesce(F.array_join("top_skills", "|"), F.lit("-")).alias("top_skills"))
+
+
+@query(
+    "project_normalized",
+    f"""WITH {WIDE} SELECT candidate_id AS id, upper(full_name) AS loud, lower(headline) AS quiet,
+  array_to_string(list_transform(emails, lambda e: lower(e)), '|') AS mails, phones[1] AS phone,
+  array_to_string(list_sort(list_transform(skills, lambda s: s)), '|') AS skill_set,
+  json_extract_string(location, '$.country') AS country, NULL::VARCHAR AS date_of_name FROM wide""",
+)
+def project_normalized(spark, sf):
+    cfg = _cfg([
+        ("id", "candidate_id", None), ("loud", "full_name", "uppercase"), ("quiet", "headline", "lowercase"),
+        ("mails", "emails", "email"), ("phone", "phones[0]", "phone"), ("skill_set", "skills", "skill"),
+        ("country", "location.country", "country"), ("date_of_name", "full_name", "date"),
+    ])
+    out = P.project(canonical(spark, sf), cfg)
+    return out.select(
+        "id", "loud", "quiet", F.array_join("mails", "|").alias("mails"), "phone",
+        F.array_join("skill_set", "|").alias("skill_set"), "country", "date_of_name",
+    )
+
+
+@query(
+    "project_missing_null",
+    f"""WITH {WIDE} SELECT candidate_id AS id, array_to_string(phones, '|') AS phones, full_name AS name,
+  (CASE WHEN phones IS NULL THEN 1 ELSE 0 END + CASE WHEN full_name IS NULL THEN 1 ELSE 0 END) AS n_missing FROM wide""",
+)
+def project_missing_null(spark, sf):
+    cfg = _cfg([("id", "candidate_id", None), ("phones", "phones", None), ("name", "full_name", None)])
+    out = P.project(canonical(spark, sf), cfg)
+    return out.select("id", F.array_join("phones", "|").alias("phones"), "name", F.size("missing_keys").cast("long").alias("n_missing"))
+
+
+@query(
+    "project_missing_omit",
+    f"""WITH {WIDE} SELECT candidate_id, '{{"id":"' || candidate_id || '"' || coalesce(',"name":"' || full_name || '"', '') ||
+  coalesce(',"phone":"' || phones[1] || '"', '') || coalesce(',"title":"' || headline || '"', '') || '}}' AS output FROM wide""",
+)
+def project_missing_omit(spark, sf):
+    """JSON outputs: absent keys are left out."""
+    cfg = _cfg([("id", "candidate_id", None), ("name", "full_name", None), ("phone", "phones[0]", None), ("title", "headline", None)], "omit")
+    return P.documents(canonical(spark, sf), cfg).select("candidate_id", "output")
+
+
+@query(
+    "project_provenance",
+    f"""WITH {FUSED}
+SELECT candidate_id, CASE field WHEN 'full_name' THEN 'name' WHEN 'emails' THEN 'primary_email' ELSE field END AS key,
+  CASE WHEN field IN {SCALAR_SQL} THEN '' ELSE key END AS item, array_to_string(sources, ',') AS sources
+FROM ranked WHERE (field IN ('full_name', 'headline') AND rn = 1) OR field IN ('emails', 'skills')""",
+)
+def project_provenance(spark, sf):
+    cfg = _cfg([("name", "full_name", None), ("headline", "headline", None), ("primary_email", "emails[0]", None), ("skills", "skills", None)], provenance=True)
+    out = P.project(canonical(spark, sf), cfg)
+    s = out.select("candidate_id", F.explode("provenance.scalars").alias("key", "s")).select(
+        "candidate_id", "key", F.lit("").alias("item"), F.array_join("s", ",").alias("sources")
+    ).where(F.col("sources") != "")
+    li = out.select("candidate_id", F.explode("provenance.lists").alias("key", "m")).select(
+        "candidate_id", "key", F.explode("m").alias("item", "s")
+    )
+    return s.unionByName(li.select("candidate_id", "key", "item", F.array_join("s", ",").alias("sources")))
+
+
+@query(
+    "project_confidence",
+    f"""WITH {WIDE}
+SELECT w.candidate_id, k.key, coalesce(c.confidence, 0.0) AS confidence, overall_confidence,
+  coalesce((SELECT count(*) FROM ranked r WHERE r.candidate_id = w.candidate_id AND rn = 1 AND n > 1 AND field IN {SCALAR_SQL}), 0) AS n_conflicts
+FROM wide w CROSS JOIN (VALUES ('name', 'full_name'), ('yoe', 'years_experience'), ('mail', 'emails')) k(key, field)
+LEFT JOIN conf c ON c.candidate_id = w.candidate_id AND c.field = k.field JOIN overall o ON o.candidate_id = w.candidate_id""",
+)
+def project_confidence(spark, sf):
+    cfg = _cfg([("name", "full_name", None), ("yoe", "years_experience", None), ("mail", "emails[0]", None)], confidence=True)
+    out = P.project(canonical(spark, sf), cfg)
+    n = F.coalesce(F.size("conflicts"), F.lit(0))
+    return out.select(
+        "candidate_id", "overall_confidence", F.when(n > 0, n).otherwise(0).cast("long").alias("n_conflicts"),
+        F.explode("field_confidence").alias("key", "confidence"),
+    )
+
+
+_PRESET_COLUMNS = {
+    "default": """candidate_id, full_name, array_to_string(emails, '|') AS emails, array_to_string(phones, '|') AS phones,
+  location, headline, yoe AS years_experience, array_to_string(skills, '|') AS skills, array_to_string(links, '|') AS links,
+  array_to_string(experience, '|') AS experience, array_to_string(education, '|') AS education, overall_confidence""",
+    "hiring": """candidate_id, full_name AS name, headline, array_to_string(skills, '|') AS skills,
+  array_to_string(experience, '|') AS experience, array_to_string(education, '|') AS education, overall_confidence""",
+    "slim": """candidate_id AS id, full_name AS name, emails[1] AS primary_email, phones[1] AS primary_phone,
+  json_extract_string(location, '$.country') AS country, json_extract_string(location, '$.city') AS city, headline AS title, yoe,
+  array_to_string(list_sort(skills), '|') AS top_skills, overall_confidence""",
+}
+
+
+def _texts(df, keep=()):
+    """Flatten lists and structs to text so that both engines show the same columns."""
+    cols = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f.name)
+        if kind == "array<string>":
+            c = F.array_join(c, "|")
+        elif kind.startswith("array<struct"):
+            c = F.array_join(F.transform(c, fuse.struct_text), "|")
+        elif kind.startswith("struct<city"):
+            c = fuse.struct_text(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def _preset(name):
+    @query(f"preset_{name}", f"WITH {WIDE} SELECT {_PRESET_COLUMNS[name]} FROM wide JOIN overall USING (candidate_id)")
+    def run(spark, sf):
+        cfg = C.PRESETS[name]
+        out = P.project(canonical(spark, sf), cfg)
+        return _texts(out.select(*[f["key"] for f in cfg["fields"]], "overall_confidence"))
+
+    return run
+
+
+for _name in C.PRESETS:
+    _preset(_name)
+
+
+@query(
+    "project_default",
+    f"""WITH {WIDE} SELECT full_name, headline, location, yoe AS years_experience, candidate_id,
+  array_to_string(emails, '|') AS emails, array_to_string(phones, '|') AS phones, array_to_string(links, '|') AS links,
+  array_to_string(skills, '|') AS skills, array_to_string(experience, '|') AS experience, array_to_string(education, '|') AS education
+FROM wide""",
+)
+def project_default(spark, sf):
+    """No configuration: the full profile."""
+    out = P.project(canonical(spark, sf), None)
+    return _texts(out.select(*S.SCALAR_FIELDS, *S.LIST_FIELDS))
+
+
+@query(
+    "output_validation",
+    f"WITH {WIDE} SELECT candidate_id, true AS valid, 0 AS n_errors FROM wide",
+)
+def output_validation(spark, sf):
+    v = P.output_validation(canonical(spark, sf), C.DEFAULT)
+    return v.select("candidate_id", "valid", F.size("errors").cast("long").alias("n_errors"))
+
+
+# -------------------------------------------------------------- reports ----
+
+
+@query(
+    "profile_table",
+    f"""WITH {WIDE} SELECT coalesce(full_name, '—') AS name, candidate_id AS id, coalesce(emails[1], '—') AS email,
+  coalesce(len(skills), 0) AS n_skills, round(overall_confidence::DECIMAL(10,3), 2)::DOUBLE AS confidence,
+  (SELECT count(*) FROM ranked r WHERE r.candidate_id = wide.candidate_id AND rn = 1 AND n > 1 AND field IN {SCALAR_SQL}) AS n_conflicts
+FROM wide JOIN overall USING (candidate_id)""",
+)
+def profile_table(spark, sf):
+    return report.profile_table(canonical(spark, sf))
+
+
+@query(
+    "profile_summary",
+    f"""WITH {WIDE} SELECT candidate_id, coalesce(full_name, '(no name)') AS name, headline,
+  coalesce(array_to_string(emails, ', '), '') AS emails, coalesce(array_to_string(phones, ', '), '') AS phones,
+  CASE WHEN location IS NULL THEN '—' ELSE concat_ws(', ', json_extract_string(location, '$.city'),
+    json_extract_string(location, '$.region'), json_extract_string(location, '$.country')) END AS place,
+  CASE WHEN len(skills) > 1 THEN skills[1] || ' +' || (len(skills) - 1) || ' more' ELSE coalesce(skills[1], '') END AS skills,
+  coalesce(len(experience), 0) AS roles, coalesce(len(education), 0) AS schools, overall_confidence AS confidence
+FROM wide JOIN overall USING (candidate_id)""",
+)
+def profile_summary(spark, sf):
+    return report.profile_summary(canonical(spark, sf), skills_shown=1).drop("account")
+
+
+@query(
+    "conflict_report",
+    f"""WITH {FUSED} SELECT candidate_id, field, CASE WHEN rn = 1 THEN 'winner' ELSE 'alternate' END AS role, value,
+  array_to_string(sources, ',') AS sources, CASE WHEN rn > 1 THEN round(weight, 3)::DOUBLE END AS weight
+FROM ranked WHERE n > 1 AND field IN {SCALAR_SQL}""",
+)
+def conflict_report(spark, sf):
+    return report.conflict_report(canonical(spark, sf))
+
+
+@query(
+    "confidence_bands",
+    f"""WITH {WIDE} SELECT CASE WHEN overall_confidence >= 0.75 THEN 'good' WHEN overall_confidence >= 0.5 THEN 'fair' ELSE 'poor' END AS band,
+  count(*) AS profiles FROM overall GROUP BY 1""",
+)
+def confidence_bands(spark, sf):
+    return report.confidence_bands(canonical(spark, sf))
+
+
+@query(
+    "profile_search",
+    f"""WITH {WIDE} SELECT candidate_id FROM wide
+WHERE contains(lower(concat_ws(' ', candidate_id, full_name, headline, location, array_to_string(emails, ' '), array_to_string(phones, ' '),
+  array_to_string(skills, ' '), array_to_string(links, ' '), array_to_string(experience, ' '), array_to_string(education, ' '))), 'machinery')""",
+)
+def profile_search(spark, sf):
+    return report.profile_search(canonical(spark, sf), " MACHINERY ").select("candidate_id")
+
+
+# ------------------------------------------------------------ whole job ----
+
+MERGED = """
+WITH RECURSIVE """ + STD + EDGES + """,
+merged AS (
+  SELECT s.*, coalesce(new_id, candidate_id) AS cid,
+    (CASE source WHEN 'ats_json' THEN 1.0 WHEN 'recruiter_csv' THEN 0.85 WHEN 'resume' THEN 0.7 ELSE 0.4 END)::DECIMAL(4,3) * confidence AS w
+  FROM std s LEFT JOIN rewrite ON old_id = candidate_id WHERE candidate_id IS NOT NULL),
+obs AS (
+  SELECT cid, 'full_name' AS field, full_name AS v, '"' || full_name || '"' AS txt, source, w FROM merged WHERE full_name IS NOT NULL
+  UNION ALL SELECT cid, 'headline', headline, '"' || headline || '"', source, w FROM merged WHERE headline IS NOT NULL
+  UNION ALL SELECT cid, 'location', l, l, source, w
+    FROM (SELECT *, '{"city":"' || city || '","region":' || coalesce('"' || region || '"', 'null') || ',"country":' ||
+               coalesce('"' || country || '"', 'null') || ',"raw":"' || raw_location || '"}' AS l FROM merged) WHERE l IS NOT NULL
+  UNION ALL SELECT cid, 'years_experience', yoe::VARCHAR, yoe::VARCHAR, source, w FROM merged
+  UNION ALL SELECT cid, 'candidate_id', cid, cid, source, w FROM merged
+  UNION ALL SELECT cid, 'emails', email, '"' || email || '"', source, w FROM merged WHERE email IS NOT NULL
+  UNION ALL SELECT cid, 'phones', phone, '"' || phone || '"', source, w FROM merged WHERE phone IS NOT NULL),
+f AS (SELECT cid, field, v, txt, sum(w) AS weight FROM obs GROUP BY cid, field, v, txt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cid, field ORDER BY weight DESC, txt) AS rn, count(*) OVER (PARTITION BY cid, field) AS n,
+         sum(weight) OVER (PARTITION BY cid, field) AS total FROM f),
+cf AS (SELECT cid, field, CASE WHEN field IN ('emails', 'phones') THEN least(1.0, round(total / n, 3)::DOUBLE)
+         ELSE round(weight::DECIMAL(18,6) / total, 3)::DOUBLE END AS confidence FROM rk WHERE rn = 1),
+ov AS (SELECT cid, round(sum(confidence::DECIMAL(10,3)) / count(*), 3)::DOUBLE AS overall FROM cf WHERE confidence > 0 GROUP BY cid)
+SELECT cid AS candidate_id, max(v) FILTER (field = 'full_name' AND rn = 1) AS full_name,
+  max(v) FILTER (field = 'headline' AND rn = 1) AS headline,
+  json_extract_string(max(v) FILTER (field = 'location' AND rn = 1), '$.city') AS city,
+  json_extract_string(max(v) FILTER (field = 'location' AND rn = 1), '$.country') AS country,
+  (max(v) FILTER (field = 'years_experience' AND rn = 1))::DOUBLE AS yoe,
+  coalesce(string_agg(v, '|' ORDER BY rn) FILTER (field = 'emails'), '') AS emails,
+  coalesce(string_agg(v, '|' ORDER BY rn) FILTER (field = 'phones'), '') AS phones,
+  count(*) FILTER (rn = 1 AND n > 1 AND field NOT IN ('emails', 'phones')) AS n_conflicts,
+  min(overall) AS overall_confidence
+FROM rk JOIN ov USING (cid) GROUP BY cid"""
+
+
+@query("unify_profiles", MERGED)
+def unify_profiles(spark, sf):
+    """Enrich-free run of the whole job over the contact records."""
+    p = unify(rec_records(spark, sf)).profiles
+    return p.select(
+        "candidate_id", "full_name", "headline", "location.city", "location.country", F.col("years_experience").alias("yoe"),
+        F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"),
+        F.size("conflicts").cast("long").alias("n_conflicts"), "overall_confidence",
+    )

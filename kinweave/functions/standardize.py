@@ -46,9 +46,14 @@ def blank_to_null(c: Column) -> Column:
     return let(c, lambda s: F.when(s != "", s))
 
 
+def sql_text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: Mapping[str, str], key: Column) -> Column:
-    entries = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(sql_text(x) for kv in table.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 # ---------------------------------------------------------------- email ----

@@ -8,11 +8,10 @@ their keys, and both are ordered by weight and then text.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave import schema as S
+from kinweave.functions import standardize as N
 from kinweave.operators.skew import page_within
 
 ID = "candidate_id"
@@ -20,17 +19,13 @@ ID = "candidate_id"
 # further rows (page 1, 2, ...), so a row never grows with the data.
 PAGE_ROWS = 10_000
 
-NO_TEXTS = "array<string>"
-
 
 # -------------------------------------------------------------- weights ----
 
 
 def _trust(source: Column, i: int, other) -> Column:
-    chain = reduce(
-        lambda c, kv: c.when(source == kv[0], F.lit(kv[1][i]).cast(S.CONFIDENCE)), S.SOURCE_TRUST.items(), F
-    )
-    return chain.otherwise(F.lit(other).cast(S.CONFIDENCE))
+    known = N.lookup({name: str(trust[i]) for name, trust in S.SOURCE_TRUST.items()}, source)
+    return F.coalesce(known, F.lit(str(other))).cast(S.CONFIDENCE)
 
 
 def source_weight(source: Column) -> Column:
@@ -46,54 +41,40 @@ def vote_weight(source: Column, confidence: Column) -> Column:
     return (source_weight(source) * filled_confidence(source, confidence)).cast("decimal(8,6)")
 
 
-# ---------------------------------------------------------------- texts ----
-
-
-def number_text(c: Column) -> Column:
-    """A double as shown in JSON: no trailing ``.0``."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
-
-
-def quoted(c: Column) -> Column:
-    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
-
-
-def struct_text(c: Column) -> Column:
-    return F.to_json(c, {"ignoreNullFields": "false"})
-
+# ---------------------------------------------------------------- facts ----
 
-def _lower_or_empty(c: Column) -> Column:
-    return F.coalesce(F.lower(c), F.lit(""))
+STRUCT_FIELDS = ("location", "links", "experience", "education")
 
 
-def _scalar_text(field: str) -> Column:
-    c = F.col(field)
-    if field == "location":
-        return F.when(c.isNotNull(), struct_text(c))
-    if field == "years_experience":
-        return number_text(c)
-    return F.when(F.trim(c) != "", c)
-
-
-def _item_key(field: str, x: Column) -> Column:
-    if field == "phones":
-        return x
-    if field == "links":
-        return F.lower(x["url"])
-    if field == "experience":
-        return F.concat_ws(
-            "|", _lower_or_empty(x["company"]), _lower_or_empty(x["title"]), F.coalesce(x["start_date"], F.lit(""))
-        )
-    if field == "education":
-        return F.concat_ws("|", _lower_or_empty(x["institution"]), _lower_or_empty(x["degree"]))
-    return F.lower(x)
+def _json(c: str) -> str:
+    return f"to_json({c}, map('ignoreNullFields', 'false'))"
 
 
-STRUCT_FIELDS = ("location", "links", "experience", "education")
+# How a scalar is written as text. Numbers look as in JSON, without a trailing ``.0``.
+_SCALAR_TEXT = {
+    "full_name": "full_name",
+    "headline": "headline",
+    "location": _json("location"),
+    "years_experience": "regexp_replace(cast(years_experience AS string), '[.]0$', '')",
+    "candidate_id": "candidate_id",
+}
+# Key and text of a list item x.
+_ITEM = {
+    "emails": ("lower(x)", "x"),
+    "phones": ("x", "x"),
+    "links": ("lower(x.url)", _json("x")),
+    "skills": ("lower(x)", "x"),
+    "experience": (
+        "concat(coalesce(lower(x.company), ''), '|', coalesce(lower(x.title), ''), '|', coalesce(x.start_date, ''))",
+        _json("x"),
+    ),
+    "education": ("concat(coalesce(lower(x.institution), ''), '|', coalesce(lower(x.degree), ''))", _json("x")),
+}
 
 
-# ---------------------------------------------------------------- facts ----
+def _record_order(records: DataFrame) -> str:
+    group = "group_seq, " if "group_seq" in records.columns else ""
+    return f"struct({group}record_seq)"
 
 
 def observations(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -103,36 +84,24 @@ def observations(records: DataFrame, fields: tuple[str, ...] | None = None) -> D
     ``fields`` keeps only what a later projection reads.
     """
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
-
-    def fact(field: str, key: Column, value: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), key.alias("key"), value.alias("value"))
-
-    def items(field: str) -> Column:
-        show = struct_text if field in STRUCT_FIELDS else (lambda x: x)
-        return F.coalesce(
-            F.transform(F.col(field), lambda x: fact(field, _item_key(field, x), show(x))),
-            F.array().cast("array<struct<field:string,key:string,value:string>>"),
-        )
-
-    scalars = [fact(f, _scalar_text(f), _scalar_text(f)) for f in S.SCALAR_FIELDS if f in wanted]
-    parts = [F.array(*scalars)] if scalars else []
-    for f in S.LIST_FIELDS:
-        if f in wanted:
-            parts.append(items(f))
-    order = F.struct(
-        *([F.col("group_seq")] if "group_seq" in records.columns else []), F.col("record_seq")
-    )
+    scalars = [f"struct('{f}' AS field, {t} AS key, {t} AS value)" for f, t in _SCALAR_TEXT.items() if f in wanted]
+    parts = [f"array({', '.join(scalars)})"] if scalars else []
+    parts += [
+        f"coalesce(transform({f}, x -> struct('{f}' AS field, {key} AS key, {text} AS value)), array())"
+        for f, (key, text) in _ITEM.items()
+        if f in wanted
+    ]
     return (
         records.where(F.col(ID) != "")
         .select(
             ID,
             "source",
             vote_weight(F.col("source"), F.col("confidence")).alias("w"),
-            order.alias("seq"),
-            F.explode(F.concat(*parts)).alias("o"),
+            F.expr(_record_order(records)).alias("seq"),
+            F.expr(f"explode(concat({', '.join(parts)}))").alias("o"),
         )
-        .select(ID, "o.field", "o.key", "o.value", "seq", "source", "w")
-        .where(F.col("key") != "")
+        .selectExpr(ID, "o.field", "o.key", "o.value", "seq", "source", "w")
+        .where("trim(key) <> ''")
     )
 
 
@@ -154,7 +123,9 @@ def facts(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFram
 
 def order_text(field: Column, value: Column) -> Column:
     """JSON text of a value: the tie-break after the weight."""
-    return F.when(field.isin(*STRUCT_FIELDS, "years_experience"), value).otherwise(quoted(value))
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = F.concat(F.lit('"'), escaped, F.lit('"'))
+    return F.when(field.isin(*STRUCT_FIELDS, "years_experience"), value).otherwise(plain)
 
 
 def ordered_facts(fact_rows: DataFrame, collation: str | None = None) -> DataFrame:
@@ -216,23 +187,18 @@ def overall_confidence(confidences: DataFrame) -> DataFrame:
 _ENTRY = ["field", "neg", "text", "value", "key", "sources"]
 
 
-def _total_map(entries: Column) -> Column:
+def _total_map(fields: tuple[str, ...]) -> str:
     """field -> (n, total) of the entries in a row."""
-    every = [*S.SCALAR_FIELDS, *S.LIST_FIELDS]
-
-    def pair(f: str) -> Column:
-        mine = F.filter(entries, lambda e: e["field"] == f)
-        return F.struct(
-            F.lit(f).alias("key"),
-            F.struct(
-                F.size(mine).cast("long").alias("n"),
-                F.aggregate(
-                    mine, F.lit(0).cast(S.WEIGHT_SUM), lambda a, e: (a - e["neg"]).cast(S.WEIGHT_SUM)
-                ).alias("total"),
-            ).alias("value"),
+
+    def pair(f: str) -> str:
+        mine = f"filter(entries, e -> e.field = '{f}')"
+        zero = "cast(0 AS decimal(38,6))"
+        return (
+            f"'{f}', struct(cast(size({mine}) AS bigint) AS n, "
+            f"aggregate({mine}, {zero}, (a, e) -> cast(a - e.neg AS decimal(38,6))) AS total)"
         )
 
-    return F.map_from_entries(F.array(*[pair(f) for f in every]))
+    return f"map({', '.join(pair(f) for f in fields)}) AS totals"
 
 
 def gather(fact_rows: DataFrame, page_rows: int = PAGE_ROWS, collation: str | None = None,
@@ -255,7 +221,7 @@ def gather(fact_rows: DataFrame, page_rows: int = PAGE_ROWS, collation: str | No
         paged = not wide.isEmpty()
     if not paged:
         one = collect(rows.withColumn("page", F.lit(0)))
-        return one.withColumn("totals", _total_map(F.col("entries")))
+        return one.selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS)))
     sizes = fact_rows.groupBy(ID, "field").agg(F.count(F.lit(1)).alias("n"))
     wide = sizes.where(F.col("n") > page_rows).select(ID).distinct()
     narrow = collect(rows.join(wide, ID, "left_anti").withColumn("page", F.lit(0)))
@@ -268,55 +234,39 @@ def gather(fact_rows: DataFrame, page_rows: int = PAGE_ROWS, collation: str | No
         .groupBy(ID)
         .agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("n", "total")))).alias("totals"))
     )
-    return narrow.withColumn("totals", _total_map(F.col("entries"))).unionByName(pages.join(per_field, ID))
+    return narrow.selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS))).unionByName(
+        pages.join(per_field, ID)
+    )
 
 
-def _typed(field: str, value: Column) -> Column:
-    if field == "location":
-        return F.from_json(value, S.LOCATION)
+def _typed(field: str, text: str) -> str:
+    """SQL that turns the text of a value back into its type."""
     if field == "years_experience":
-        return value.cast("double")
+        return f"cast({text} AS double)"
     if field in STRUCT_FIELDS:
-        return F.from_json(value, S.CANONICAL_TYPES[field].elementType)
-    return value
-
-
-def _entries_of(field: str) -> Column:
-    return F.filter("entries", lambda e: e["field"] == field)
-
-
-def _typed_items(field: str) -> Column:
-    return F.transform(F.col(f"_{field}"), lambda e: _typed(field, e["value"]))
-
-
-CONFLICT = T.StructType(
-    [
-        T.StructField("winner", T.StringType()),
-        T.StructField("winning_sources", T.ArrayType(T.StringType())),
-        T.StructField(
-            "alternates",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("value", T.StringType()),
-                        T.StructField("sources", T.ArrayType(T.StringType())),
-                        T.StructField("weight", T.DoubleType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+        kind = S.CANONICAL_TYPES[field]
+        kind = getattr(kind, "elementType", kind)
+        columns = ", ".join(f"`{n}` STRING" for n in kind.names)
+        return f"from_json({text}, '{columns}')"
+    return text
 
 
-def _map(pairs: list[Column], kind: str) -> Column:
-    """Map of the pairs whose value is not null."""
-    kept = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()) if pairs else F.array()
-    return F.map_from_entries(kept.cast(f"array<struct<key:string,value:{kind}>>"))
+def _map_of(pairs: dict[str, str], kind: str) -> str:
+    """SQL of a map holding the pairs whose value is not null."""
+    each = ", ".join(f"struct('{k}' AS key, {v} AS value)" for k, v in pairs.items())
+    return (
+        f"map_from_entries(filter(cast(array({each}) AS array<struct<key:string,value:{kind}>>), "
+        "p -> p.value IS NOT NULL))"
+    )
+
 
+NO_TEXTS = "cast(array() AS array<string>)"
+ALTERNATE = "struct<value:string,sources:array<string>,weight:double>"
+CONFLICT = f"struct<winner:string,winning_sources:array<string>,alternates:array<{ALTERNATE}>>"
 
-def _pair(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
+def _rounded(sql: str) -> str:
+    return f"cast(round(coalesce({sql}, 0), 3) AS double)"
 
 
 def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -328,101 +278,53 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
     scalars = [f for f in S.SCALAR_FIELDS if f in wanted]
     lists = [f for f in S.LIST_FIELDS if f in wanted]
-    head = F.col("page") == 0
-    d = gathered
-    d = d.withColumns({f"_{f}": _entries_of(f) for f in (*scalars, *lists)})
-
-    def first(f: str) -> Column:
-        return F.when(head, F.try_element_at(F.col(f"_{f}"), F.lit(1)))
-
-    def losers(f: str) -> Column:
-        mine = F.col(f"_{f}")
-        rest = F.when(head, F.slice(mine, F.lit(2), F.greatest(F.size(mine), F.lit(1)))).otherwise(mine)
-        return F.transform(
-            rest,
-            lambda e: F.struct(
-                e["value"].alias("value"), e["sources"].alias("sources"), rounded(-e["neg"]).alias("weight")
-            ),
-        )
-
-    def total(f: str, part: str) -> Column:
-        return F.try_element_at(F.col("totals"), F.lit(f))[part]
-
-    conf = {
-        f: share_of(-first(f)["neg"], total(f, "total")) if f in scalars
-        else capped_mean(total(f, "total"), total(f, "n"))
-        for f in (*scalars, *lists)
-    }
-    values = [
-        F.col(ID) if f == ID else _typed(f, first(f)["value"]).alias(f) for f in scalars
-    ] + [_typed_items(f).alias(f) for f in lists]
-    scalar_prov = _map(
-        [_pair(f, F.when(head, F.coalesce(first(f)["sources"], F.array().cast(NO_TEXTS)))) for f in scalars],
-        NO_TEXTS,
-    )
-    list_prov = _map(
-        [
-            _pair(
-                f,
-                F.map_from_entries(
-                    F.transform(
-                        F.col(f"_{f}"), lambda e: F.struct(e["key"].alias("key"), e["sources"].alias("value"))
-                    )
-                ),
-            )
-            for f in lists
-        ],
-        f"map<string,{NO_TEXTS}>",
+    split = gathered.selectExpr(
+        ID, "page", "totals", *[f"filter(entries, e -> e.field = '{f}') AS _{f}" for f in (*scalars, *lists)]
     )
-    conflicts = _map(
-        [
-            _pair(
-                f,
-                F.when(
-                    F.size(losers(f)) > 0,
-                    F.struct(
-                        first(f)["value"].alias("winner"),
-                        F.coalesce(first(f)["sources"], F.array().cast(NO_TEXTS)).alias("winning_sources"),
-                        losers(f).alias("alternates"),
-                    ),
-                ),
-            )
-            for f in scalars
-        ],
-        CONFLICT.simpleString(),
+    # The winner is the first entry of the first page, everything else lost.
+    rest = "CASE WHEN page = 0 THEN slice(_{0}, 2, greatest(size(_{0}), 1)) ELSE _{0} END"
+    alternate = "e -> struct(e.value AS value, e.sources AS sources, cast(round(-e.neg, 3) AS double) AS weight)"
+    parts = split.selectExpr(
+        "*",
+        *[f"CASE WHEN page = 0 THEN try_element_at(_{f}, 1) END AS _top_{f}" for f in scalars],
+        *[f"transform({rest.format(f)}, {alternate}) AS _lost_{f}" for f in scalars],
     )
-    out = d.select(
+    values = [
+        f if f == ID else f"{_typed(f, f'_top_{f}.value')} AS {f}" for f in scalars
+    ] + [f"transform(_{f}, e -> {_typed(f, 'e.value')}) AS {f}" for f in lists]
+    confidence = {
+        f: f"CASE WHEN page = 0 THEN {_rounded(f'try_divide(-_top_{f}.neg, totals.{f}.total)')} END" for f in scalars
+    } | {
+        f: f"CASE WHEN page = 0 THEN least(1.0D, {_rounded(f'try_divide(totals.{f}.total, totals.{f}.n)')}) END"
+        for f in lists
+    }
+    scalar_sources = {f: f"CASE WHEN page = 0 THEN coalesce(_top_{f}.sources, {NO_TEXTS}) END" for f in scalars}
+    item_sources = {
+        f: f"map_from_entries(transform(_{f}, e -> struct(e.key AS key, e.sources AS value)))" for f in lists
+    }
+    contested = {
+        f: f"CASE WHEN size(_lost_{f}) > 0 THEN struct(_top_{f}.value AS winner, "
+        f"coalesce(_top_{f}.sources, {NO_TEXTS}) AS winning_sources, _lost_{f} AS alternates) END"
+        for f in scalars
+    }
+    out = parts.selectExpr(
         "page",
         *values,
-        scalar_prov.alias("scalar_provenance"),
-        list_prov.alias("list_provenance"),
-        _map([_pair(f, F.when(head, c)) for f, c in conf.items()], "double").alias("field_confidence"),
-        conflicts.alias("conflicts"),
-    )
-    conf_values = F.filter(F.map_values("field_confidence"), lambda c: c > 0)
-    overall = rounded(
-        F.coalesce(
-            F.try_divide(
-                F.aggregate(
-                    conf_values, F.lit(0).cast("decimal(20,3)"),
-                    lambda a, c: (a + c.cast("decimal(10,3)")).cast("decimal(20,3)"),
-                ),
-                F.size(conf_values),
-            ),
-            F.lit(0),
-        )
-    )
-    order = [c for c in out.columns if c not in ("page",)]
-    return out.withColumn("overall_confidence", F.when(F.col("page") == 0, overall)).select(
-        *order, "overall_confidence", "page"
+        f"{_map_of(scalar_sources, 'array<string>')} AS scalar_provenance",
+        f"{_map_of(item_sources, 'map<string,array<string>>')} AS list_provenance",
+        f"{_map_of(confidence, 'double')} AS field_confidence",
+        f"{_map_of(contested, CONFLICT)} AS conflicts",
     )
+    # Mean of the field confidences above zero, in exact decimals.
+    present = "transform(filter(map_values(field_confidence), c -> c > 0), c -> cast(c AS decimal(10,3)))"
+    summed = f"aggregate({present}, cast(0 AS decimal(20,3)), (a, c) -> cast(a + c AS decimal(20,3)))"
+    overall = f"CASE WHEN page = 0 THEN {_rounded(f'try_divide({summed}, size({present}))')} END"
+    return out.selectExpr(*[c for c in out.columns if c != "page"], f"{overall} AS overall_confidence", "page")
 
 
 def latest_meta(records: DataFrame) -> DataFrame:
     """Last enrichment metadata of every candidate, in record order."""
-    order = F.struct(
-        *([F.col("group_seq")] if "group_seq" in records.columns else []), F.col("record_seq")
-    )
+    order = F.expr(_record_order(records))
     gh, li = F.col("github_meta"), F.col("linkedin_meta")
     return (
         records.where((F.col(ID) != "") & (gh.isNotNull() | li.isNotNull()))

@@ -225,12 +225,7 @@ NUMBERING_PLANS = {
 
 def conform(df: DataFrame) -> DataFrame:
     """Project onto the record layout, adding typed nulls for absent columns."""
-    from pyspark.sql import functions as F
-
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in RECORD.fields
-        ]
+    return df.selectExpr(
+        *[f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in RECORD.fields]
     )

@@ -41,42 +41,31 @@ def rec(spark: SparkSession, sf: str) -> DataFrame:
     people = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    k = F.col("c_custkey")
-    text = k.cast("string")
-    last4 = F.lpad((k % 10000).cast("string"), 4, "0")
-    tail = F.substring("c_name", 10, 100)
-    person = F.concat(F.lit("Person "), tail)
-    none = F.lit(None).cast("string")
-
-    def row(source, keep, cid, conf, name, email, phone, place, headline, yoe):
-        return F.when(
-            keep,
-            F.struct(
-                F.lit(source).alias("source"), cid.alias("candidate_id"),
-                F.lit(conf).cast(S.CONFIDENCE).alias("confidence"), name.alias("raw_name"),
-                email.alias("raw_email"), phone.alias("raw_phone"), place.alias("raw_location"),
-                headline.alias("headline"), yoe.cast("int").alias("yoe"),
-            ),
-        )
-
-    mail = F.concat(F.lit("p"), text, F.lit("@example.com"))
-    town = F.concat(F.lit("Springfield, "), "n_name")
-    rows = F.array(
-        row("ats_json", k % 3 != 2, F.concat(F.lit("cand_"), text), "0.95", person, mail,
-            F.concat(F.lit("+1415555"), last4), F.concat(town, F.lit(", US")), F.col("c_mktsegment"), k % 20),
-        row("recruiter_csv", k % 4 != 3, F.when(k % 5 != 0, F.concat(F.lit("csv_"), text)), "0.90",
-            F.upper(person), F.concat(F.lit("  P"), text, F.lit("@Example.COM ")),
-            F.concat(F.lit("(415) 555-"), last4), town, F.col("c_mktsegment"),
-            k % 20 + F.when(k % 4 == 0, 1).otherwise(0)),
-        row("resume", k % 2 == 0, F.concat(F.lit("res_"), text), "0.80", person,
-            F.when(k % 6 == 0, "not-an-email").otherwise(mail), none, F.lit("Springfield"),
-            F.lower("c_mktsegment"), k % 20),
-        row("recruiter_notes", k % 7 == 0, F.concat(F.lit("cand_"), text), "0.55", none, none,
-            F.concat(F.lit("415.555."), last4), none, none, k % 20 + 2),
+    people = people.selectExpr(
+        "c_custkey AS k", "string(c_custkey) AS t", "lpad(string(c_custkey % 10000), 4, '0') AS last4",
+        "concat('Person ', substring(c_name, 10)) AS person", "c_mktsegment AS seg",
+        "concat('p', c_custkey, '@example.com') AS mail", "concat('Springfield, ', n_name) AS town",
     )
+    columns = "source candidate_id confidence raw_name raw_email raw_phone raw_location headline yoe".split()
+
+    def row(keep, *values):
+        named = ", ".join(f"{v} AS {c}" for v, c in zip(values, columns))
+        return f"CASE WHEN {keep} THEN struct({named}) END"
+
+    rows = [
+        row("k % 3 <> 2", "'ats_json'", "concat('cand_', t)", "cast(0.95 AS decimal(4,3))", "person", "mail",
+            "concat('+1415555', last4)", "concat(town, ', US')", "seg", "int(k % 20)"),
+        row("k % 4 <> 3", "'recruiter_csv'", "CASE WHEN k % 5 <> 0 THEN concat('csv_', t) END",
+            "cast(0.90 AS decimal(4,3))", "upper(person)", "concat('  P', t, '@Example.COM ')",
+            "concat('(415) 555-', last4)", "town", "seg", "int(k % 20 + if(k % 4 = 0, 1, 0))"),
+        row("k % 2 = 0", "'resume'", "concat('res_', t)", "cast(0.80 AS decimal(4,3))", "person",
+            "if(k % 6 = 0, 'not-an-email', mail)", "string(null)", "'Springfield'", "lower(seg)", "int(k % 20)"),
+        row("k % 7 = 0", "'recruiter_notes'", "concat('cand_', t)", "cast(0.55 AS decimal(4,3))", "string(null)",
+            "string(null)", "concat('415.555.', last4)", "string(null)", "string(null)", "int(k % 20 + 2)"),
+    ]
     return (
-        people.select(k.alias("k"), F.posexplode(rows).alias("block", "r"))
-        .where(F.col("r").isNotNull())
+        people.selectExpr("k", f"posexplode(array({', '.join(rows)})) AS (block, r)")
+        .where("r IS NOT NULL")
         .select(seq("rec", F.col("block"), F.col("k")).alias("record_seq"), "k", "r.*")
     )
 
@@ -152,35 +141,27 @@ def rich_records(spark: SparkSession, sf: str) -> DataFrame:
     per source. Experience and education: the customer's own rows.
     """
     base = rec_records(spark, sf).withColumn("k", F.col("record_seq.pos"))
-    words = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("k"), F.split("p_name", " ").alias("words"), "p_brand", "p_type"
-    )
-    joined = base.join(words, "k", "left")
-    text = F.col("k").cast("string")
-    csv, ats, resume = (F.col("source") == s for s in ("recruiter_csv", "ats_json", "resume"))
-    skills = N.compact(F.transform("words", lambda w: N.skill(w)))
-    upper = N.compact(F.transform("words", lambda w: N.skill(F.upper(w))))
-    gh = N.link(F.concat(F.lit("HTTPS://GitHub.com/user"), text, F.lit("/")))
-    li = N.link(F.concat(F.lit("linkedin.com/in/user-"), text))
-    role = F.struct(
-        F.col("p_brand").alias("company"), F.coalesce("p_type", F.col("headline")).alias("title"),
-        F.when(ats, F.lit("2020-01")).alias("start_date"),
-        F.lit(None).cast("string").alias("end_date"), F.col("location.city").alias("location"),
-    )
-    school = F.struct(
-        F.concat(F.lit("School "), (F.col("k") % 9).cast("string")).alias("institution"),
-        F.when(F.col("k") % 2 == 0, "BS").otherwise("MS").alias("degree"),
-        F.lit(None).cast("string").alias("field"),
-        F.concat((F.col("k") % 30 + 1980).cast("string"), F.lit("-01")).alias("graduation_date"),
-    )
-    has = F.col("words").isNotNull()
+    words = table(spark, sf, "part").selectExpr("p_partkey AS k", "split(p_name, ' ') AS words", "p_brand", "p_type")
+    raw = base.join(words, "k", "left").selectExpr(
+        "*",
+        """CASE source WHEN 'ats_json' THEN words WHEN 'recruiter_csv' THEN transform(words, w -> upper(w))
+           WHEN 'resume' THEN slice(words, 1, 1) END AS raw_skills""",
+        "concat('HTTPS://GitHub.com/user', k, '/') AS gh",
+        "concat('linkedin.com/in/user-', k) AS li",
+    ).drop("skills", "links", "experience", "education")
     return S.conform(
-        joined.withColumn(
-            "skills", F.when(has & ats, skills).when(has & csv, upper).when(has & resume, F.slice(skills, 1, 1))
+        raw.selectExpr(
+            "*",
+            "CASE source WHEN 'ats_json' THEN array(gh, li) WHEN 'recruiter_csv' THEN array(gh) WHEN 'resume' THEN array(li) END AS raw_links",
+            """CASE WHEN words IS NOT NULL AND source <> 'recruiter_notes' THEN array(struct(
+                 p_brand AS company, coalesce(p_type, headline) AS title, if(source = 'ats_json', '2020-01', null) AS start_date,
+                 string(null) AS end_date, location.city AS location)) END AS experience""",
+            """CASE WHEN source IN ('ats_json', 'resume') THEN array(struct(
+                 concat('School ', k % 9) AS institution, if(k % 2 = 0, 'BS', 'MS') AS degree, string(null) AS field,
+                 concat(k % 30 + 1980, '-01') AS graduation_date)) END AS education""",
         )
-        .withColumn("links", F.when(ats, F.array(gh, li)).when(csv, F.array(gh)).when(resume, F.array(li)))
-        .withColumn("experience", F.when(has & (ats | csv | resume), F.array(role)))
-        .withColumn("education", F.when(ats | resume, F.array(school)))
+        .withColumn("skills", N.compact(F.transform("raw_skills", lambda w: N.skill(w))))
+        .withColumn("links", N.link_list(F.col("raw_links")))
     )
 
 

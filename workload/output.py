@@ -154,6 +154,10 @@ _PRESET_COLUMNS = {
 }
 
 
+def _json(c):
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
 def _texts(df, keep=()):
     """Flatten lists and structs to text so that both engines show the same columns."""
     cols = []
@@ -163,9 +167,9 @@ def _texts(df, keep=()):
         if kind == "array<string>":
             c = F.array_join(c, "|")
         elif kind.startswith("array<struct"):
-            c = F.array_join(F.transform(c, fuse.struct_text), "|")
+            c = F.array_join(F.transform(c, _json), "|")
         elif kind.startswith("struct<city"):
-            c = fuse.struct_text(c)
+            c = _json(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

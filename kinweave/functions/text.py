@@ -77,28 +77,18 @@ def terms(text: Column, lexicon: tuple[str, ...]) -> Column:
     """
     by_length = sorted({t.lower() for t in lexicon}, key=lambda t: (-len(t), t))
     alternatives = "|".join(re.escape(t) for t in by_length)
-    found = F.array_distinct(
-        F.transform(
-            F.regexp_extract_all(
-                text, F.lit(rf"(?i)(?<![A-Za-z])(?=({alternatives})(?![A-Za-z]))"), F.lit(1)
-            ),
-            F.lower,
-        )
-    )
+    # A lookahead matches without consuming, so neighbouring terms can share a blank.
+    pattern = rf"(?i)(?<![A-Za-z])(?=({alternatives})(?![A-Za-z]))"
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower))
 
-    def starts(short: str, long: str) -> bool:
-        return long.startswith(short) and not long[len(short)].isalpha()
-
-    implied = {s: [g for g in by_length if g != s and starts(s, g)] for s in by_length}
-    if any(implied.values()):
-        hit = [
-            F.when(
-                F.arrays_overlap(found, F.array(*[F.lit(x) for x in [t.lower(), *implied[t.lower()]]])), F.lit(t)
-            )
-            for t in lexicon
-        ]
-        return N.compact(F.array(*hit))
-    return F.filter(F.array(*[F.lit(t) for t in lexicon]), lambda t: F.array_contains(found, F.lower(t)))
+    def also_found_by(short: str) -> list[str]:
+        return [t for t in by_length if t.startswith(short) and not t[len(short):len(short) + 1].isalpha()]
+
+    wanted = F.array(*[F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, also_found_by(t.lower()))).alias("by")) for t in lexicon])
+    return N.let(
+        hits,
+        lambda found: F.transform(F.filter(wanted, lambda t: F.arrays_overlap(found, t["by"])), lambda t: t["term"]),
+    )
 
 
 def years_cue(text: Column) -> Column:

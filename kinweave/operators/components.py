@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.operators.skew import cut, join_counted
+from kinweave.operators.skew import cut, cut_counted, join_counted
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -42,12 +42,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two text columns, ``a`` and ``b``.
     """
-    e = cut(
+    e, total = cut_counted(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    total = e.count()
     for _ in range(max_rounds):
         if _unsettled(e).isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(

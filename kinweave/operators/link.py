@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.functions import standardize as N
 from kinweave.operators.components import connected_components
-from kinweave.operators.skew import cut, join_counted
+from kinweave.operators.skew import cut, cut_counted, join_counted
 
 # Name similarity: shared / all tokens >= 17/20, kept in whole numbers.
 NUM, DEN = 17, 20
@@ -123,13 +123,14 @@ def name_places(records: DataFrame) -> DataFrame:
     places nobody else has are dropped before the two meet, except names long
     enough to match a different one.
     """
-    names, places = cut(_names(records)), cut(_places(records))
+    names, n_names = cut_counted(_names(records))
+    places, n_places = cut_counted(_places(records))
     short = names.where(F.size("tokens") < FUZZY_TOKENS)
-    useful_names = join_counted(short, _shared(short, ["tokens"]), ["tokens"], total=names.count()).unionByName(
+    useful_names = join_counted(short, _shared(short, ["tokens"]), ["tokens"], total=n_names).unionByName(
         names.where(F.size("tokens") >= FUZZY_TOKENS)
     )
     on = ["place_kind", "place"]
-    useful_places = join_counted(places, _shared(places, on), on, total=places.count())
+    useful_places = join_counted(places, _shared(places, on), on, total=n_places)
     return useful_names.join(useful_places, "candidate_id")
 
 
@@ -148,8 +149,8 @@ def star_edges(keys: DataFrame, on: list[str], total: int | None = None) -> Data
 
 
 def strong_edges(records: DataFrame) -> DataFrame:
-    signals = cut(strong_signals(records))
-    return star_edges(signals, ["kind", "key"], signals.count()).distinct()
+    signals, total = cut_counted(strong_signals(records))
+    return star_edges(signals, ["kind", "key"], total).distinct()
 
 
 # ------------------------------------------------------- similar, not equal ----
@@ -193,7 +194,7 @@ def _deletion_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     the hub. Any two members that match also match the hub, so a star per group
     connects exactly what all pairs would.
     """
-    keys = cut(_deletion_keys(sets, max_tokens))
+    keys, total = cut_counted(_deletion_keys(sets, max_tokens))
     on = ["place_kind", "place", "kept"]
     hubs = (
         keys.groupBy(*on)
@@ -202,7 +203,7 @@ def _deletion_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     )
     near = F.size("kept") * (DEN - NUM) >= NUM * (F.col("deleted") + F.col("hub.deleted"))
     return (
-        join_counted(keys, hubs, on, total=keys.count())
+        join_counted(keys, hubs, on, total=total)
         .where(near & (F.col("hub.candidate_id") != F.col("candidate_id")))
         .select(F.col("hub.candidate_id").alias("a"), F.col("candidate_id").alias("b"))
     )
@@ -246,9 +247,9 @@ def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
 
 def weak_edges(records: DataFrame, max_tokens: int = DELETION_TOKENS) -> DataFrame:
     """Edges between candidates with a matching name and a common city or country."""
-    pairs = cut(name_places(records))
+    pairs, total = cut_counted(name_places(records))
     on = ["place_kind", "place", "tokens"]
-    edges = star_edges(pairs, on, pairs.count())
+    edges = star_edges(pairs, on, total)
     # From here one candidate stands for all that share a token set and place.
     sets = (
         pairs.where(F.size("tokens") >= FUZZY_TOKENS).groupBy(*on).agg(F.min("candidate_id").alias("candidate_id"))
@@ -272,9 +273,11 @@ def resolve(records: DataFrame, weak: bool = True) -> DataFrame:
     return connected_components(edges).select(F.col("id").alias("old_id"), F.col("root").alias("new_id"))
 
 
-def apply_rewrite(records: DataFrame, rewrite: DataFrame) -> DataFrame:
+def apply_rewrite(records: DataFrame, rewrite: DataFrame, total: int | None = None) -> DataFrame:
     """Give every record its final id and its place in the merged group.
 
+    ``total`` is the number of records, where known.
+
     ``group_seq`` is the first position of the record's old group: merged groups
     are read in the order their parts first appeared.
     """
@@ -286,7 +289,7 @@ def apply_rewrite(records: DataFrame, rewrite: DataFrame) -> DataFrame:
         "candidate_id", F.coalesce("new_id", "candidate_id").alias("new_id"), "group_seq", "n"
     )
     return (
-        join_counted(held, target, ["candidate_id"])
+        join_counted(held, target, ["candidate_id"], total=total)
         .withColumnRenamed("candidate_id", "old_id")
         .withColumnRenamed("new_id", "candidate_id")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 # A key is heavy when it holds more than 1/SHARE of all rows, so there are fewer
 # than SHARE heavy keys whatever the data: that bound is what allows a broadcast.
@@ -13,24 +14,31 @@ SHARE = 256
 FLOOR = 1_000_000
 
 
-def prepare_checkpoints(spark: SparkSession) -> None:
-    """Use the checkpoint folder the session names; make one only for local runs."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; a temporary one only for local runs."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write a table to the shared folder and continue from there; also its number of rows.
+
+    Later stages read only the columns they need, know the size of the table, and
+    survive the loss of executors without recomputing what came before.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kinweave-{uuid.uuid4().hex}"
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and forget the lineage."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    return cut_counted(df)[0]
 
 
 def join_counted(

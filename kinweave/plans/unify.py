@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave import schema as S
 from kinweave.operators import enrich as E, fuse, link
-from kinweave.operators.skew import cut
+from kinweave.operators.skew import cut, cut_counted
 from kinweave.plans import project as P, report
 from kinweave.plans.config import checked, fields_needed
 from kinweave.sources import files as IO
@@ -65,16 +65,16 @@ def unify(
     """Enrich, resolve, fuse and project a table of source records."""
     checked(config)
     # Parsed records are read by linking, rewriting and statistics: keep them.
-    everything = cut(S.conform(records))
+    everything, total = cut_counted(S.conform(records))
     if enrich and profile_snapshot is not None:
         parts = [everything, E.enrich(everything, profile_snapshot, repo_snapshot, enrich_github, enrich_linkedin)]
         if extra_links is not None:
             parts.append(
                 E.extra_link_records(extra_links, profile_snapshot, repo_snapshot, enrich_github, enrich_linkedin)
             )
-        everything = cut(IO.union_sources(parts))
+        everything, total = cut_counted(IO.union_sources(parts))
     rewrite = link.resolve(everything)
-    merged = link.apply_rewrite(everything, rewrite)
+    merged = link.apply_rewrite(everything, rewrite, total)
     fields = fields_needed(config)
     fact_rows = cut(fuse.facts(merged, fields))
     gathered = fuse.gather(fact_rows, page_rows, collation)

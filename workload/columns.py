@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import standardize as N, text as X
 from kinweave.sources import records as R
-from workload.base import REC, STD, query, rec, table
+from workload.base import REC, STD, query, rec, spread, table
 
 # ------------------------------------------------------ contact columns ----
 
@@ -51,7 +51,7 @@ def std_phone_countries(spark, sf):
         .when(kind == 4, F.concat(F.lit("+49-30-"), d))
         .otherwise(F.concat(F.lit("+1 ("), F.substring(d, 1, 3), F.lit(") "), d))
     )
-    d = table(spark, sf, "orders").select(k.alias("k"), raw.alias("raw"))
+    d = spread(table(spark, sf, "orders").select(k.alias("k"), raw.alias("raw")))
     return d.select("k", "raw", N.phone(F.col("raw")).alias("phone"))
 
 
@@ -379,7 +379,7 @@ _TEXTS = """texts AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION
 def _texts(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("t"))
     p = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("t"))
-    return d.unionByName(p)
+    return spread(d.unionByName(p))
 
 
 @query(
@@ -453,7 +453,7 @@ SELECT doc_id, term FROM documents JOIN terms
 """,
 )
 def tag_terms(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.explode(X.terms(F.col("text"), _TERMS)).alias("term"))
 
 
@@ -544,7 +544,8 @@ def history_rows(spark, sf):
             F.concat(F.lit("Status "), "o_orderstatus", F.lit(" at "), "o_orderpriority", F.lit(" (May "), yt, F.lit(" - "), (y + 1).cast("string"), F.lit(")"))
         )
     )
-    d = table(spark, sf, "orders").select(k.alias("k"), F.explode(X.free_text_experience(F.array(raw))).alias("e"))
+    o = spread(table(spark, sf, "orders").select(k.alias("k"), raw.alias("raw")))
+    d = o.select("k", F.explode(X.free_text_experience(F.array("raw"))).alias("e"))
     return d.select("k", "e.company", "e.title", "e.start_date", "e.end_date", F.col("e.location").alias("place"))
 
 

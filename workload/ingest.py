@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinweave import schema as S
 from kinweave.operators import enrich as E
 from kinweave.sources import files as IO, records as R
-from workload.base import STD, query, rec, rec_records, table
+from workload.base import STD, query, rec_records, spread, table
 
 # ------------------------------------------------------------ detection ----
 
@@ -65,7 +65,7 @@ def delimited_source(spark, sf):
         "concat('Firm ', c_nationkey) AS employer", "string(c_custkey % 50) AS yoe", "'python; go | ' AS technical_skills",
         "concat('GitHub.com/c', c_custkey) AS github_url", "concat('https://C', c_custkey, '.example.org/me/') AS website",
     ).withColumn("github_url", F.concat(F.lit("https://"), "github_url"))
-    r = R.delimited_records(c)
+    r = R.delimited_records(spread(c))
     return r.select(
         "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"),
         "location.city", "location.country", "headline", F.col("years_experience").alias("yoe"),
@@ -96,7 +96,7 @@ def json_source(spark, sf):
            '],"experience":[{"company":"', o_orderstatus, '","start":"', date_format(o_orderdate, 'M/yyyy'), '"},{"location":"x"}],"education":[{"school":"Uni"}]}',
            if(o_orderkey % 3 = 0, ']', '')) AS value""",
     )
-    r = R.json_records(o)
+    r = R.json_records(spread(o))
     return r.select(
         "candidate_id", "record_seq.pos", F.col("confidence").cast("double").alias("confidence"), "full_name",
         F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "headline",
@@ -160,7 +160,7 @@ def notes_source(spark, sf):
            ' yrs. ', if(c_custkey % 2 = 0, 'Strong node.js, PYTHON and Go', 'Machine  learning? machine learning, java'), '. Mail N', c_custkey, '@x.org, (415) 555-',
            lpad(string(c_custkey % 10000), 4, '0'), ' or https://github.com/n', c_custkey, ')\\n') AS value""",
     )
-    r = R.note_records(c)
+    r = R.note_records(spread(c))
     return r.select(
         "candidate_id", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "headline",
         F.col("years_experience").alias("yoe"), F.array_join("skills", "|").alias("skills"),
@@ -184,7 +184,7 @@ def labelled_source(spark, sf):
            '\\nYEARS: ', c_custkey % 45, '\\nSKILLS: inline, ignored\\n- lost\\nLINKS: a@b.co, photo.png, https://github.com/r', c_custkey,
            '\\n\\nSKILLS:\\n- python\\n -rust\\nnot a bullet\\n\\nEXPERIENCE:\\n- Acme | ', c_mktsegment, ' | Jan 2021 – Present | SF\\n- too | short\\n\\nEDUCATION:\\n- MIT | BS | 2018\\n') AS value""",
     )
-    r = R.labelled_records(c)
+    r = R.labelled_records(spread(c))
     return r.select(
         "candidate_id", F.col("record_seq.pos").alias("k"), "full_name", F.array_join("emails", "|").alias("emails"), "headline",
         F.col("years_experience").alias("yoe"), F.array_join("skills", "|").alias("skills"),
@@ -217,7 +217,7 @@ def documents_records(spark, sf):
         R.seq("documents", 0, F.col("doc_id")).alias("record_seq"),
         F.col("text").alias("value"), F.expr("concat(source, '_', doc_id, '.pdf')").alias("file_name"),
     )
-    r = R.free_text_records(d)
+    r = R.free_text_records(spread(d))
     return r.select(
         F.col("record_seq.pos").alias("doc_id"), F.lit("").alias("marker"), "candidate_id",
         F.array_join("emails", "|").alias("emails"), F.col("full_name").isNotNull().alias("has_name"),

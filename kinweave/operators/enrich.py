@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from kinweave import schema as S
 from kinweave.functions import standardize as N, text as X
-from kinweave.operators.skew import join_counted
+from kinweave.operators.skew import cut_counted, join_counted
 from kinweave.sources.records import conf, one_or_none, seq
 
 GITHUB, LINKEDIN = "github", "linkedin"
@@ -86,6 +86,7 @@ def lookup_records(
     confidence 0 with the error; a LinkedIn account without payload gives its link only."""
     snap = _snapshot(profiles).withColumn("handle", F.lower("handle")).withColumnRenamed("skills", "own_skills")
     # Look every account up once, then hand it to all candidates that name it.
+    jobs, total = cut_counted(jobs)
     on = ["provider", "handle"]
     accounts = jobs.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).join(snap, on, "left")
     if repos is not None:
@@ -93,7 +94,7 @@ def lookup_records(
         accounts = accounts.join(langs, on, "left")
     else:
         accounts = accounts.withColumn("languages", F.lit(None).cast("array<string>"))
-    found = join_counted(jobs, accounts, on)
+    found = join_counted(jobs, accounts, on, total=total)
     is_gh = F.col("provider") == GITHUB
     ok = F.coalesce(F.col("status") == 200, F.lit(False))
     url = F.when(is_gh, F.concat(F.lit("https://github.com/"), "asked")).otherwise(

@@ -120,29 +120,20 @@ def events_props_json(spark, sf):
     return R.json_records(e).select(F.col("record_seq.pos").alias("event_id"), "candidate_id")
 
 
-_CONV = """turns AS (SELECT conv_id, list(text ORDER BY turn) AS ts, list(turn ORDER BY turn) AS ids FROM conversations GROUP BY conv_id),
-blocks AS (SELECT conv_id, unnest(ts) AS t, unnest(ids) AS turn FROM turns)"""
-
-
 @query(
     "note_blocks",
-    f"""WITH {_CONV}
-SELECT 'conv_' || conv_id || '_' || turn AS candidate_id, length(trim('CANDIDATE_ID: conv_' || conv_id || '_' || turn || chr(10) || t, ' \t\r\n')) AS n_chars
-FROM blocks WHERE turn % 3 <> 2""",
+    """WITH c AS (SELECT *, 'conv_' || conv_id || '_' || turn AS id FROM conversations)
+SELECT id AS candidate_id, length(trim('CANDIDATE_ID: ' || id || chr(10) || text, ' \t\r\n')) AS n_chars FROM c
+UNION ALL SELECT id || '_again', length(trim('see below' || chr(10) || 'CANDIDATE_ID: ' || id || '_again ' || role, ' \t\r\n')) FROM c""",
 )
 def note_blocks(spark, sf):
-    """Conversations as note files: a block per turn, every third one without an id."""
-    conv = (
-        table(spark, sf, "conversations")
-        .selectExpr(
-            "conv_id", "turn",
-            "concat(if(turn % 3 <> 2, concat('CANDIDATE_ID: conv_', conv_id, '_', turn, '\\n'), ''), text) AS block",
-        )
-        .groupBy("conv_id")
-        .agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, block))), b -> b.block), '\\n ---  \\n')").alias("value"))
-        .select(R.seq("conversations", 0, F.col("conv_id")).alias("record_seq"), "value")
+    """Every turn as a note text of three blocks, the middle one without an id."""
+    value = """concat('CANDIDATE_ID: conv_', conv_id, '_', turn, '\\n', text, '\\n ---  \\n', text, '\\n\\n---\\nsee below\\nCANDIDATE_ID: conv_',
+               conv_id, '_', turn, '_again ', role, '\\n') AS value"""
+    notes = table(spark, sf, "conversations").selectExpr(
+        "struct('conversations' AS origin, conv_id AS block, turn AS pos) AS record_seq", value
     )
-    return R.note_blocks(conv).select("candidate_id", F.length("block").cast("long").alias("n_chars"))
+    return R.note_blocks(notes).select("candidate_id", F.length("block").cast("long").alias("n_chars"))
 
 
 @query(

@@ -17,23 +17,20 @@ def signals(spark, sf):
 
 @query(
     "signal_overlap",
-    f"""WITH {STD},
-g AS (SELECT candidate_id, list_distinct(list(phone) FILTER (phone IS NOT NULL)) AS phones, min(k) AS k FROM std WHERE candidate_id IS NOT NULL GROUP BY candidate_id)
-SELECT x.candidate_id AS a, y.candidate_id AS b, coalesce(list_has_any(x.phones, y.phones), false) AS overlap
-FROM g x JOIN g y ON y.k = x.k AND x.candidate_id < y.candidate_id""",
+    f"""WITH {STD}
+SELECT x.k, x.source AS sa, y.source AS sb, coalesce(x.phone = y.phone, false) AS same_phone, coalesce(x.email = y.email, false) AS same_email
+FROM std x JOIN std y ON x.k = y.k AND x.block < y.block""",
 )
 def signal_overlap(spark, sf):
-    """Do two groups of the same customer share a phone?"""
-    g = (
-        rec_records(spark, sf)
-        .where(F.col("candidate_id").isNotNull())
-        .groupBy("candidate_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("phones"))).alias("phones"), F.min("record_seq.pos").alias("k"))
+    """Do two records of a customer (four at most) share a phone or a mail address?"""
+    r = rec_records(spark, sf).select(
+        F.col("record_seq.pos").alias("k"), F.col("record_seq.block").alias("o"), "source", "phones", "emails"
     )
-    x, y = g.alias("x"), g.alias("y")
-    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.candidate_id") < F.col("y.candidate_id"))).select(
-        F.col("x.candidate_id").alias("a"), F.col("y.candidate_id").alias("b"),
-        link.signal_overlap(F.col("x.phones"), F.col("y.phones")).alias("overlap"),
+    x, y = r.alias("x"), r.alias("y")
+    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.o") < F.col("y.o"))).select(
+        F.col("x.k").alias("k"), F.col("x.source").alias("sa"), F.col("y.source").alias("sb"),
+        link.signal_overlap(F.col("x.phones"), F.col("y.phones")).alias("same_phone"),
+        link.signal_overlap(F.col("x.emails"), F.col("y.emails")).alias("same_email"),
     )
 
 
@@ -101,22 +98,22 @@ def link_weak_long_names(spark, sf):
 @query(
     "name_jaccard",
     """
-WITH n AS (SELECT DISTINCT p_name FROM part),
-t AS (SELECT p_name, string_split(lower(p_name), ' ') AS w FROM n)
-SELECT x.p_name AS a, y.p_name AS b,
-  round(len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(x.w || y.w)), 6) AS similarity,
+WITH n AS (SELECT p_partkey AS k, p_name || '  Unit ' || p_brand || ' ' || p_type || ' made in lot ' || p_size % 4 AS name FROM part),
+t AS (SELECT k, name, list_distinct(string_split(regexp_replace(lower(name), '\\s+', ' ', 'g'), ' ')) AS w FROM n)
+SELECT x.k, round(len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(x.w || y.w)), 6) AS similarity,
   len(list_intersect(x.w, y.w)) * 20 >= 17 * len(list_distinct(x.w || y.w)) AS name_match
-FROM t x JOIN t y ON x.w[1] = y.w[1] AND x.p_name <= y.p_name
+FROM t x JOIN t y ON y.k = x.k + 64
 """,
 )
 def name_jaccard(spark, sf):
-    """Pairwise predicate over distinct names that share their first word."""
-    n = table(spark, sf, "part").select("p_name").distinct().withColumn("w", F.element_at(F.split("p_name", " "), 1))
-    x, y = n.select(F.col("p_name").alias("a"), "w"), n.select(F.col("p_name").alias("b"), "w")
-    pairs = x.join(y, "w").where(F.col("a") <= F.col("b"))
+    """Pairwise predicate over given pairs: each part with the one 64 keys on."""
+    n = table(spark, sf, "part").selectExpr(
+        "p_partkey AS k", "concat(p_name, '  Unit ', p_brand, ' ', p_type, ' made in lot ', p_size % 4) AS name"
+    )
+    x, y = n.select("k", F.col("name").alias("a")), n.select((F.col("k") - 64).alias("k"), F.col("name").alias("b"))
     tokens = [link.name_tokens(F.col(c)) for c in ("a", "b")]
-    return pairs.select(
-        "a", "b", F.round(link.token_similarity(*tokens), 6).alias("similarity"),
+    return x.join(y, "k").select(
+        "k", F.round(link.token_similarity(*tokens), 6).alias("similarity"),
         link.name_match(F.col("a"), F.col("b")).alias("name_match"),
     )
 

@@ -114,10 +114,13 @@ def json_records(
     Unparsable text gives no record. A row may hold a whole array, so each
     element keeps its position.
     """
-    v = F.try_parse_json(F.col(value))
-    whole = df.select(F.col(record_seq).alias("_seq"), v.alias("_v")).where(F.col("_v").isNotNull())
-    people = F.coalesce(_items(F.col("_v"), "$"), F.array(F.col("_v")))
-    each = whole.select("_seq", F.posexplode(people).alias("_i", "c"))
+    people = N.let(
+        F.try_parse_json(F.col(value)),
+        lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
+    )
+    each = df.select(F.col(record_seq).alias("_seq"), F.posexplode(people).alias("_i", "c")).where(
+        F.col("c").isNotNull()
+    )
     c = F.col("c")
 
     def role(e: Column) -> Column:

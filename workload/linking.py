@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import link
 from kinweave.operators.components import connected_components
+from kinweave.operators.skew import cut
 from kinweave.plans import report
 from workload.base import EDGES, STD, query, rec_records, table
 
@@ -139,7 +140,7 @@ def place_match(spark, sf):
     f"WITH RECURSIVE {STD} {EDGES} SELECT old_id, new_id FROM rewrite",
 )
 def resolve_components(spark, sf):
-    return link.resolve(rec_records(spark, sf))
+    return link.resolve(cut(rec_records(spark, sf)))
 
 
 @query(
@@ -147,7 +148,7 @@ def resolve_components(spark, sf):
     f"WITH RECURSIVE {STD} {EDGES} SELECT old_id AS from_id, new_id AS into_id FROM rewrite WHERE old_id <> new_id",
 )
 def merge_audit(spark, sf):
-    return link.merge_audit(link.resolve(rec_records(spark, sf)))
+    return link.merge_audit(link.resolve(cut(rec_records(spark, sf))))
 
 
 @query(
@@ -157,7 +158,7 @@ SELECT s.k, s.source, s.candidate_id AS old_id, coalesce(new_id, s.candidate_id)
 FROM std s LEFT JOIN rewrite ON old_id = s.candidate_id WHERE s.candidate_id IS NOT NULL""",
 )
 def apply_rewrite(spark, sf):
-    r = rec_records(spark, sf)
+    r = cut(rec_records(spark, sf))
     return link.apply_rewrite(r, link.resolve(r)).select(
         F.col("record_seq.pos").alias("k"), "source", "old_id", "candidate_id"
     )
@@ -186,5 +187,5 @@ SELECT (SELECT count(*) FROM std) AS total_records, (SELECT count(*) FROM std WH
   (SELECT count(*) FROM rewrite WHERE old_id <> new_id) AS merges""",
 )
 def run_stats(spark, sf):
-    r = rec_records(spark, sf)
+    r = cut(rec_records(spark, sf))
     return report.run_stats(r, link.resolve(r))

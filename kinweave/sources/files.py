@@ -201,7 +201,7 @@ def ingest_report(files: DataFrame, records: DataFrame) -> DataFrame:
 
 def write_result(documents: DataFrame, stats: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
     """Result sink: ``profiles`` ordered by id as line-delimited JSON, one small table per statistic."""
-    ordered = documents.repartitionByRange("candidate_id").sortWithinPartitions("candidate_id", "page")
+    ordered = documents.repartitionByRange("candidate_id", "page").sortWithinPartitions("candidate_id", "page")
     ordered.write.mode(mode).json(f"{path}/profiles", ignoreNullFields=False)
     for name, frame in stats.items():
         frame.write.mode(mode).json(f"{path}/stats/{name}")

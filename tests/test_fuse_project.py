@@ -158,3 +158,26 @@ def test_reports(spark, rohan):
     assert report.conflict_report(p).count() == 5
     assert report.profile_search(p, "mehta").count() == 1 and report.profile_search(p, "nobody").count() == 0
     assert report.profile_sources(p).first()["sources"] == ["ats_json", "mystery", "recruiter_csv", "resume"]
+
+
+@pytest.mark.parametrize("page_rows", [100, 2])
+def test_locale_order_is_an_option(spark, page_rows):
+    rows = [(i, "ats_json", "x", None, None, None, [], [s]) for i, s in enumerate(["b", "A", "a2", "B2"])]
+    f = fuse.facts(records(spark, rows))
+
+    def skills(collation):
+        g = fuse.profiles(fuse.gather(f, page_rows, collation)).orderBy("page").collect()
+        return [s for r in g for s in r["skills"]]
+
+    assert skills(None) == ["A", "B2", "a2", "b"] and skills("UNICODE") == ["A", "a2", "b", "B2"]
+
+
+def test_summary_shows_the_account(spark):
+    r = records(spark, ROHAN).withColumn(
+        "github_meta",
+        F.expr("named_struct('handle', 'rohan', 'public_repos', 3L, 'followers', record_seq.pos, 'following', 0L, 'avatar_url', '', 'html_url', '')"),
+    )
+    r = S.conform(r)
+    p = fuse.profiles(fuse.gather(fuse.facts(r)))
+    row = report.profile_summary(p, skills_shown=1, meta=fuse.latest_meta(r)).first()
+    assert row["account"] == "@rohan (3 repos, 4 followers)" and row["skills"] == "Go +1 more" and row["place"] == "—"

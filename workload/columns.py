@@ -367,7 +367,7 @@ FROM documents
 """,
 )
 def enrich_headline(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", N.headline_from_bio(F.col("text"), F.col("source")).alias("headline"))
 
 
@@ -580,7 +580,7 @@ SELECT doc_id, list_filter(ls, lambda s: regexp_matches(s, '^[A-Z][a-zA-Z''.-]*(
 """,
 )
 def first_name_line(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", X.first_name_line(X.lines(F.col("text"))).alias("name_line"))
 
 

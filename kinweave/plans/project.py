@@ -12,9 +12,6 @@ from kinweave.functions import standardize as N
 from kinweave.plans.config import checked, declared_fields, path_parts, root_of
 from kinweave import schema as S
 
-BOOKKEEPING = ("provenance", "field_confidence", "overall_confidence", "conflicts", "page")
-
-
 def _step(value: Column, kind: T.DataType, part: str | int) -> tuple[Column, T.DataType] | None:
     if isinstance(part, int):
         if isinstance(kind, T.ArrayType):
@@ -135,7 +132,6 @@ def project(profiles: DataFrame, config: dict | None = None, country: str = "US"
         ]
     declared = [f["key"] for f in declared_fields(cfg)]
     id_column = [] if "candidate_id" in declared else [F.col("candidate_id")]
-    extra = [c for c in extra]
     return profiles.select(
         *id_column, *outputs, *extra, "page",
         N.compact(F.array(*absent)).alias("missing_keys"),

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinweave.operators import enrich as E
 from kinweave.plans import config as C

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinweave import schema as S
-from kinweave.operators import fuse, link
 from kinweave.plans import config as C, project as P, report
 from kinweave.plans.unify import unify
 from workload.base import EDGES, FUSED, STD, canonical, query, rec_records

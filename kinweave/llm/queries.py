@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import ngram_join, quality_rules
+from kinweave.llm import decontaminate, line_quality, ngram_join, packing, quality_rules, secret_scan
 from kinweave.operators.skew import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,49 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file; the vocabulary itself is no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
 @query("op5_ngram_jaccard")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf, "documents"), n=4, threshold="0.85")
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+@query("op7_line_quality")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = line_quality.fit(docs, table(spark, sf, "labels").where(~held_out()))
+    return line_quality.score(docs, model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "n_bad_lines",
+    )
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin("assign", "access", "hex"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op9_decontaminate")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import decontaminate, line_quality, ngram_join, packing, quality_rules, secret_scan
+from kinweave.llm import chat_format, decontaminate, line_quality, ngram_join, packing, quality_rules, secret_scan, url_filter
 from kinweave.operators.skew import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,87 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_decontaminate")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+BASE_RULES = tuple(
+    url_filter.host_rule(verdict, name)
+    for verdict, name in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+)
+#: Words that mark hosts of unwanted pages.
+WORD_RULES = tuple(url_filter.word_rule("block", w) for w in (
+    "spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "poker", "loans", "escort", "replica"))
+
+
+@query("op6_url_filter", rf"""
+WITH base(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+split AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hit AS (
+  SELECT DISTINCT ON (host, path) host, path, rule, verdict
+  FROM (SELECT DISTINCT host, path FROM split) s
+  JOIN base ON ('.' || host) LIKE '%.' || string_split(rule, '/')[1] AND starts_with(path, substr(rule, strpos(rule, '/')))
+  ORDER BY host, path, length(rule) DESC)
+SELECT page_id, s.host, s.path, h.rule,
+       coalesce(h.verdict, CASE WHEN regexp_matches(s.host, '(^|[^a-z0-9])({"|".join(r.name for r in WORD_RULES)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM split s LEFT JOIN hit h USING (host, path)""")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf, "pages").select("page_id", "url"), BASE_RULES + WORD_RULES)
+    return judged.select(
+        "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"),
+        F.when(F.col("_rule").isin(*[r.name for r in BASE_RULES]), F.col("_rule")).alias("rule"), F.col("_verdict").alias("verdict"),
+    )
+
+
+def raw_records(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, raw): conversations as JSON texts in the layouts that corpora come in.
+
+    Two turns of user and assistant become a prompt or question record, system, user and
+    assistant an instruction record, all others a list in one of two dialects.
+    """
+    odd = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    talks = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")) \
+        .groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    roles, even = F.array_join("t.role", ","), F.coalesce(F.col("conv_id") % 2 == 0, F.lit(True))
+    said = lambda i: F.element_at("t.text", i)
+    dialect = F.transform("t", lambda t: F.struct(
+        F.when(t.role == "user", "human").when(t.role == "assistant", "gpt").otherwise(t.role).alias("from"), t.text.alias("value")))
+    # In the dialect the names human and gpt stand for others and must not occur themselves.
+    plain = ~F.exists("t", lambda t: t.role.isin("human", "gpt"))
+    raw = (
+        F.when((roles == "user,assistant") & even, F.to_json(F.struct(said(1).alias("prompt"), said(2).alias("completion"))))
+        .when(roles == "user,assistant", F.to_json(F.struct(said(1).alias("question"), said(2).alias("answer"))))
+        .when(roles == "system,user,assistant", F.to_json(F.struct(said(1).alias("instruction"), said(2).alias("input"), said(3).alias("output"))))
+        .when(even & plain, F.to_json(F.struct(dialect.alias("conversations"))))
+        .otherwise(F.to_json(F.struct(F.transform("t", lambda t: F.struct(t.role.alias("role"), t.text.alias("content"))).alias("messages"))))
+    )
+    return talks.select("conv_id", raw.alias("raw"))
+
+
+@query("op10_chat_format", r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+  SELECT *, replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t') AS body,
+         replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS who FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(who) + length(body) + 14)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    formatted = chat_format.canonical(raw_records(spark, sf)).select("conv_id", chat_format.render(F.col("turns")).alias("out"))
+    back = formatted.select(
+        "conv_id", F.col("out.text").alias("text"), chat_format.read(F.col("out.text")).alias("turns"),
+        chat_format.under_mask(F.col("out.text"), F.col("out.mask")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )

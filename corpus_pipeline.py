@@ -8,10 +8,14 @@ from kinweave.llm import stages
 from kinweave.operators.skew import cut
 
 STAGES = [
-    ("near_duplicates", stages.near_duplicates),
+    ("quality_classifier", stages.quality),
+    ("ngram_jaccard", stages.near_duplicates),
+    ("decontamination", stages.decontaminated),
+    ("secret_scan", stages.redacted),
+    ("best_fit_packing", stages.packed),
 ]
 
-#: The stages hash, learn and pack; SQL cannot express them. tests/llm compares with brute force.
+#: The stages learn, hash and pack; SQL cannot express them. tests/llm compares each with brute force.
 ORACLE_SQL = None
 
 

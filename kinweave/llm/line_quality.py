@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kinweave.llm.quality_rules import CAPITALS, LETTERS, SMALL, STOPS, SYMBOLS, repeated
 from kinweave.llm.words import SPACE, Texts, mix, slices, windows
@@ -239,3 +239,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(scan, f"id {kind}, score double, n_lines long, n_bad_lines long").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns whose score is at least ``least``; nothing is joined or shuffled."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, names[at]):
+            features, length, borders = line_features(Texts(part.column(at)))
+            scores = model.scores(weighted_mean(model.marginals(features, borders), length, borders))
+            yield part.filter(pa.array(scores >= least))
+
+    return docs.toDF(*names).mapInArrow(scan, schema).toDF(*docs.columns)

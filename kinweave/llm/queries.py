@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm import chat_format, decontaminate, line_quality, ngram_join, packing, quality_rules, secret_scan, url_filter
+from kinweave.llm import (
+    chat_format, decontaminate, html_extract, license_scan, line_quality, ngram_join, packing, quality_rules, secret_scan, url_filter,
+)
 from kinweave.operators.skew import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +169,34 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("text").cast("long").alias("formatted_chars"),
     )
+
+
+def repository_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, path, text): documents as files of a source tree.
+
+    Directories are source, language and two levels of runs of ids. A document that opens
+    or ends with a licence line is a LICENSE file, of its own directory or the one above.
+    """
+    line = F.concat_ws("\n", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1))
+    opens = F.coalesce(F.regexp_like(line, F.lit("(?i)licen[cs]ed?\\b")), F.lit(False))
+    run = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    above = F.concat_ws("/", "source", "lang", run(5000))
+    path = F.when(opens & (F.col("doc_id") % 2 == 0), F.concat(above, F.lit("/LICENSE-"), "doc_id")) \
+        .when(opens, F.concat(above, F.lit("/"), run(1000), F.lit("/LICENSE-"), "doc_id")) \
+        .otherwise(F.concat(above, F.lit("/"), run(1000), F.lit("/"), "doc_id", F.lit(".txt")))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    files = repository_files(table(spark, sf, "documents"))
+    templates = spark.createDataFrame(list(license_scan.TEMPLATES), "license string, text string")
+    said = cut(license_scan.statements(files))
+    found = license_scan.scan(files, said, templates)
+    return files.select("doc_id", "path").join(found, "path", "left").select(
+        "doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "found_in")
+
+
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages"))

@@ -195,13 +195,13 @@ def month(c: Column) -> Column:
 # --------------------------------------------------------------- places ----
 
 
-def country(c: Column, iso_check: bool = False) -> Column:
-    """Two-letter code. Any two letters pass unless ``iso_check`` asks for a known code."""
+def country(c: Column, known_codes: tuple[str, ...] | None = None) -> Column:
+    """Two-letter code. Any two letters pass unless ``known_codes`` lists those that may."""
 
     def read(s: Column) -> Column:
         two = F.upper(s)
-        if iso_check:
-            known = F.when(two == "UK", F.lit("GB")).when(two.isin(*S.NUMBERING_PLANS), two)
+        if known_codes is not None:
+            known = F.when(two == "UK", F.lit("GB")).when(two.isin(*known_codes), two)
         else:
             known = two
         return F.when(s.rlike("^[a-z]{2}$"), known).otherwise(lookup(S.COUNTRY_CODES, s))
@@ -209,7 +209,7 @@ def country(c: Column, iso_check: bool = False) -> Column:
     return let(F.lower(trim(c)), read)
 
 
-def location(c: Column, iso_check: bool = False) -> Column:
+def location(c: Column, known_codes: tuple[str, ...] | None = None) -> Column:
     def build(s: Column, parts: Column) -> Column:
         n = F.size(parts)
         second, last = F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(-1))
@@ -222,7 +222,7 @@ def location(c: Column, iso_check: bool = False) -> Column:
                 s.alias("raw"),
             )
 
-        return F.when(n > 0, let(F.when(n > 1, country(last, iso_check)), assembled))
+        return F.when(n > 0, let(F.when(n > 1, country(last, known_codes)), assembled))
 
     return let(
         trim(c),
@@ -351,7 +351,7 @@ def years(c: Column, as_of_year: int | None = None) -> Column:
         return (end - start).cast("double")
 
     def sensible(v: Column, otherwise: Column | None = None) -> Column:
-        ok = F.when((v >= 0) & (v < 80), v)
+        ok = F.when((v >= 0) & (v < 80), v + F.lit(0.0))  # "-0" reads as zero, not as minus zero
         return ok if otherwise is None else ok.otherwise(otherwise)
 
     return let(trim(c), lambda s: let(number(s), lambda n: sensible(n, let(gap(s), sensible))))

@@ -80,14 +80,15 @@ def _record_order(records: DataFrame) -> str:
 def observations(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """(candidate_id, field, key, value, seq, source, w): one row per value of every record.
 
+    ``seq`` orders all values: by record, then by place in the record's list, then by value.
     ``value`` is the plain text of a value, or the JSON text of a structure.
     ``fields`` keeps only what a later projection reads.
     """
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
-    scalars = [f"struct('{f}' AS field, {t} AS key, {t} AS value)" for f, t in _SCALAR_TEXT.items() if f in wanted]
+    scalars = [f"struct('{f}' AS field, {t} AS key, {t} AS value, 0 AS item)" for f, t in _SCALAR_TEXT.items() if f in wanted]
     parts = [f"array({', '.join(scalars)})"] if scalars else []
     parts += [
-        f"coalesce(transform({f}, x -> struct('{f}' AS field, {key} AS key, {text} AS value)), array())"
+        f"coalesce(transform({f}, (x, i) -> struct('{f}' AS field, {key} AS key, {text} AS value, i AS item)), array())"
         for f, (key, text) in _ITEM.items()
         if f in wanted
     ]
@@ -100,7 +101,7 @@ def observations(records: DataFrame, fields: tuple[str, ...] | None = None) -> D
             F.expr(_record_order(records)).alias("seq"),
             F.expr(f"explode(concat({', '.join(parts)}))").alias("o"),
         )
-        .selectExpr(ID, "o.field", "o.key", "o.value", "seq", "source", "w")
+        .selectExpr(ID, "o.field", "o.key", "o.value", "struct(seq, o.item, o.value) AS seq", "source", "w")
         .where("trim(key) <> ''")
     )
 
@@ -273,7 +274,8 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     """One nested profile per row of :func:`gather`: values, provenance, confidences, conflicts.
 
     Pure projection. Columns come in canonical order. Continuation rows
-    (page > 0) hold further list items and further alternates only.
+    (page > 0) hold further list items and further alternates only; ``field_sizes`` counts
+    the entries of a field over all rows of the profile.
     """
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
     scalars = [f for f in S.SCALAR_FIELDS if f in wanted]
@@ -314,12 +316,14 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
         f"{_map_of(item_sources, 'map<string,array<string>>')} AS list_provenance",
         f"{_map_of(confidence, 'double')} AS field_confidence",
         f"{_map_of(contested, CONFLICT)} AS conflicts",
+        "transform_values(totals, (f, t) -> t.n) AS field_sizes",
     )
     # Mean of the field confidences above zero, in exact decimals.
     present = "transform(filter(map_values(field_confidence), c -> c > 0), c -> cast(c AS decimal(10,3)))"
     summed = f"aggregate({present}, cast(0 AS decimal(20,3)), (a, c) -> cast(a + c AS decimal(20,3)))"
     overall = f"CASE WHEN page = 0 THEN {_rounded(f'try_divide({summed}, size({present}))')} END"
-    return out.selectExpr(*[c for c in out.columns if c != "page"], f"{overall} AS overall_confidence", "page")
+    kept = [c for c in out.columns if c not in ("page", "field_sizes")]
+    return out.selectExpr(*kept, f"{overall} AS overall_confidence", "page", "field_sizes")
 
 
 def latest_meta(records: DataFrame) -> DataFrame:

@@ -40,11 +40,15 @@ def path(df: DataFrame, expression: str) -> tuple[Column, T.DataType]:
     if root not in df.columns or root not in allowed:
         return nowhere
     value, kind = F.col(root), df.schema[root].dataType
+    if parts[1:] == ["length"] and root in S.LIST_FIELDS:
+        return F.try_element_at("field_sizes", F.lit(root)).cast("int"), T.IntegerType()  # of the whole profile
     for part in parts[1:]:
         stepped = _step(value, kind, part)
         if stepped is None:
             return nowhere
         value, kind = stepped
+    if any(isinstance(part, int) for part in parts):
+        value = F.when(F.col("page") == 0, value)  # places count from the start of the profile, not of a further row
     return value, kind
 
 
@@ -139,28 +143,24 @@ def project(profiles: DataFrame, config: dict | None = None, country: str = "US"
 
 
 def output_validation(profiles: DataFrame, config: dict | None = None) -> DataFrame:
-    """(candidate_id, valid, errors): is every declared key there?
+    """(candidate_id, valid, errors): does every written document have its declared keys?"""
+    return documents(profiles, config).where(F.col("page") == 0).select("candidate_id", "valid", "errors")
 
-    With the policies ``null`` and ``error`` a missing value still has its key, so
-    only a key that the projection itself did not produce is an error.
-    """
-    out = project(profiles, config)
-    cfg = config or {}
-    produced = set(out.columns)
-    lost = [
-        f["key"] for f in cfg.get("fields") or []
-        if f["key"] not in produced and (cfg.get("missing_policy") or "null") != "omit"
-    ]
-    errors = F.array(*[F.lit(f"Field '{k}' missing from output") for k in lost]).cast("array<string>")
-    return profiles.where(F.col("page") == 0).select("candidate_id", errors.alias("errors")).select(
-        "candidate_id", (F.size("errors") == 0).alias("valid"), "errors"
-    )
+
+def _key_errors(output: Column, cfg: dict) -> Column:
+    """A line per declared key that the document lacks; under ``omit`` keys may lack."""
+    if (cfg.get("missing_policy") or "null") == "omit":
+        return F.array().cast("array<string>")
+    there = F.json_object_keys(output)
+    wanted = F.array(*[F.lit(f["key"]) for f in cfg.get("fields") or []]).cast("array<string>")
+    return F.transform(F.array_except(wanted, there), lambda k: F.format_string("output lacks the key %s", k))
 
 
 def documents(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
-    """(candidate_id, page, output, valid): each output as a JSON text.
+    """(candidate_id, page, output, valid, errors): each output as a JSON text.
 
-    This is where ``omit`` shows: absent keys are left out of the text.
+    This is where ``omit`` shows: keys without a value are left out of the text, nulls inside
+    a value stay. ``conflicts`` is left out under every policy where there is none.
     """
     cfg = config or {}
     out = project(profiles, cfg, country)
@@ -169,8 +169,24 @@ def documents(profiles: DataFrame, config: dict | None = None, country: str = "U
     if "candidate_id" not in declared:
         fields.remove("candidate_id")
     omit = (cfg.get("missing_policy") or "null") == "omit"
-    body = F.to_json(
-        F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "true" if omit else "false"}
-    )
-    own = F.col("candidate_id")
-    return out.select(own, "page", body.alias("output"), F.lit(True).alias("valid"))
+
+    def member(c: str) -> Column:
+        text = F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"})
+        pair = F.substr(text, F.lit(2), F.length(text) - 2)
+        leaves = omit if c in declared else c == "conflicts"
+        return F.when(F.col(f"`{c}`").isNotNull(), pair) if leaves else pair
+
+    body = F.concat(F.lit("{"), F.array_join(F.array(*[member(c) for c in fields]), ","), F.lit("}"))
+    done = out.select(F.col("candidate_id"), "page", body.alias("output"))
+    return done.withColumn("errors", _key_errors(F.col("output"), cfg)).select(
+        "candidate_id", "page", "output", (F.size("errors") == 0).alias("valid"), "errors")
+
+
+def results(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
+    """(candidate_id, page, canonical, output, validation): what the result sink writes per profile."""
+    plain = [c for c in profiles.columns if c not in ("page", "field_sizes")]
+    whole = profiles.select("candidate_id", "page", F.struct(*plain).alias("canonical"))
+    # Both sides are projections of the same rows, so nothing but the key decides.
+    return whole.join(documents(profiles, config, country), ["candidate_id", "page"]).select(
+        "candidate_id", "page", "canonical", F.parse_json("output").alias("output"),
+        F.struct("valid", "errors").alias("validation"))

@@ -24,7 +24,8 @@ def _heads(profiles: DataFrame) -> DataFrame:
 
 
 def _list_size(field: str) -> Column:
-    return F.size(field).cast("long")
+    """Entries of a list over all rows of the profile."""
+    return F.coalesce(F.try_element_at("field_sizes", F.lit(field)), F.lit(0)).cast("long")
 
 
 def profile_table(profiles: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def profile_summary(profiles: DataFrame, skills_shown: int = 12, meta: DataFrame
     else:
         account = F.lit(None).cast("string")
     shown = F.array_join(F.slice("skills", 1, skills_shown), ", ")
-    more = F.size("skills") - skills_shown
+    more = _list_size("skills") - skills_shown
     return heads.select(
         "candidate_id",
         F.coalesce("full_name", F.lit("(no name)")).alias("name"),
@@ -108,7 +109,7 @@ def profile_sources(profiles: DataFrame) -> DataFrame:
 def profile_search(profiles: DataFrame, query: str, outputs: DataFrame | None = None) -> DataFrame:
     """Profiles whose id, output text or canonical text holds the words, in any case."""
     q = query.strip().lower()
-    canonical = F.to_json(F.struct(*[F.col(c) for c in profiles.columns if c != "page"]))
+    canonical = F.to_json(F.struct(*[F.col(c) for c in profiles.columns if c not in ("page", "field_sizes")]))
     hay = profiles.withColumn("_canonical", canonical)
     parts = ["candidate_id", "_canonical"]
     if outputs is not None:

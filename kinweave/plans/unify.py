@@ -46,7 +46,7 @@ class Unified:
         return out
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        IO.write_result(self.documents, self.stats, path, mode)
+        IO.write_result(P.results(self.profiles, self.config), self.stats, path, mode)
 
 
 def unify(
@@ -81,7 +81,10 @@ def unify(
     return Unified(everything, rewrite, fact_rows, fuse.profiles(gathered, fields), config, files)
 
 
-def unify_folder(spark: SparkSession, path: str, config: dict | None = None, as_of_year: int | None = None, **options) -> Unified:
-    """The same over a folder of source files."""
-    records = IO.read_folder(spark, path, as_of_year=as_of_year)
+def unify_folder(
+    spark: SparkSession, path: str, config: dict | None = None, as_of_year: int | None = None,
+    multi_line: bool = True, json_lines: bool = False, country: str = "US", **options,
+) -> Unified:
+    """The same over a folder of source files. ``multi_line=False`` and ``json_lines=True`` let large files be split."""
+    records = IO.read_folder(spark, path, multi_line, json_lines, as_of_year, country)
     return unify(records, config, files=IO.discover(spark, path), **options)

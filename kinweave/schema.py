@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # ---------------------------------------------------------------- types ----
 
@@ -25,6 +25,7 @@ RECORD_SEQ = T.StructType(
         T.StructField("origin", T.StringType()),
         T.StructField("block", T.LongType()),
         T.StructField("pos", T.LongType()),
+        T.StructField("item", T.LongType()),
     ]
 )
 GITHUB_META = T.StructType(
@@ -224,8 +225,13 @@ NUMBERING_PLANS = {
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Project onto the record layout, adding typed nulls for absent columns."""
+    """Project onto the record layout, adding typed nulls for absent columns.
+
+    Positions without an item index, of rows that hold one record, get item 0.
+    """
     have = set(df.columns)
+    if "record_seq" in have and "item" not in df.schema["record_seq"].dataType.names:
+        df = df.withColumn("record_seq", F.struct(*[f"record_seq.{n}" for n in ("origin", "block", "pos")], F.lit(0).alias("item")))
     return df.selectExpr(
         *[f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in RECORD.fields]
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from kinweave import schema as S
 from kinweave.sources import records as R
@@ -49,9 +51,7 @@ def _text_files(spark: SparkSession, path: str, glob: str, kind: str, **options)
             "value",
             F.col("_metadata.file_name").alias("file_name"),
             R.seq(
-                F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                # One row may expand into many records, so positions are spread out.
-                F.monotonically_increasing_id() * F.lit(1 << 20),
+                F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id(),
             ).alias("record_seq"),
         )
     )
@@ -92,15 +92,21 @@ def read_delimited(
     multi_line: bool = True,
     as_of_year: int | None = None,
     country: str = "US",
+    header: str | None = None,
 ) -> DataFrame:
-    """People lists sharing one header line.
+    """People lists sharing one header line, which is looked up unless ``header`` gives it.
 
+    Columns are told apart by position, so names may occur twice.
     ``multi_line=False`` splits large files; it needs files without line breaks
     inside quotes. Rows without id, name and email are named after their row
     number; only those rows take part in the join that finds it.
     """
+    if header is None:
+        header = next(iter(header_groups(spark, path)), "")
+    written = tuple(next(csv.reader([header.removeprefix("\ufeff")], skipinitialspace=True), []))
+    columns = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(written))])
     raw = (
-        spark.read.option("recursiveFileLookup", True)
+        spark.read.schema(columns).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .options(header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
         .options(ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -112,7 +118,7 @@ def read_delimited(
             F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
         ).alias("record_seq"),
     )
-    named = F.coalesce(*[R.pick(rows, S.COLUMN_ALIASES[t]) for t in ("candidate_id", "email", "name")])
+    named = F.coalesce(*[R.pick(rows, S.COLUMN_ALIASES[t], written) for t in ("candidate_id", "email", "name")])
     keyed = rows.where(named.isNotNull()).withColumn("_row_number", F.lit(None).cast("long"))
     at = [F.col("record_seq.origin").alias("_file"), F.col("record_seq.block").alias("_block")]
     blocks = rows.groupBy(*at).agg(
@@ -128,11 +134,11 @@ def read_delimited(
         .drop("_file", "_block", "_base", "_rows", "_before")
     )
     return R.delimited_records(
-        keyed.unionByName(numbered), row_number="_row_number", as_of_year=as_of_year, country=country
+        keyed.unionByName(numbered), row_number="_row_number", as_of_year=as_of_year, country=country, header=written
     )
 
 
-def header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+def header_groups(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
     """Files of a folder by header line. Driver metadata, like the file listing itself."""
     first = _text_files(spark, path, "*.[cC][sS][vV]", DELIMITED).where(
         (F.col("record_seq.block") == 0) & (F.trim("value") != "")
@@ -167,8 +173,8 @@ def read_folder(
     frames = []
     if DELIMITED in kinds:
         frames += [
-            read_delimited(spark, files, multi_line, as_of_year, country)
-            for _, files in sorted(header_groups(spark, path).items())
+            read_delimited(spark, files, multi_line, as_of_year, country, header)
+            for header, files in sorted(header_groups(spark, path).items())
         ]
     if JSON in kinds:
         frames.append(read_json(spark, path, json_lines, country))
@@ -200,7 +206,8 @@ def ingest_report(files: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def write_result(documents: DataFrame, stats: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Result sink: ``profiles`` ordered by id as line-delimited JSON, one small table per statistic."""
+    """Result sink: ``profiles`` ordered by id as line-delimited JSON with the canonical profile, the output and its
+    validation as objects, and one small table per statistic."""
     ordered = documents.repartitionByRange("candidate_id", "page").sortWithinPartitions("candidate_id", "page")
     ordered.write.mode(mode).json(f"{path}/profiles", ignoreNullFields=False)
     for name, frame in stats.items():

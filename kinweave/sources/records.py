@@ -12,13 +12,14 @@ from kinweave import schema as S
 from kinweave.functions import standardize as N, text as X
 
 
-def seq(origin: Column | str, block: Column | int = 0, pos: Column | int = 0) -> Column:
-    """Position of a record in the total input order."""
+def seq(origin: Column | str, block: Column | int = 0, pos: Column | int = 0, item: Column | int = 0) -> Column:
+    """Position of a record in the total input order; ``item`` counts the records of one row."""
     col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
         col(origin).cast("string").alias("origin"),
         col(block).cast("long").alias("block"),
         col(pos).cast("long").alias("pos"),
+        col(item).cast("long").alias("item"),
     )
 
 
@@ -34,23 +35,23 @@ def one_or_none(value: Column) -> Column:
 # ------------------------------------------------------------ delimited ----
 
 
-def pick(df: DataFrame, spellings: tuple[str, ...]) -> Column:
+def pick(df: DataFrame, spellings: tuple[str, ...], header: tuple[str, ...] | None = None) -> Column:
     """First non-blank cell among the columns whose name is one of ``spellings``.
 
-    Names are compared trimmed and lower-cased; the order of ``spellings`` decides.
+    Names are compared trimmed and lower-cased; the order of ``spellings`` decides, and of
+    columns with the same name the first counts. ``header`` holds the names as written
+    where the columns themselves are only numbered.
     """
-    by_name: dict[str, list[str]] = {}
-    for c in df.columns:
-        by_name.setdefault(c.strip().lower(), []).append(c)
-    cells = [
-        N.blank_to_null(N.trim(F.col(f"`{c}`").cast("string"))) for s in spellings for c in by_name.get(s, [])
-    ]
+    by_name: dict[str, str] = {}
+    for c, written in zip(df.columns, header or df.columns):
+        by_name.setdefault(written.strip().lower(), c)
+    cells = [N.blank_to_null(N.trim(F.col(f"`{by_name[s]}`").cast("string"))) for s in spellings if s in by_name]
     return F.coalesce(*cells) if cells else F.lit(None).cast("string")
 
 
-def alias_match(df: DataFrame, aliases=S.COLUMN_ALIASES, keep: tuple[str, ...] = ()) -> DataFrame:
+def alias_match(df: DataFrame, aliases=S.COLUMN_ALIASES, keep: tuple[str, ...] = (), header: tuple[str, ...] | None = None) -> DataFrame:
     """Rename a people list of any column spelling to the known targets."""
-    return df.select(*keep, *[pick(df, spellings).alias(target) for target, spellings in aliases.items()])
+    return df.select(*keep, *[pick(df, spellings, header).alias(target) for target, spellings in aliases.items()])
 
 
 def delimited_records(
@@ -59,11 +60,12 @@ def delimited_records(
     row_number: str | None = None,
     as_of_year: int | None = None,
     country: str = "US",
+    header: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Rows of a people list. ``row_number`` names a column holding the 1-based row
     number in its file, needed only by rows without id, name and email."""
     keep = tuple(dict.fromkeys(c for c in (record_seq, row_number) if c))
-    d = alias_match(df, keep=keep)
+    d = alias_match(df, keep=keep, header=header)
     number = F.col(row_number) if row_number else F.lit(None)
     has_role = F.col("company").isNotNull() | F.col("headline").isNotNull()
     role = X.experience_struct(
@@ -143,12 +145,15 @@ def json_records(
         )
 
     default = conf(S.SOURCE_TRUST["ats_json"][1])
+    given = F.try_variant_get(c, "$.confidence", "double")
+    trusted = given.try_cast(S.CONFIDENCE)
     return S.conform(
         each.select(
-            seq(F.col("_seq.origin"), F.col("_seq.block"), F.col("_seq.pos") + F.col("_i")).alias("record_seq"),
+            seq(F.col("_seq.origin"), F.col("_seq.block"), F.col("_seq.pos"), F.col("_i")).alias("record_seq"),
             F.lit("ats_json").alias("source"),
             _text(c, "$.candidate_id", "$.id").alias("candidate_id"),
-            F.coalesce(F.try_variant_get(c, "$.confidence", "double").cast(S.CONFIDENCE), default).alias("confidence"),
+            F.coalesce(trusted, default).alias("confidence"),
+            F.when(given.isNotNull() & trusted.isNull(), "confidence out of range").alias("error"),
             N.name(_text(c, "$.full_name", "$.name")).alias("full_name"),
             N.compact(F.transform(_texts(c, "$.emails", "$.email"), N.email)).alias("emails"),
             N.compact(F.transform(_texts(c, "$.phones", "$.phone"), lambda p: N.phone(p, country))).alias("phones"),
@@ -183,7 +188,7 @@ def note_blocks(df: DataFrame, value: str = "value", record_seq: str = "record_s
     block = N.trim(F.col("_b"))
     marker = F.regexp_extract(block, r"(?m)^CANDIDATE_ID:\s*(\S+)", 1)
     return blocks.select(
-        seq(F.col("_seq.origin"), F.col("_seq.block"), F.col("_seq.pos") + F.col("_i")).alias("record_seq"),
+        seq(F.col("_seq.origin"), F.col("_seq.block"), F.col("_seq.pos"), F.col("_i")).alias("record_seq"),
         marker.alias("candidate_id"),
         block.alias("block"),
     ).where(F.col("candidate_id") != "")

@@ -181,3 +181,39 @@ def test_summary_shows_the_account(spark):
     p = fuse.profiles(fuse.gather(fuse.facts(r)))
     row = report.profile_summary(p, skills_shown=1, meta=fuse.latest_meta(r)).first()
     assert row["account"] == "@rohan (3 repos, 4 followers)" and row["skills"] == "Go +1 more" and row["place"] == "—"
+
+
+def test_first_spelling_inside_a_record_stays(spark):
+    rows = [(2, "resume", "a", None, None, None, [], ["ros"]), (1, "resume", "a", None, None, None, [], ["ROS", "Ros", "go", "GO"])]
+    got = {r["key"]: r["value"] for r in fuse.facts(records(spark, rows), ("skills",)).collect()}
+    assert got == {"ros": "ROS", "go": "go"}
+
+
+def test_profile_means_the_same_at_every_size(spark):
+    """Counts and places of a profile laid out over several rows are those of the whole profile."""
+    rows = [(i, "ats_json", "big", None, "N", None, [f"e{i:02}@x.org"], [f"s{i:02}"]) for i in range(23)]
+    cfg = {"fields": [{"key": "mail", "from": "emails[0]"}, {"key": "third", "from": "skills[2]"}, {"key": "n", "from": "skills.length"}],
+           "include_provenance": False, "include_confidence": False}
+    seen = []
+    for page_rows in (4, 1000):
+        p = fuse.profiles(fuse.gather(fuse.facts(records(spark, rows)), page_rows))
+        out = [r.asDict() for r in P.project(p, cfg).where("mail IS NOT NULL").drop("page", "missing_keys").collect()]
+        seen.append((out, report.profile_table(p).collect()))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 1
+    assert seen[0][0][0]["n"] == 23 and seen[0][1][0]["n_skills"] == 23
+
+
+def test_omit_drops_keys_but_no_nulls_inside_values(spark):
+    one = records(spark, [(1, "ats_json", "x", None, None, None, [], [])]).withColumn(
+        "location", F.expr("cast(named_struct('city', 'Ulm', 'region', null, 'country', 'DE', 'raw', 'Ulm') AS " + S.LOCATION.simpleString() + ")"))
+    p = fuse.profiles(fuse.gather(fuse.facts(S.conform(one))))
+    cfg = {"fields": [{"key": "place", "from": "location"}, {"key": "name", "from": "full_name"}], "missing_policy": "omit"}
+    out = json.loads(P.documents(p, cfg).first()["output"])
+    assert out["place"] == {"city": "Ulm", "region": None, "country": "DE", "raw": "Ulm"} and "name" not in out
+    assert "conflicts" not in json.loads(P.documents(p, cfg | {"missing_policy": "null"}).first()["output"])
+
+
+def test_results_hold_profile_output_and_validation(spark):
+    p = fuse.profiles(fuse.gather(fuse.facts(records(spark, ROHAN))))
+    row = json.loads(P.results(p, C.SLIM).toJSON().first())
+    assert row["canonical"]["candidate_id"] == "c14" and row["output"]["id"] == "c14" and row["validation"]["valid"]

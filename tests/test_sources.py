@@ -124,7 +124,7 @@ def test_whole_folder(spark, folder, tmp_path):
     assert (totals["total_records"], totals["orphan_records"], totals["files"]) == (13, 1, 8)
     u.write(str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out" / "profiles"))
-    assert back.count() == len(p) and json.loads(back.where("candidate_id = 'p1'").first()["output"])["full_name"] == "Ada Byron"
+    assert back.count() == len(p) and back.where("candidate_id = 'p1'").first()["output"]["full_name"] == "Ada Byron"
     assert spark.read.json(str(tmp_path / "out" / "stats" / "totals")).first()["groups_after"] == len(p)
 
 
@@ -178,3 +178,26 @@ def test_extra_links_and_toggles(spark):
     assert [tuple(r) for r in on.stats["merges"].collect()] == [("derived_ada", "a")]
     off = unify(base, None, prof, repos, enrich=False)
     assert off.records.count() == 1
+
+
+def test_doubled_headers_take_the_first_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,Email,email,name\n1,a@x.org,b@x.org,Ann\n2,c@x.org,,Bob\n")
+    got = {r["candidate_id"]: r["emails"] for r in IO.read_delimited(spark, str(tmp_path)).collect()}
+    assert got == {"1": ["a@x.org"], "2": ["c@x.org"]}
+
+
+def test_confidence_out_of_range_is_an_error_of_its_record(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "a", "confidence": 95}, {"id": "b", "confidence": 0.5}, {"id": "c"}]')
+    got = {r["candidate_id"]: (float(r["confidence"]), r["error"]) for r in IO.read_json(spark, str(tmp_path)).collect()}
+    assert got == {"a": (0.95, "confidence out of range"), "b": (0.5, None), "c": (0.95, None)}
+
+
+def test_positions_hold_beyond_a_thousand_partitions(spark):
+    """Ids of partition 1,024 and later use up to 45 bits; nothing may multiply them."""
+    from pyspark.sql import functions as F
+    from kinweave.sources import records as R
+
+    d = spark.range(0, 3000, 1, 1500).select(
+        F.lit('[{"id": "a"}, {"id": "b"}]').alias("value"), R.seq("f", 0, F.monotonically_increasing_id()).alias("record_seq"))
+    got = R.json_records(d).select("record_seq").distinct()
+    assert got.count() == 6000 and got.agg(F.max("record_seq.item")).first()[0] == 1

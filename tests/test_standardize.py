@@ -22,7 +22,7 @@ CASES = {
         "2021-13": "2021-13", "soon": None, "Sept. 2020": "2020-09", "": None,
     }),
     "country": (lambda c: N.country(c), {"USA": "US", "Atlantis": None, "UK": "UK", "england": "GB"}),
-    "country_iso": (lambda c: N.country(c, iso_check=True), {"UK": "GB", "ZQ": None, "de": "DE"}),
+    "country_iso": (lambda c: N.country(c, known_codes=("GB", "DE", "IT")), {"UK": "GB", "ZQ": None, "de": "DE", "it": "IT"}),
     "location": (lambda c: N.location(c), {
         "San Francisco, CA": ("San Francisco", None, "CA", "San Francisco, CA"),
         "Mexico City, Mexico": ("Mexico City", "Mexico", None, "Mexico City, Mexico"),

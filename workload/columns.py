@@ -173,8 +173,7 @@ def std_years(spark, sf):
         .otherwise(F.concat(F.lit("since "), at))
     )
     d = table(spark, sf, "orders").select(k.alias("k"), raw.alias("raw"))
-    # "-0" is a number and reads as zero.
-    return d.select("k", "raw", F.abs(N.years(F.col("raw"), 2024)).alias("yoe"))
+    return d.select("k", "raw", N.years(F.col("raw"), 2024).alias("yoe"))
 
 
 # --------------------------------------------------------------- skills ----
@@ -587,7 +586,7 @@ def first_name_line(spark, sf):
 @query(
     "first_cue_lines",
     """
-SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' Engineer' WHEN 1 THEN 'team lead, ' || c_mktsegment END AS role_line,
+SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' Engineer' WHEN 1 THEN 'team lead, ' || c_mktsegment ELSE 'second engineer, UK' END AS role_line,
   CASE c_custkey % 3 WHEN 2 THEN 'Berlin' ELSE 'Town ' || c_custkey END AS city,
   CASE c_custkey % 3 WHEN 1 THEN 'US' WHEN 2 THEN 'DE' ELSE 'CA' END AS country
 FROM customer
@@ -604,10 +603,7 @@ def first_cue_lines(spark, sf):
     t = F.concat(F.lit("a text\r\n\n  "), role, F.lit("\n"), place, F.lit("\nsecond engineer, UK"), F.lit(" " * 70))
     d = table(spark, sf, "customer").select(k.alias("k"), X.lines(t).alias("l"))
     d = d.select("k", X.first_role_line(F.col("l")).alias("role_line"), X.first_place_line(F.col("l")).alias("p"))
-    return d.select(
-        "k", F.when(~F.col("role_line").startswith("second"), F.col("role_line")).alias("role_line"),
-        "p.city", "p.country",
-    )
+    return d.select("k", "role_line", "p.city", "p.country")
 
 
 @query(

@@ -215,3 +215,46 @@ def top_k_recent(spark, sf):
         (F.col("event_id") % 9 == 0).alias("fork"), F.col("ts").alias("updated_at"),
     )
     return enrich.top_languages(repos, k=10, recent=5).select("handle", F.array_join("languages", ",").alias("languages"))
+
+
+@query(
+    "fuse_first_seen",
+    """
+WITH words AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part),
+items AS (
+  SELECT 'c' || p_partkey % 500 AS candidate_id, p_partkey AS pos, unnest(list_concat(list_transform(w, lambda x: upper(x)), w)) AS value,
+         generate_subscripts(list_concat(w, w), 1) AS i FROM words)
+SELECT candidate_id, lower(value) AS key, arg_min(value, (pos, i)) AS value FROM items GROUP BY candidate_id, lower(value)""",
+)
+def fuse_first_seen(spark, sf):
+    """Of several spellings the one seen first stays, by record and then by place inside the record."""
+    words = F.split("p_name", " ")
+    parts = table(spark, sf, "part").select(
+        F.struct(F.lit("part").alias("origin"), F.lit(0).cast("long").alias("block"), F.col("p_partkey").alias("pos")).alias("record_seq"),
+        F.lit("ats_json").alias("source"), F.concat(F.lit("c"), (F.col("p_partkey") % 500).cast("string")).alias("candidate_id"),
+        F.concat(F.transform(words, F.upper), words).alias("skills"),
+    )
+    return fuse.facts(S.conform(parts), ("skills",)).select("candidate_id", "key", "value")
+
+
+@query(
+    "fuse_first_history",
+    """
+WITH rows AS (
+  SELECT o_custkey % 40 AS c, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS i FROM orders)
+SELECT 'c' || c AS candidate_id, 'acme|' || lower(o_orderpriority) || '|' AS key, arg_min('order ' || o_orderkey, i) AS location
+FROM rows GROUP BY c, lower(o_orderpriority)""",
+)
+def fuse_first_history(spark, sf):
+    """Rows of one record that say the same about a company and title: the first keeps its place."""
+    roles = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 40).alias("c")).agg(
+        F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("r"))
+    records = roles.select(
+        F.struct(F.lit("orders").alias("origin"), F.lit(0).cast("long").alias("block"), F.col("c").cast("long").alias("pos")).alias("record_seq"),
+        F.lit("resume").alias("source"), F.concat(F.lit("c"), F.col("c").cast("string")).alias("candidate_id"),
+        F.transform("r", lambda r: F.struct(
+            F.lit("Acme").alias("company"), r.o_orderpriority.alias("title"), F.lit(None).cast("string").alias("start_date"),
+            F.lit(None).cast("string").alias("end_date"), F.concat(F.lit("order "), r.o_orderkey.cast("string")).alias("location"))).alias("experience"),
+    )
+    out = fuse.facts(S.conform(records), ("experience",))
+    return out.select("candidate_id", "key", F.get_json_object("value", "$.location").alias("location"))

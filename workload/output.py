@@ -263,7 +263,9 @@ WHERE contains(lower(concat_ws(' ', candidate_id, full_name, headline, location,
   array_to_string(skills, ' '), array_to_string(links, ' '), array_to_string(experience, ' '), array_to_string(education, ' '))), 'machinery')""",
 )
 def profile_search(spark, sf):
-    return report.profile_search(canonical(spark, sf), " MACHINERY ").select("candidate_id")
+    profiles = canonical(spark, sf)
+    outputs = P.documents(profiles, C.HIRING)
+    return report.profile_search(profiles, " MACHINERY ", outputs).select("candidate_id")
 
 
 # ------------------------------------------------------------ whole job ----

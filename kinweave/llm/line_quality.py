@@ -149,6 +149,8 @@ class Model:
         return forward_backward(features @ self.weights, borders, self.step)[0]
 
     def scores(self, mean: np.ndarray) -> np.ndarray:
+        if not self.weights.any():  # nothing was learnt
+            return np.full(len(mean), self.share)
         with np.errstate(invalid="ignore"):
             out = 1 / (1 + np.exp(-np.clip(self.slope * mean + self.shift, -30, 30)))
         return np.where(np.isnan(mean), self.share, out)

@@ -9,7 +9,8 @@ A document leaks an item when its consistent windows cover enough of it.
 
 * number: a word of digits and marks, or digits with up to three letters ("5km");
 * unit: a word of ``UNITS`` after a number;
-* name: a plain capital followed by a small letter, not at the start of a line or sentence.
+* name: a plain capital followed by a small letter, not at the start of a line or sentence. Windows
+  with names are also compared with the names as they stand, whatever the case.
 
 Windows have ``size`` words; an item with fewer words is one window of its own
 length. Windows of which less than half are literal words say nothing and are
@@ -66,14 +67,14 @@ def _inner_words(texts: Texts) -> tuple[np.ndarray, ...]:
     return inner[low], inner[high - 1] + 1, start[kept], end[kept], np.repeat(np.arange(len(texts)), np.diff(first))[kept]
 
 
-def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash and own hash of every word, whether it is a placeholder, and per text its first word (n + 1 borders)."""
+def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template hash and own hash of every word, whether it is a placeholder, whether a name, and per text its first word (n + 1 borders)."""
     texts, small = Texts(column), Texts(pc.utf8_lower(column))
     data = texts.data
     begin, past, start, end, owner = _inner_words(texts)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), first
     own = small.hashes(*_inner_words(small)[:2])
 
     def count(mask: np.ndarray) -> np.ndarray:
@@ -93,21 +94,29 @@ def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     name = inside & CAPITALS[data[begin]] & (past - begin > 1) & (SMALL[data[second]] | (data[second] >= 0x80)) & ~unit
     slot = number | unit | name
     kind = np.where(number, _NUMBER, np.where(unit, _UNIT, _NAME))
-    return np.where(slot, mix(kind), own), own, slot, first
+    return np.where(slot, mix(kind), own), own, slot, name, first
 
 
 def _windows(column: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple]:
-    """(width, text, hash, place, slots, words per text) for the windows of each width that are at least half literal."""
-    words, own, slot, first = template(column)
-    slots_before = np.concatenate([[0], np.cumsum(slot)])
-    values = own[slot].view(np.int64)
-    for width in widths:
-        hashes, begin, borders = windows(words, first, width)
-        hashes = mix(hashes + np.uint64(width))
-        owner = np.repeat(np.arange(len(column)), np.diff(borders))
-        n_slots = slots_before[begin + width] - slots_before[begin]
-        fine = 2 * n_slots <= width
-        yield width, owner[fine], hashes[fine], (begin - first[owner])[fine], (slots_before[begin][fine], n_slots[fine], values), np.diff(first)
+    """(width, text, hash, place, slots, words per text) for the windows of each width that are at least half literal.
+
+    Windows with names come a second time with the names as plain words, for texts that are
+    all in capitals or small letters.
+    """
+    words, own, slot, name, first = template(column)
+    names_before = np.concatenate([[0], np.cumsum(name)])
+    for hide, shown, marked in ((False, words, slot), (True, np.where(name, own, words), slot & ~name)):
+        slots_before = np.concatenate([[0], np.cumsum(marked)])
+        values = own[marked].view(np.int64)
+        for width in widths:
+            hashes, begin, borders = windows(shown, first, width)
+            hashes = mix(hashes + np.uint64(width))
+            owner = np.repeat(np.arange(len(column)), np.diff(borders))
+            n_slots = slots_before[begin + width] - slots_before[begin]
+            fine = 2 * n_slots <= width
+            if hide:
+                fine &= names_before[begin + width] > names_before[begin]
+            yield width, owner[fine], hashes[fine], (begin - first[owner])[fine], (slots_before[begin][fine], n_slots[fine], values), np.diff(first)
 
 
 def _lists(slots: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> pa.Array:

@@ -15,12 +15,14 @@ capped or sampled.
   the other n-grams of a part differ. Empty parts are left out where the surplus
   of parts allows it. In the lowest tile linked sets differ by one element, and
   sets are filed under themselves and themselves less one element instead.
-* **Stars.** Under a key every set is compared with the smallest and the largest
-  class only (linear, however many share it); verified links are contracted.
+* **Stars.** Under a key every set is compared with three others only, the smallest and
+  the largest class and the one that meets most sets under all keys (linear, however
+  many share the key); verified links are contracted.
 * **Blocks.** Keys whose sets then still belong to several clusters are compared
-  in full, in blocks of bounded size: bit counts of 1,024-bit signatures bound the
-  overlap from above, (|A| + |B| - bits of A xor B) / 2, and drop nearly all pairs inside the
-  task; only survivors become rows and are intersected as sorted arrays.
+  in full, in blocks of bounded size (keys with the same sets are one): bit counts of
+  hashed signatures bound the overlap from above, (|A| + |B| - bits of A xor B) / 2,
+  and drop nearly all pairs inside the task; only survivors become rows and are
+  intersected as sorted arrays. A signature has four to eight bits per n-gram.
 
 Null and empty texts have an empty set and link with nothing. A row without id
 gets no component. Repeated ids are one document with several texts, ties do not
@@ -40,10 +42,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.words import Texts, mix, shingle_sets, slices
 from kinweave.operators.components import connected_components
-from kinweave.operators.skew import cut
+from kinweave.operators.skew import cut, cut_counted
 
-BITS = 1024
-BLOCK = 256
+BLOCK = 2048
+BUCKET = 20_000
+CHUNK = 1 << 18
+# Up to so many classes (16 bytes each) are sent to every executor to fetch their texts.
+FETCH = 1_000_000
 _A, _B, _C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -59,7 +64,7 @@ class Tiles:
     def __init__(self, t: Fraction, growth: float = 1.6):
         self.t = t
         # Up to this size a linked larger set has one element more and is a superset.
-        self.tiny = max(n for n in range(1, 10_000) if self.reach(n) <= n + 1 and 2 * (n - need(n, n, t)) < 2)
+        self.tiny = next(n for n in range(1, 1 << 30) if self.reach(n + 1) > n + 2 or need(n + 1, n + 1, t) <= n)
         edges = [1, self.tiny + 1]
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 2, int(edges[-1] * growth)))
@@ -72,15 +77,18 @@ class Tiles:
         return n * self.t.denominator // self.t.numerator
 
     def differ(self, n: int) -> int:
-        """The most elements in which a set of at most n and a linked larger set differ."""
-        top = self.reach(n)
-        return n + top - 2 * need(n, top, self.t)
+        """The most elements in which a set of at most n and a linked larger set differ: (1 - t) / (1 + t) of both sizes."""
+        low, top = self.t.denominator - self.t.numerator, self.t.denominator + self.t.numerator
+        return (n + self.reach(n)) * low // top
 
     def of(self, n: int) -> list[int]:
-        """Tiles of a set: its own band, and the one below if that reaches up to it."""
-        own = int(np.searchsorted(self.edges, n, side="right")) - 1
-        below = own - 1
-        return [own, below] if below >= 0 and self.reach(int(self.edges[own]) - 1) >= n else [own]
+        """Tiles of a set: its own band, and those below whose sets can link with one of its size."""
+        tile = int(np.searchsorted(self.edges, n, side="right")) - 1
+        out = [tile]
+        while tile and self.reach(int(self.edges[tile]) - 1) >= n:
+            tile -= 1
+            out.append(tile)
+        return out
 
 
 def keys_of(hashes: np.ndarray, tiles: Tiles) -> np.ndarray:
@@ -111,11 +119,45 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def bitmap_of(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(mix(hashes + _B) % np.uint64(BITS)).astype(np.int64)] = True
+    """A bit per n-gram at its hash modulo a power of two, at least four times the size of the set."""
+    width = np.uint64(max(512, 1 << (4 * len(hashes) - 1).bit_length()))
+    bits = np.zeros(int(width), bool)
+    bits[(mix(hashes + _B) % width).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+class Signatures:
+    """The signatures of some sets, laid over themselves (folded) to any smaller width on demand."""
+
+    def __init__(self, bits: list[bytes], size: np.ndarray):
+        self.bits, self.size = bits, size
+        self.width = np.array([len(b) for b in bits], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        if width not in self.folded:
+            rows = np.flatnonzero(self.width >= width)
+            place = np.full(len(self.width), -1)
+            place[rows] = np.arange(len(rows))
+            self.folded[width] = place, np.stack(
+                [np.bitwise_or.reduce(np.frombuffer(self.bits[i], np.uint64).reshape(-1, width // 8), axis=0) for i in rows])
+        return self.folded[width]
+
+    def overlap_bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The most that the sets x and y can have in common, pair by pair; of two widths the smaller counts."""
+        bound = np.minimum(self.size[x], self.size[y]).astype(np.int64)
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width):
+            place, bits = self.at(int(w))
+            pairs = np.flatnonzero(width == w)
+            step = max(1, (8 << 20) // int(w))
+            for k in range(0, len(pairs), step):
+                at = pairs[k:k + step]
+                apart = np.bitwise_count(bits[place[x[at]]] ^ bits[place[y[at]]]).sum(1, dtype=np.int64)
+                bound[at] = np.minimum(bound[at], (self.size[x[at]] + self.size[y[at]] - apart) // 2)
+        return bound
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -163,21 +205,21 @@ def file_keys(docs: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text
 def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     """Pairs (a, b) of classes whose sizes and bit counts allow a link."""
     top, low = t.numerator, t.numerator + t.denominator
-    side = lambda x: classes.select(
-        F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        f"{low} * least(na, nb) >= {top} * (na + nb)"  # even full containment must reach the overlap
-    )
+    size = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"))
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("bits").alias(f"bits{x}"))
+    # Sizes first: even full containment must reach the overlap. Signatures travel only for what is left.
+    sized = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(f"{low} * least(na, nb) >= {top} * (na + nb)"))
+    signed = sized.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (4, 5)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
-            fine = (na + nb - apart) // 2 >= need(na, nb, t)
+            n = np.arange(len(a))
+            both = Signatures(batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.concatenate([na, nb]))
+            fine = both.overlap_bound(n, n + len(a)) >= need(na, nb, t)
             yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine])], ["a", "b"])
 
-    return sized.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(check, "a long, b long")
+    return signed.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -187,8 +229,9 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, t: F
     are read again.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    chosen = members.join(wanted, "class", "left_semi").select(F.col("id"), F.col("class").alias("named"))
-    texts = _sets(docs, id_col, text_col).join(chosen, "id")
+    chosen, rows = cut_counted(members.join(wanted, "class", "left_semi").select("id", F.col("class").alias("named")))
+    # A checked size decides how the texts are fetched: without moving them, or through a shuffle.
+    texts = _sets(docs, id_col, text_col).join(F.broadcast(chosen) if rows <= FETCH else chosen.hint("shuffle_hash"), "id")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -215,39 +258,55 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, t: F
 
 
 def _block_pairs(shared: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of different clusters under a common key that the bounds allow.
+    """Pairs of different clusters under a common key that sizes and bit counts allow.
 
-    ``shared`` has (key, class, root). A key with many classes is dealt into blocks
-    of about ``BLOCK``; every pair of blocks is one small group.
+    ``shared`` has (key, class, root). A key with many classes is dealt into blocks of
+    about ``BLOCK`` and every two blocks meet; small keys are handed to a task many at a time.
     """
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    dealt = (
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"))
+    dealt, rows = cut_counted(
         shared.join(sizes, "key")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         .withColumn("own", F.pmod(F.xxhash64("class", "key"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root")
+        .select("low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "own", "class", "root")
     )
-    rows = dealt.join(classes.select("class", "n_shingles", "bits"), "class")
-
-    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class", ignore_index=True)
-        size, root, own = (rows[c].to_numpy() for c in ("n_shingles", "root", "own"))
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS // 64)
-        named, i, j = rows["class"].to_numpy(), key[1], key[2]
-        found = []
-        for x in range(len(rows) - 1):
-            apart = np.bitwise_count(bits[x] ^ bits[x + 1:]).sum(1, dtype=np.int64)
-            both = size[x] + size[x + 1:]
-            fine = (both - apart) // 2 >= need(size[x], size[x + 1:], t)
-            fine &= (root[x + 1:] != root[x]) & (np.minimum(size[x], size[x + 1:]) >= need(size[x], size[x + 1:], t))
-            if i != j:
-                fine &= own[x + 1:] != own[x]
-            found.append((np.full(fine.sum(), named[x]), named[x + 1:][fine]))
-        return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or [[]]).astype(np.int64),
-                             "b": np.concatenate([f[1] for f in found] or [[]]).astype(np.int64)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long").distinct()
+    # Keys with the same smallest set have most of their sets in common; together they need each signature once.
+    placed = dealt.select(
+        F.pmod(F.xxhash64("low", "i", "j"), F.lit(rows // BUCKET + 1)).alias("bucket"),
+        F.xxhash64("key", "i", "j").alias("block"), (F.col("i") != F.col("j")).alias("mixed"), "own", "class", "root")
+    signed = placed.select(F.col("bucket").alias("near"), F.col("class").alias("named")).distinct() \
+        .join(classes.select(F.col("class").alias("named"), "n_shingles", "bits"), "named")
+
+    def tile(key: tuple, rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "root", "class"], ignore_index=True)
+        sets = sets.sort_values("named", ignore_index=True)
+        root, own, mixed, block, named = (rows[c].to_numpy() for c in ("root", "own", "mixed", "block", "class"))
+        at = np.searchsorted(sets["named"].to_numpy(), named)
+        size = sets["n_shingles"].to_numpy()[at]
+        signs = Signatures(sets["bits"].tolist(), sets["n_shingles"].to_numpy())
+        # Sorted by cluster, a set meets the rest of its block after the end of its own cluster.
+        edge = np.flatnonzero((np.diff(block) != 0) | (np.diff(root) != 0)) + 1
+        behind = np.append(edge, len(rows))[np.searchsorted(edge, np.arange(len(rows)), side="right")]
+        many = np.searchsorted(block, block, side="right") - behind
+        ahead = np.cumsum(many)
+        begin, found = 0, [np.zeros((0, 2), np.int64)]
+        while begin < len(rows):
+            past = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + CHUNK, side="right")))
+            n = many[begin:past]
+            x = np.repeat(np.arange(begin, past), n)
+            y = behind[x] + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            enough = need(size[x], size[y], t)
+            fine = (np.minimum(size[x], size[y]) >= enough) & (~mixed[x] | (own[x] != own[y]))
+            x, y, enough = x[fine], y[fine], enough[fine]
+            fine = signs.overlap_bound(at[x], at[y]) >= enough
+            pair = np.stack([named[x[fine]], named[y[fine]]], axis=1)
+            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+            begin = past
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+
+    return placed.groupBy("bucket").cogroup(signed.groupBy("near")).applyInPandas(tile, "a long, b long").distinct()
 
 
 def similar_components(
@@ -270,8 +329,12 @@ def similar_components(
     )
     # Sets under a shared key: again through the shuffle, but only those that meet stay.
     shared = cut(keys.join(met.hint("shuffle_hash"), "key").distinct())
-    stars = (
-        shared.select(F.col("class").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    # The set that meets others most often under a key is the likely original of a group of near copies.
+    weight = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degree = shared.join(weight, "key").groupBy("class").agg(F.sum(F.col("n") - 1).alias("degree"))
+    middle = shared.join(degree, "class").groupBy("key").agg(F.max(F.struct("degree", "class")).alias("top"))
+    stars = cut(
+        shared.join(middle, "key").select(F.col("class").alias("a"), F.explode(F.array("low", "high", "top.class")).alias("b"))
         .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     members = classes.select("class", "id")
@@ -280,7 +343,13 @@ def similar_components(
 
     labelled = shared.select("key", "class").join(roots.withColumnRenamed("id", "class"), "class", "left") \
         .withColumn("root", F.coalesce("root", "class"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    # Keys with sets of several clusters; of keys with the same sets one is enough.
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"),
+             F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("h2"))
+        .where("x < y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    )
     # Pairs that a star has already tried are not tried again.
     rest = _block_pairs(cut(labelled.join(open_keys, "key", "left_semi")), classes, t).join(stars, ["a", "b"], "left_anti")
     rest = cut(rest)

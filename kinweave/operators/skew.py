@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, funct
 # A key is heavy when it holds more than 1/SHARE of all rows, so there are fewer
 # than SHARE heavy keys whatever the data: that bound is what allows a broadcast.
 SHARE = 256
-# Below this many rows a key is never heavy; one task handles it easily.
-FLOOR = 1_000_000
+# Into so many parts the left rows of a heavy key are dealt in a join.
+PARTS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,25 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def join_counted(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-    count: str = "n", total: int | None = None, share: int = SHARE, floor: int = FLOOR,
+    count: str = "n", total: int | None = None, share: int = SHARE, parts: int = PARTS,
 ) -> DataFrame:
     """Join with a table of one row per key that also counts the left rows of the key.
 
-    Heavy keys are joined map-side through a broadcast of fewer than ``share``
-    rows, so their rows are never shuffled to one task. All other keys take an
-    ordinary shuffle join. Both inputs are read more than once, so materialise
-    them first where they are costly. ``total`` is the number of left rows where the caller
-    knows it: up to ``floor`` rows no key can be heavy and one join is enough.
+    Heavy keys are salted: their left rows are dealt into ``parts`` by the hash of all
+    columns, their one right row is repeated as often, and a single shuffle join serves
+    heavy and light keys alike, whatever the size of the tables. ``right`` is read twice,
+    so materialise it where it is costly. ``total`` is the number of left rows where the
+    caller knows it.
     """
-    if total is not None and total <= floor:
-        return left.join(right.drop(count), on, how)
-    limit = right.agg(F.greatest(F.sum(count) / share, F.lit(floor))).scalar()
-    heavy = right.where(F.col(count) > limit)
-    light = right.where(F.col(count) <= limit)
-    hot = left.join(F.broadcast(heavy.drop(count)), on)
-    # Rows of a key missing on the right belong to the light branch as well.
-    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light.drop(count), on, how)
-    return hot.unionByName(rest)
+    size = F.lit(total) if total is not None else right.agg(F.sum(count)).scalar()
+    right = right.withColumn("_heavy", F.col(count) * share > size)
+    # Fewer than ``share`` rows by construction, and the key columns only.
+    listed = right.where("_heavy").select(*on, "_heavy")
+    dealt = left.join(F.broadcast(listed), on, "left").withColumn(
+        "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(0).cast("long")
+    ).drop("_heavy")
+    repeated = right.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_heavy"), parts - 1).otherwise(0).cast("long")))
+    ).drop(count, "_heavy")
+    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def page_within(df: DataFrame, keys: list[str], order: list[str], page_rows: int) -> DataFrame:

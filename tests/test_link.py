@@ -58,7 +58,7 @@ def test_components_with_heavy_keys(spark, monkeypatch):
 
     def tiny(left, right, on, how="inner", count="n", total=None, **_):
         seen.append(1)
-        return real(left, right, on, how, count, total, share=4, floor=2)
+        return real(left, right, on, how, count, total, share=4, parts=3)
 
     import kinweave.operators.components as comp
 
@@ -72,7 +72,7 @@ def test_join_counted_is_a_plain_join(spark):
     left = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(100)], "k int, v int")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
     want = sorted(map(tuple, left.join(right.drop("n"), "k").collect()))
-    assert sorted(map(tuple, skew.join_counted(left, right, ["k"], share=10, floor=3).collect())) == want
+    assert sorted(map(tuple, skew.join_counted(left, right, ["k"], share=10, parts=3).collect())) == want
 
 
 def _brute(rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinweave import schema as S
 from kinweave.operators import link
 from kinweave.operators.components import connected_components
 from kinweave.operators.skew import cut
@@ -45,6 +46,18 @@ def link_weak(spark, sf):
     return link.weak_edges(rec_records(spark, sf))
 
 
+@query(
+    "resolve_hot_phones",
+    """SELECT 'c' || c_custkey AS old_id, min('c' || c_custkey) OVER (PARTITION BY c_nationkey) AS new_id
+FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey) > 1""",
+)
+def resolve_hot_phones(spark, sf):
+    """All customers of a nation share one phone, so every key is far above the share that makes it heavy."""
+    people = table(spark, sf, "customer").selectExpr(
+        "concat('c', c_custkey) AS candidate_id", "array(concat('+14155550', lpad(c_nationkey, 3, '0'))) AS phones")
+    return link.resolve(S.conform(people)).select("old_id", "new_id")
+
+
 # Long names: the words of all of a customer's part, segment, nation and numbers.
 _LONG = """
 people AS (

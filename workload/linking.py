@@ -61,11 +61,11 @@ def resolve_hot_phones(spark, sf):
 # Long names: the words of all of a customer's part, segment, nation and numbers.
 _LONG = """
 people AS (
-  SELECT 'c' || c_custkey AS id, 'City ' || c_custkey % 40 AS city,
+  SELECT 'c' || c_custkey AS id, 'City ' || c_custkey // 6 % 40 AS city,
          'item ' || p_name || ' of ' || p_brand || ' ' || p_type || ' for ' || c_mktsegment || ' in ' || n_name ||
          ' size' || p_size % 3 || CASE WHEN c_custkey % 3 = 0 THEN ' extra' ELSE '' END ||
          CASE WHEN c_custkey % 2 = 0 THEN ' long delivery note with seal' ELSE '' END AS name
-  FROM customer JOIN nation ON n_nationkey = c_custkey % 3 JOIN part ON p_partkey = c_custkey % 50),
+  FROM customer JOIN nation ON n_nationkey = c_custkey // 6 % 25 JOIN part ON p_partkey = c_custkey // 6 + 1),
 sets AS (SELECT id, lower(city) AS city, list_distinct(string_split(lower(name), ' ')) AS tokens FROM people)"""
 
 
@@ -78,15 +78,16 @@ def _long_people(spark, sf):
         F.when(k % 2 == 0, " long delivery note with seal").otherwise(""),
     )
     none = F.lit(None).cast("string")
+    group = F.floor(k / 6)  # six customers share a part, a nation and a city, so distinct names grow with the tables
     c, n, p = (table(spark, sf, t) for t in ("customer", "nation", "part"))
     return (
-        c.join(n, F.col("n_nationkey") == k % 3)
-        .join(p, F.col("p_partkey") == k % 50)
+        c.join(n, F.col("n_nationkey") == group % 25)
+        .join(p, F.col("p_partkey") == group + 1)
         .select(
             F.concat(F.lit("c"), k.cast("string")).alias("candidate_id"),
             name.alias("full_name"),
             F.struct(
-                F.concat(F.lit("City "), (k % 40).cast("string")).alias("city"), none.alias("region"),
+                F.concat(F.lit("City "), (group % 40).cast("string")).alias("city"), none.alias("region"),
                 none.alias("country"), none.alias("raw"),
             ).alias("location"),
         )

@@ -187,7 +187,45 @@ def repository_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), "text")
 
 
-@query("op1_license_scan")
+_QUOTED = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in license_scan.TEMPLATES)
+_TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][a-z0-9]+)*')"
+
+
+@query("op1_license_scan", rf"""
+WITH named AS (
+  SELECT doc_id, text, source || '/' || lang || '/' || doc_id // 5000 AS above,
+         coalesce(regexp_matches(string_split(text, chr(10))[1] || chr(10) || string_split(text, chr(10))[-1], '(?i)licen[cs]ed?\b'), false) AS opens
+  FROM documents),
+files AS (
+  SELECT doc_id, text, opens, above || CASE WHEN opens AND doc_id % 2 = 0 THEN '/LICENSE-' || doc_id
+    WHEN opens THEN '/' || doc_id // 1000 || '/LICENSE-' || doc_id ELSE '/' || doc_id // 1000 || '/' || doc_id || '.txt' END AS path FROM named),
+said AS (
+  SELECT path, line, opens AS is_file, text FROM (
+    SELECT path, opens, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files)
+  WHERE regexp_matches(text, '(?i)({"|".join(license_scan.ANCHORS)})')
+  UNION ALL SELECT path, 0, true, text FROM files WHERE opens AND text <> ''),
+counted AS (SELECT path, line, is_file, term, count(*) AS tf FROM (SELECT path, line, is_file, unnest({_TERMS}) AS term FROM said) GROUP BY ALL),
+n AS (SELECT count(*) AS total FROM (SELECT DISTINCT path, line FROM said)),
+df AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+weighed AS (SELECT c.*, tf * (1 + ln((1 + total) / (1 + df))) AS w FROM counted c JOIN df USING (term), n),
+template(license, text) AS (VALUES {_QUOTED}),
+parts AS (SELECT license, text, term, count(*) AS tf FROM (SELECT license, text, unnest({_TERMS}) AS term FROM template) GROUP BY ALL),
+rated AS (SELECT license, text, term, tf * (1 + ln((1 + total) / (1 + coalesce(df, 0)))) AS w FROM parts LEFT JOIN df USING (term), n),
+known AS (SELECT license, text, term, w / sqrt(sum(w * w) OVER (PARTITION BY license, text)) AS v FROM rated),
+dots AS (SELECT path, line, is_file, license, k.text AS t, sum(w * v) AS dot FROM weighed JOIN known k USING (term) GROUP BY ALL),
+best AS (SELECT path, line, is_file, round(dot, 9) AS dot, license FROM dots
+         QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY round(dot, 9) DESC, license) = 1),
+scored AS (SELECT path, line, is_file, license, dot / (SELECT sqrt(sum(w * w)) FROM weighed x WHERE x.path = b.path AND x.line = b.line) AS cosine FROM best b),
+own AS (SELECT path, license, round(cosine, 9) AS cosine, CASE WHEN is_file THEN 'file' ELSE 'statement' END AS origin FROM scored WHERE cosine >= 0.6
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(cosine, 9) DESC, line, license) = 1),
+given AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS directory, license, cosine FROM own WHERE origin = 'file'
+          QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY cosine DESC, path) = 1),
+inherited AS (
+  SELECT path, g.license, g.cosine, g.directory FROM files f JOIN given g ON starts_with(path, g.directory || '/')
+  WHERE path NOT IN (SELECT path FROM own) QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(g.directory) DESC) = 1)
+SELECT doc_id, path, coalesce(o.license, i.license) AS license, round(coalesce(o.cosine, i.cosine), 6) AS cosine,
+       CASE WHEN o.path IS NOT NULL THEN o.origin WHEN i.path IS NOT NULL THEN 'inherited' END AS origin, i.directory AS found_in
+FROM files LEFT JOIN own o USING (path) LEFT JOIN inherited i USING (path)""")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     files = repository_files(table(spark, sf, "documents"))
     templates = spark.createDataFrame(list(license_scan.TEMPLATES), "license string, text string")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.operators.skew import cut, cut_counted, join_counted
+from kinweave.operators.skew import cut, cut_counted, drop_cut, join_counted
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -40,7 +40,8 @@ def _unsettled(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for every id on an edge; ids without edges are their own root and not listed.
 
-    ``edges`` has two text columns, ``a`` and ``b``.
+    ``edges`` has two columns, ``a`` and ``b``, of texts or of numbers. One table of edges at
+    a time lies in the shared folder; the last one stays, the result reads it.
     """
     e, total = cut_counted(
         edges.where(F.col("a") != F.col("b"))
@@ -49,7 +50,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         # A round never adds edges, so the first count stays an upper bound.
-        e = cut(_small_star(_large_star(e, total), total))
+        last, e = e, cut(_small_star(_large_star(e, total), total))
+        drop_cut(last)
         if _unsettled(e).isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()

@@ -34,13 +34,23 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     path = f"{shared_folder(df.sparkSession)}/kinweave-{uuid.uuid4().hex}"
     rows = Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out, rows.get["n"]
 
 
 def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` has written; nothing that reads it may run afterwards."""
+    if path := getattr(df, "_cut_path", None):
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_counted(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     count: str = "n", total: int | None = None, share: int = SHARE, parts: int = PARTS,

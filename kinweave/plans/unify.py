@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinweave import schema as S
 from kinweave.operators import enrich as E, fuse, link
-from kinweave.operators.skew import cut, cut_counted
+from kinweave.operators.skew import cut, cut_counted, drop_cut
 from kinweave.plans import project as P, report
 from kinweave.plans.config import checked, fields_needed
 from kinweave.sources import files as IO
@@ -16,7 +16,8 @@ from kinweave.sources import files as IO
 
 @dataclass
 class Unified:
-    """Result tables of a run; all lazy except the ones cut for reuse."""
+    """Result tables of a run. Records, links and facts are computed and written to the shared folder while the
+    run is put together, all else is lazy. ``close`` deletes the written tables once the results are stored."""
 
     records: DataFrame      # every record, enrichments included
     rewrite: DataFrame      # (old_id, new_id) of linked ids
@@ -45,6 +46,10 @@ class Unified:
             out["files"] = IO.ingest_report(self.files, self.records)
         return out
 
+    def close(self) -> None:
+        for table in (self.records, self.facts):
+            drop_cut(table)
+
     def write(self, path: str, mode: str = "errorifexists") -> None:
         IO.write_result(P.results(self.profiles, self.config), self.stats, path, mode)
 

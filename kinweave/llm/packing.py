@@ -36,26 +36,30 @@ from kinweave.operators.skew import cut
 # ------------------------------------------------------------- tokens ----
 
 _TOKENS: dict[str, tuple] = {}
-_KEPT_WORDS = 600_000
-#: Words that split into a run of letters and a run of marks and that normalisation only lower-cases.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?|#$%&*()]*)")
+_KEPT_WORDS = 800_000
+#: Marks that the tokenizer parts from the letters before them and keeps together.
+MARKS = ".,;:!?|#$%&*()"
+#: Letters that normalisation only lower-cases.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Byte-level vocabularies write a byte that is no printable Latin-1 character as the next free letter from 256 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-class WordTokens:
-    """Token ids of texts, word by word.
+class WordTokens(dict):
+    """Word (UTF-8 bytes) -> its token ids as little-endian 32-bit numbers.
 
     The tokenizer never joins what white space separates, so a text's ids are those
-    of its words in order; every word is encoded once and kept as bytes.
+    of its words in order. A word that is not here yet is encoded and kept; when there are
+    too many, all are forgotten and the common ones are soon back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -67,34 +71,31 @@ class WordTokens:
     def part(self, text: str) -> bytes:
         """Ids of what is one part for the tokenizer: only letters, or only marks, in lower case."""
         if (ids := self.parts.get(text)) is None:
-            found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
-            ids = self.parts[text] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            plain = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = [t.id for t in self.model.tokenize(plain)]
+            ids = self.parts[text] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode new words: letters and following marks part by part, anything else as the tokenizer splits it."""
-        if len(self.known) + len(words) > _KEPT_WORDS:
-            self.known.clear()
+    def __missing__(self, word: bytes) -> bytes:
+        """Letters and following marks are encoded part by part, anything else as the tokenizer splits it."""
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
             self.parts.clear()
-        other = []
-        for word in words:
-            if m := PLAIN.fullmatch(text := word.decode()):
-                self.known[word] = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
-            else:
-                other.append((word, text))
-        for (word, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
-            self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        text = word.decode()
+        stem = text.rstrip(MARKS)
+        if stem.isascii() and stem.isalpha() or PLAIN.fullmatch(stem):
+            ids = self.part(stem.lower())
+            if len(stem) < len(text):
+                ids += self.part(text[len(stem):])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Per UTF-8 text its ids as little-endian 32-bit numbers."""
-        split = [t.split() for t in texts]  # bytes split at space and 0x09-0x0D only
-        wanted = {w for words in split for w in words}
-        if missing := wanted - self.known.keys():
-            self.learn(missing)
-            if gone := wanted - self.known.keys():
-                self.learn(gone)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        """The ids of UTF-8 texts; bytes split at space and 0x09-0x0D only."""
+        ids_of = self.__getitem__
+        return [b"".join(map(ids_of, text.split())) for text in texts]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

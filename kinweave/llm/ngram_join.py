@@ -15,9 +15,9 @@ capped or sampled.
   the other n-grams of a part differ. Empty parts are left out where the surplus
   of parts allows it. In the lowest tile linked sets differ by one element, and
   sets are filed under themselves and themselves less one element instead.
-* **Stars.** Under a key every set is compared with three others only, the smallest and
-  the largest class and the one that meets most sets under all keys (linear, however
-  many share the key); verified links are contracted.
+* **Stars.** Every key names three of its sets, the smallest and the largest class and the one
+  that meets most sets under all keys. A set is compared with one of those its keys name, the
+  one named most often (linear, however many share a key); verified links are contracted.
 * **Blocks.** Keys whose sets then still belong to several clusters are compared
   in full, in blocks of bounded size (keys with the same sets are one): bit counts of
   hashed signatures bound the overlap from above, (|A| + |B| - bits of A xor B) / 2,
@@ -202,13 +202,16 @@ def file_keys(docs: DataFrame, n: int, t: Fraction, id_col: str = "doc_id", text
     return _sets(docs, id_col, text_col).mapInArrow(scan, "key long, class long")
 
 
+def _sizes_allow(t: Fraction) -> str:
+    """Even full containment must reach the overlap that sizes na and nb ask for."""
+    return f"{t.numerator + t.denominator} * least(na, nb) >= {t.numerator} * (na + nb)"
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
     """Pairs (a, b) of classes whose sizes and bit counts allow a link."""
-    top, low = t.numerator, t.numerator + t.denominator
     size = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"))
     side = lambda x: classes.select(F.col("class").alias(x), F.col("bits").alias(f"bits{x}"))
-    # Sizes first: even full containment must reach the overlap. Signatures travel only for what is left.
-    sized = cut(pairs.join(size("a"), "a").join(size("b"), "b").where(f"{low} * least(na, nb) >= {top} * (na + nb)"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(_sizes_allow(t))
     signed = sized.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,9 +336,17 @@ def similar_components(
     weight = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degree = shared.join(weight, "key").groupBy("class").agg(F.sum(F.col("n") - 1).alias("degree"))
     middle = shared.join(degree, "class").groupBy("key").agg(F.max(F.struct("degree", "class")).alias("top"))
+    met_often = (
+        shared.join(middle, "key")
+        .select(F.col("class").alias("a"), F.explode(F.array_distinct(F.array("low", "high", "top.class"))).alias("b"))
+        .where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Of these every set tries the one that it shares most keys with, among those of a size that can link.
+    size = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"))
+    fitting = met_often.join(size("a"), "a").join(size("b"), "b").where(_sizes_allow(t))
     stars = cut(
-        shared.join(middle, "key").select(F.col("class").alias("a"), F.explode(F.array("low", "high", "top.class")).alias("b"))
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fitting.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"))
+        .select(F.least("a", "most.b").alias("x"), F.greatest("a", "most.b").alias("b")).withColumnRenamed("x", "a").distinct()
     )
     members = classes.select("class", "id")
     links = cut(verified(cut(bounded(stars, classes, t)), docs, members, n, t, id_col, text_col))

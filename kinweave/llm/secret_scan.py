@@ -6,8 +6,12 @@ the structure of a secret:
 
 * ``jwt``: three dotted base64url parts whose first decodes to a JSON object that names
   an ``alg`` and whose second decodes to a JSON object;
-* ``pem``: a PRIVATE KEY block whose body decodes to a key structure;
-* ``base64_key`` and ``hex_key``: a bare run that decodes to a key structure.
+* ``pem``: a PRIVATE KEY block whose body decodes to a key structure, or to whole cipher blocks
+  where its header lines name a cipher. The body may be wrapped, indented, quoted line by line or
+  escaped as in a JSON string;
+* ``base64_key``: a stretch of a run of base64 characters, wherever in the run it begins, that
+  decodes to a key structure; the structure tells where it ends;
+* ``hex_key``: a bare run that decodes to a key structure.
 
 A key structure is a DER sequence whose nested lengths add up exactly and whose
 members are those of a PKCS#1, PKCS#8, encrypted PKCS#8 or EC private key, or an
@@ -41,7 +45,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
 ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Escapes that JSON and source strings put into a block: line ends, slashes, and the marks that some writers escape.
+ESCAPE = re.compile(r"(?<!\\)\\+(?:[nrt]|(/)|u00(2[bBfF]|3[dD]))")
+#: What stands before and after the base64 of a line that is indented, commented or a string of its own.
+BEFORE = re.compile(r"""^[\s"'`#>*|]+""")
+AFTER = re.compile(r"""["'`]\s*[+.,;]?$""")
+HEADER = re.compile(r"""[\s"'`#>*|]*([A-Za-z][A-Za-z0-9-]*):(.*)""")
+CIPHER = re.compile(r"\s*([A-Za-z0-9-]+),[0-9A-Fa-f]{16,}\b")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}")
+#: How the base64 of a DER sequence and of an OpenSSH key begins.
+KEY_HEAD = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXktdjEA")
 LONG_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
 
 
@@ -97,23 +110,94 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
+def der_end(data: bytes, at: int) -> int | None:
+    """Where the sequence at ``at`` ends by its own length, if that is inside ``data`` and it opens like a key."""
+    if data[at:at + 1] != b"\x30" or at + 2 > len(data):
+        return None
+    size, at = data[at + 1], at + 2
+    if size & 0x80:
+        n = size & 0x7F
+        size = int.from_bytes(data[at:at + n], "big")
+        at += n
+        if not 1 <= n <= 4:
+            return None
+    return at + size if at + size <= len(data) and data[at:at + 1] in (b"\x02", b"\x30") else None
+
+
+def ssh_end(data: bytes, at: int = 0) -> int | None:
+    """Where the OpenSSH key at ``at`` ends by its fields; None if they do not fit."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+    if not data.startswith(magic, at):
+        return None
+    at += len(magic)
     for step in ("cipher", "kdf", "options", "count", "public", "private"):
         if at + 4 > len(data):
-            return False
+            return None
         size = int.from_bytes(data[at:at + 4], "big")
         at += 4 + (0 if step == "count" else size)
         if step == "count" and size != 1:
-            return False
-    return at == len(data)
+            return None
+    return at if at <= len(data) else None
 
 
 def is_key(data: bytes | None) -> bool:
-    return data is not None and (is_der_key(data) or is_ssh_key(data))
+    return data is not None and (is_der_key(data) or ssh_end(data) == len(data))
+
+
+def base64_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the keys inside runs of base64 characters.
+
+    A run also holds what stands before a key without a break (``n`` of an escape, ``/``, ``-``),
+    so every place where a key can begin is tried. A run is decoded at most four times, once
+    for each way of dividing it into groups of four.
+    """
+    for m in BASE64.finditer(text):
+        run, decoded, done = m[0].translate({45: 43, 95: 47}), {}, 0
+        for head in KEY_HEAD.finditer(run):
+            at, odd = head.start(), head.start() % 4
+            if at < done:
+                continue
+            if odd not in decoded:
+                rest = len(run) - odd
+                decoded[odd] = decode64(run[odd:len(run) - (rest % 4 == 1)])
+            data, begin = decoded[odd], at // 4 * 3
+            end = der_end(data, begin)
+            if end is None or not is_der_key(data[begin:end]):
+                end = ssh_end(data, begin)
+            n = 0 if end is None else (4 * (end - begin) + 2) // 3
+            if n >= 40:
+                done = at + n
+                past, pad = m.start() + done, -n % 4
+                while pad and text.startswith("=", past):
+                    past, pad = past + 1, pad - 1
+                yield m.start() + at, past
+
+
+def bare(line: str) -> str:
+    return BEFORE.sub("", AFTER.sub("", line.rstrip().removesuffix("\\").rstrip()))
+
+
+def is_key_block(body: str) -> bool:
+    """Whether the text between the lines of a PEM block is that of a private key."""
+    body = ESCAPE.sub(lambda m: m[1] or (chr(int(m[2], 16)) if m[2] else "\n"), body)
+    lines = body.splitlines()
+    while lines and not bare(lines[0]):
+        del lines[0]
+    cipher = None
+    if lines and HEADER.match(lines[0]):
+        # The header ends with an empty line; where that was lost, with its last field.
+        blank = next((i for i, line in enumerate(lines) if not bare(line)), None)
+        fields = [i for i, line in enumerate(lines) if HEADER.match(line)]
+        past = fields[-1] + 1 if blank is None or blank < fields[-1] else blank
+        for m in map(HEADER.match, lines[:past]):
+            if m and m[1].lower() == "dek-info":
+                cipher = CIPHER.match(m[2])
+        lines = lines[past:]
+    data = decode64("".join("".join(map(bare, lines)).split()))
+    if cipher and data is not None:
+        # Encrypted as a whole: nothing to read inside, but block ciphers fill their blocks.
+        return len(data) >= 32 and (not cipher[1].upper().endswith(("CBC", "ECB")) or len(data) % 8 == 0)
+    return is_key(data)
 
 
 def is_object(text: str, must: str = "") -> bool:
@@ -135,10 +219,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if m[1] == "BEGIN":
             opened = m
         elif opened and opened[2] == m[2]:
-            if is_key(decode64("".join(text[opened.end():m.start()].split()))):
+            if is_key_block(text[opened.end():m.start()]):
                 out.append(("pem", opened.start(), m.end()))
             opened = None
-    out += [("base64_key", *m.span()) for m in BASE64.finditer(text) if is_key(decode64(m[0]))]
+    out += [("base64_key", *span) for span in base64_keys(text)]
     out += [("hex_key", *m.span()) for m in LONG_HEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

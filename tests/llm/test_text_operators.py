@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,41 @@ def test_tokens_blocks_and_noise():
     assert not [s for s in S.find(noise) if s[0] in ("pem", "jwt", "base64_key")]
 
 
+@pytest.mark.parametrize("key", [RSA, PKCS8, EC, SSH])
+@pytest.mark.parametrize("before", ["PRIVATE_KEY=", "TLS_KEY=", "path/", "x-", "\\n", "\\r\\n", '"\\t', "%3D"])
+@pytest.mark.parametrize("after", ["", "\\n", "/x", "-----END"])
+def test_bare_keys_are_found_whatever_stands_before_and_after(key, before, after):
+    for coded in (B64(key), B64(key).rstrip("="), URL64(key)):
+        assert [s for s in S.find(before + coded + after) if s[0] == "base64_key"] == [("base64_key", len(before), len(before + coded))]
+        assert S.worth_reading(Texts(pa.array([before + coded + after])))[0]
+
+
+def wrapped(data, end="\n"):
+    return end.join(B64(data)[i:i + 64] for i in range(0, len(B64(data)), 64))
+
+
+def test_blocks_in_strings_and_with_header_lines():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    block = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    plain, cipher = block(wrapped(PKCS8), ""), block(head + wrapped(bytes(range(160))))
+    forms = [
+        plain, cipher, plain.replace("\n", "\r\n"), plain.replace("\n", "\n    "), cipher.replace("\n", "\n  "), block("Comment: mine\n\n" + wrapped(SSH), "OPENSSH "),
+        *(json.dumps(x)[1:-1] for x in (plain, cipher)), json.dumps(json.dumps(plain))[3:-3], json.dumps(plain)[1:-1].replace("/", "\\/").replace("=", "\\u003d"),
+        plain.replace("\n", "\\n' +\n  '"), plain.replace("\n", '\\n"\n"'),
+    ]
+    for form in forms:
+        assert [form[s - 7:e - 7] for k, s, e in S.find(f'{{"k": "{form}"}}') if k == "pem"] == [form], form
+    for bad in (block(wrapped(PKCS8[:-3])), block(head + wrapped(bytes(range(157)))), block(head + "not base64 at all!"), block(head), block("")):
+        assert not [s for s in S.find(bad) if s[0] == "pem"], bad
+
+
+def test_long_runs_without_keys_take_linear_time():
+    began = time.time()
+    for unit in ("MIIEvQIBADANBgkqhkiG9w0BAQEFAASC", "M", "MIIB", "MIH0AgEA", "b3BlbnNzaC1rZXktdjEA"):
+        assert not [s for s in S.find(unit * (400_000 // len(unit))) if s[0] == "base64_key"]
+    assert time.time() - began < 20
+
+
 BASE = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),

@@ -4,13 +4,16 @@ Texts become sequences of lower-cased words without outer punctuation in which
 numbers, names and units are typed placeholders. Windows of these templates are
 hash-joined with the benchmark's, so a question comes up again when its numbers or
 names were replaced. The replacement must be consistent: along an alignment of a
-document with an item, equal values on one side stand for equal values on the other.
-A document leaks an item when its consistent windows cover enough of it.
+document with an item, equal values of the item stand for equal values of the document,
+and different names for different names (numbers drawn anew may well coincide). Windows
+that hold a value for which this fails are left out, all others of the alignment count,
+so windows without placeholders always do. A document leaks an item when its consistent
+windows cover enough of it.
 
 * number: a word of digits and marks, or digits with up to three letters ("5km");
 * unit: a word of ``UNITS`` after a number;
 * name: a plain capital followed by a small letter, not at the start of a line or sentence. Windows
-  with names are also compared with the names as they stand, whatever the case.
+  with names are also compared with the names as they stand, whatever the case; such a name stands for itself.
 
 Windows have ``size`` words; an item with fewer words is one window of its own
 length. Windows of which less than half are literal words say nothing and are
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.llm.quality_rules import CAPITALS, LETTERS, SMALL
 from kinweave.llm.words import SPACE, Texts, mix, slices, windows
@@ -98,25 +101,29 @@ def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _windows(column: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple]:
-    """(width, text, hash, place, slots, words per text) for the windows of each width that are at least half literal.
+    """(width, text, hash, place, slots, shown, words per text) for the windows of each width that are at least half literal.
 
+    ``slots`` are the values of the placeholders, ``shown`` those of names that stand as plain words.
     Windows with names come a second time with the names as plain words, for texts that are
     all in capitals or small letters.
     """
     words, own, slot, name, first = template(column)
     names_before = np.concatenate([[0], np.cumsum(name)])
-    for hide, shown, marked in ((False, words, slot), (True, np.where(name, own, words), slot & ~name)):
-        slots_before = np.concatenate([[0], np.cumsum(marked)])
-        values = own[marked].view(np.int64)
+    values = own & ~np.uint64(1) | name.astype(np.uint64)  # the lowest bit tells names
+    for hide, text, marked in ((False, words, slot), (True, np.where(name, own, words), slot & ~name)):
+        slots_before, shown_before = (np.concatenate([[0], np.cumsum(m)]) for m in (marked, slot & ~marked))
+        hidden, shown = values[marked].view(np.int64), values[slot & ~marked].view(np.int64)
         for width in widths:
-            hashes, begin, borders = windows(shown, first, width)
+            hashes, begin, borders = windows(text, first, width)
             hashes = mix(hashes + np.uint64(width))
             owner = np.repeat(np.arange(len(column)), np.diff(borders))
             n_slots = slots_before[begin + width] - slots_before[begin]
             fine = 2 * n_slots <= width
             if hide:
                 fine &= names_before[begin + width] > names_before[begin]
-            yield width, owner[fine], hashes[fine], (begin - first[owner])[fine], (slots_before[begin][fine], n_slots[fine], values), np.diff(first)
+            n_shown = shown_before[begin + width] - shown_before[begin]
+            yield (width, owner[fine], hashes[fine], (begin - first[owner])[fine], (slots_before[begin][fine], n_slots[fine], hidden),
+                   (shown_before[begin][fine], n_shown[fine], shown), np.diff(first))
 
 
 def _lists(slots: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> pa.Array:
@@ -127,21 +134,21 @@ def _lists(slots: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) ->
 
 
 def item_windows(items: DataFrame, size: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(item, n_words, place, width, hash, slots) for every window of every item."""
+    """(item, n_words, place, width, hash, slots, shown) for every window of every item."""
     source = items.select(F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            for width, owner, hashes, place, slots, n in _windows(part.column(1), tuple(range(least, size + 1))):
+            for width, owner, hashes, place, slots, shown, n in _windows(part.column(1), tuple(range(least, size + 1))):
                 mine = np.flatnonzero(n[owner] == width if width < size else n[owner] >= size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(owner[mine])), pa.array(n[owner[mine]]), pa.array(place[mine]),
-                     pa.array(np.full(len(mine), width)), pa.array(hashes[mine].view(np.int64)), _lists(slots, mine)],
-                    ["item", "n_words", "place", "width", "hash", "slots"],
+                     pa.array(np.full(len(mine), width)), pa.array(hashes[mine].view(np.int64)), _lists(slots, mine), _lists(shown, mine)],
+                    ["item", "n_words", "place", "width", "hash", "slots", "shown"],
                 )
 
     kind = source.schema["item"].dataType.simpleString()
-    return source.mapInArrow(scan, f"item {kind}, n_words long, place long, width long, hash long, slots array<long>")
+    return source.mapInArrow(scan, f"item {kind}, n_words long, place long, width long, hash long, slots array<long>, shown array<long>")
 
 
 def document_windows(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +157,7 @@ def document_windows(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarra
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            for _, owner, hashes, place, slots, _ in _windows(part.column(1), widths):
+            for _, owner, hashes, place, slots, _, _ in _windows(part.column(1), widths):
                 signed = hashes.view(np.int64)
                 mine = np.arange(len(signed))
                 if wanted is not None:
@@ -165,6 +172,12 @@ def document_windows(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarra
     return source.mapInArrow(scan, f"id {source.schema['id'].dataType.simpleString()}, at long, hash long, slots array<long>")
 
 
+def _clashing(pairs: str, field: str) -> Column:
+    """Item values of the sorted distinct ``pairs`` that share their ``field`` with a neighbour."""
+    same = lambda p, i: F.get(F.col(pairs), i)[field] == p[field]
+    return F.transform(F.filter(pairs, lambda p, i: same(p, i - 1) | same(p, i + 1)), lambda p: p.item)
+
+
 def leaks(
     docs: DataFrame, items: DataFrame, size: int = 8, least: int = 4, share: float = 0.6, enough: int = 25,
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -172,7 +185,7 @@ def leaks(
     """(id, item, n_words, covered, n_slots, n_changed): documents that hold ``share`` of an item or ``enough`` words of it.
 
     ``covered`` counts the item's words in consistent windows, ``n_slots`` the distinct
-    placeholders values of the item among them, ``n_changed`` those with another value in the document.
+    placeholder values of the item among them, ``n_changed`` those with another value in the document.
     """
     bench, n = cut_counted(item_windows(items.where(F.col(item_id).isNotNull()), size, least, item_id, item_text))
     widths = tuple(sorted(r.width for r in bench.select("width").distinct().collect()))  # at most ``size`` of them
@@ -183,18 +196,27 @@ def leaks(
     met = cut(
         found.join(bench.withColumnsRenamed({"slots": "item_slots"}), "hash")
         .select("id", "item", "n_words", "place", "width", (F.col("at") - F.col("place")).alias("shift"),
-                F.arrays_zip("item_slots", "slots").alias("values"))
+                F.concat(
+                    F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("item"), d.alias("doc"))),
+                    F.transform("shown", lambda v: F.struct(v.alias("item"), v.alias("doc"))),
+                ).alias("values"))
     )
     # An alignment has each place of an item at most once per document text, so its groups are as small as items.
     aligned = met.groupBy("id", "item", "n_words", "shift").agg(
-        F.collect_set(F.struct("place", "width")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
+        F.collect_set(F.struct("place", "width", "values")).alias("windows"),
+        F.array_distinct(F.flatten(F.collect_set("values"))).alias("pairs"),
     )
-    distinct = lambda name: F.size(F.array_distinct(F.col(f"values.{name}")))
-    consistent = aligned.where((distinct("item_slots") == F.size("values")) & (distinct("slots") == F.size("values")))
-    joined = consistent.groupBy("id", "item", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"),
+    named = F.filter("pairs", lambda p: p.item.bitwiseAND(1) == 1)
+    sides = aligned.withColumns({
+        "by_item": F.array_sort("pairs"),
+        "by_name": F.array_sort(F.transform(named, lambda p: F.struct(p.doc.alias("doc"), p.item.alias("item")))),
+    }).withColumn("bad", F.array_union(_clashing("by_item", "item"), _clashing("by_name", "doc")))
+    consistent = sides.withColumn("windows", F.when(F.size("bad") == 0, F.col("windows")).otherwise(
+        F.filter("windows", lambda w: ~F.arrays_overlap(w.getField("values").getField("item"), F.col("bad")))))
+    joined = consistent.where(F.size("windows") > 0).groupBy("id", "item", "n_words").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(
+            F.transform("windows", lambda w: F.struct(w.place.alias("place"), w.width.alias("width"))))))).alias("places"),
+        F.array_distinct(F.flatten(F.flatten(F.collect_set("windows.values")))).alias("values"),
     )
     # Words under the union of the windows: each adds what the next one leaves to it.
     covered = F.expr("""aggregate(transform(places, (p, i) ->
@@ -202,5 +224,5 @@ def leaks(
     return joined.select(
         F.col("id").alias(id_col), F.col("item").alias(item_id), "n_words", covered.alias("covered"),
         F.size("values").cast("long").alias("n_slots"),
-        F.size(F.filter("values", lambda v: v.item_slots != v.slots)).cast("long").alias("n_changed"),
+        F.size(F.filter("values", lambda v: v.item != v.doc)).cast("long").alias("n_changed"),
     ).where((F.col("covered") >= F.col("n_words") * share) | (F.col("covered") >= enough))

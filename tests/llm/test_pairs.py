@@ -1,6 +1,7 @@
 """N-gram join and decontamination against brute force."""
 
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -125,3 +126,27 @@ def test_short_items_empty_tables_and_nulls(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert D.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
     assert D.leaks(spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_a_clash_drops_only_the_windows_that_hold_it(spark):
+    item = "Tom had 12 pears and 5 plums in the old basket that his aunt had left for him behind the door of the shed and ate 12 of them"
+    n = len(item.split())
+    texts = [
+        item.replace("12 pears", "4 pears").replace("5 plums", "4 plums").replace("12 of", "4 of"),  # two numbers have become one
+        item.replace("12 of", "13 of"),  # one of two mentions has changed
+        item.replace("12 pears", "1 pears").replace("5 plums", "2 plums").replace("12 of", "3 of"),
+    ]
+    found = leaks(spark, texts, [(1, item)])
+    assert {d for d, _ in found} == {0, 1, 2}
+    assert (found[0, 1].covered, found[0, 1].n_slots, found[0, 1].n_changed) == (n, 2, 2)
+    # The 23 words from pears to ate lie in windows without a 12; the only other value in them is the 5.
+    assert found[1, 1].covered >= 23 and found[1, 1].n_changed == 0
+    assert (found[2, 1].covered, found[2, 1].n_slots, found[2, 1].n_changed) == (23, 1, 1)
+
+
+def test_questions_with_numbers_drawn_anew_are_found_whatever_numbers_coincide(spark):
+    item = "A box with 3 red and 7 blue and 11 green and 19 white balls is shaken well before any of them is drawn"
+    rng = random.Random(5)
+    texts = [re.sub(r"\d+", lambda _: str(rng.randint(1, 20)), item) for _ in range(60)]
+    found = leaks(spark, texts, [(1, item)])
+    assert len(found) == 60 and {r.covered for r in found.values()} == {len(item.split())}

@@ -7,8 +7,10 @@ names were replaced. The replacement must be consistent: along an alignment of a
 document with an item, equal values of the item stand for equal values of the document,
 and different names for different names (numbers drawn anew may well coincide). Windows
 that hold a value for which this fails are left out, all others of the alignment count,
-so windows without placeholders always do. A document leaks an item when its consistent
-windows cover enough of it.
+so windows without placeholders always do. Windows with numbers or units are also compared
+word for word, and an item is covered by the better of two readings: by its consistent
+windows, or by those that stand in the document as they are. A document leaks an item
+when enough of it is covered.
 
 * number: a word of digits and marks, or digits with up to three letters ("5km");
 * unit: a word of ``UNITS`` after a number;
@@ -16,8 +18,8 @@ windows cover enough of it.
   with names are also compared with the names as they stand, whatever the case; such a name stands for itself.
 
 Windows have ``size`` words; an item with fewer words is one window of its own
-length. Windows of which less than half are literal words say nothing and are
-skipped, and so are items of fewer than ``least`` words.
+length. Templates of which less than half are literal words say nothing, so such windows
+are compared word for word only; items of fewer than ``least`` words are skipped.
 
 A null or empty text has no windows. Documents without id cannot be named and are left
 out of the result; rows that share an id are one document; repeated items are reported
@@ -101,16 +103,22 @@ def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _windows(column: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple]:
-    """(width, text, hash, place, slots, shown, words per text) for the windows of each width that are at least half literal.
+    """(width, text, hash, place, slots, shown, words per text) for the windows of each width.
 
-    ``slots`` are the values of the placeholders, ``shown`` those of names that stand as plain words.
+    Templates are those that are at least half literal. ``slots`` are the values of the placeholders,
+    ``shown`` those of names, numbers and units that stand as plain words.
     Windows with names come a second time with the names as plain words, for texts that are
-    all in capitals or small letters.
+    all in capitals or small letters, and windows with numbers or units once more with all words
+    as they stand, however many of them are literal.
     """
     words, own, slot, name, first = template(column)
-    names_before = np.concatenate([[0], np.cumsum(name)])
     values = own & ~np.uint64(1) | name.astype(np.uint64)  # the lowest bit tells names
-    for hide, text, marked in ((False, words, slot), (True, np.where(name, own, words), slot & ~name)):
+    none = np.zeros(len(slot), bool)
+    for text, marked, must in ((words, slot, None), (np.where(name, own, words), slot & ~name, name), (own, none, slot & ~name)):
+        if must is not None:
+            if not must.any():
+                continue
+            must_before = np.concatenate([[0], np.cumsum(must)])
         slots_before, shown_before = (np.concatenate([[0], np.cumsum(m)]) for m in (marked, slot & ~marked))
         hidden, shown = values[marked].view(np.int64), values[slot & ~marked].view(np.int64)
         for width in widths:
@@ -119,8 +127,8 @@ def _windows(column: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple]:
             owner = np.repeat(np.arange(len(column)), np.diff(borders))
             n_slots = slots_before[begin + width] - slots_before[begin]
             fine = 2 * n_slots <= width
-            if hide:
-                fine &= names_before[begin + width] > names_before[begin]
+            if must is not None:
+                fine &= must_before[begin + width] > must_before[begin]
             n_shown = shown_before[begin + width] - shown_before[begin]
             yield (width, owner[fine], hashes[fine], (begin - first[owner])[fine], (slots_before[begin][fine], n_slots[fine], hidden),
                    (shown_before[begin][fine], n_shown[fine], shown), np.diff(first))
@@ -184,7 +192,7 @@ def leaks(
 ) -> DataFrame:
     """(id, item, n_words, covered, n_slots, n_changed): documents that hold ``share`` of an item or ``enough`` words of it.
 
-    ``covered`` counts the item's words in consistent windows, ``n_slots`` the distinct
+    ``covered`` counts the item's words in windows of the better reading, ``n_slots`` the distinct
     placeholder values of the item among them, ``n_changed`` those with another value in the document.
     """
     bench, n = cut_counted(item_windows(items.where(F.col(item_id).isNotNull()), size, least, item_id, item_text))
@@ -195,7 +203,7 @@ def leaks(
     found = document_windows(docs, widths, wanted, id_col, text_col)
     met = cut(
         found.join(bench.withColumnsRenamed({"slots": "item_slots"}), "hash")
-        .select("id", "item", "n_words", "place", "width", (F.col("at") - F.col("place")).alias("shift"),
+        .select("id", "item", "n_words", "place", "width", (F.col("at") - F.col("place")).alias("shift"), (F.size("item_slots") == 0).alias("exact"),
                 F.concat(
                     F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("item"), d.alias("doc"))),
                     F.transform("shown", lambda v: F.struct(v.alias("item"), v.alias("doc"))),
@@ -203,7 +211,7 @@ def leaks(
     )
     # An alignment has each place of an item at most once per document text, so its groups are as small as items.
     aligned = met.groupBy("id", "item", "n_words", "shift").agg(
-        F.collect_set(F.struct("place", "width", "values")).alias("windows"),
+        F.collect_set(F.struct("place", "width", "values", "exact")).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("values"))).alias("pairs"),
     )
     named = F.filter("pairs", lambda p: p.item.bitwiseAND(1) == 1)
@@ -211,18 +219,25 @@ def leaks(
         "by_item": F.array_sort("pairs"),
         "by_name": F.array_sort(F.transform(named, lambda p: F.struct(p.doc.alias("doc"), p.item.alias("item")))),
     }).withColumn("bad", F.array_union(_clashing("by_item", "item"), _clashing("by_name", "doc")))
-    consistent = sides.withColumn("windows", F.when(F.size("bad") == 0, F.col("windows")).otherwise(
-        F.filter("windows", lambda w: ~F.arrays_overlap(w.getField("values").getField("item"), F.col("bad")))))
-    joined = consistent.where(F.size("windows") > 0).groupBy("id", "item", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(
-            F.transform("windows", lambda w: F.struct(w.place.alias("place"), w.width.alias("width"))))))).alias("places"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set("windows.values")))).alias("values"),
-    )
+    fits = lambda w: ~F.arrays_overlap(w.getField("values").getField("item"), F.col("bad"))
+    readings = sides.withColumns({
+        "consistent": F.when(F.size("bad") == 0, F.col("windows")).otherwise(F.filter("windows", fits)),
+        "verbatim": F.filter("windows", lambda w: w.exact),
+    })
+    places = lambda windows: F.array_sort(F.array_distinct(F.flatten(F.collect_set(
+        F.transform(windows, lambda w: F.struct(w.place.alias("place"), w.width.alias("width")))))))
+    values = lambda windows: F.array_distinct(F.flatten(F.flatten(F.collect_set(f"{windows}.values"))))
     # Words under the union of the windows: each adds what the next one leaves to it.
-    covered = F.expr("""aggregate(transform(places, (p, i) ->
-        least(p.width, coalesce(get(places, i + 1).place - p.place, p.width))), 0L, (a, x) -> a + x)""")
+    covered = lambda places: F.expr(f"""aggregate(transform({places}, (p, i) ->
+        least(p.width, coalesce(get({places}, i + 1).place - p.place, p.width))), 0L, (a, x) -> a + x)""")
+    joined = readings.groupBy("id", "item", "n_words").agg(
+        places("consistent").alias("places"), values("consistent").alias("values"),
+        places("verbatim").alias("same_places"), values("verbatim").alias("same_values"),
+    ).withColumns({"covered": covered("places"), "same": covered("same_places")})
+    joined = joined.withColumn("values", F.when(F.col("same") > F.col("covered"), F.col("same_values")).otherwise(F.col("values"))) \
+        .withColumn("covered", F.greatest("covered", "same"))
     return joined.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_id), "n_words", covered.alias("covered"),
+        F.col("id").alias(id_col), F.col("item").alias(item_id), "n_words", "covered",
         F.size("values").cast("long").alias("n_slots"),
         F.size(F.filter("values", lambda v: v.item != v.doc)).cast("long").alias("n_changed"),
     ).where((F.col("covered") >= F.col("n_words") * share) | (F.col("covered") >= enough))

@@ -150,3 +150,22 @@ def test_questions_with_numbers_drawn_anew_are_found_whatever_numbers_coincide(s
     texts = [re.sub(r"\d+", lambda _: str(rng.randint(1, 20)), item) for _ in range(60)]
     found = leaks(spark, texts, [(1, item)])
     assert len(found) == 60 and {r.covered for r in found.values()} == {len(item.split())}
+
+
+def test_verbatim_copies_of_items_dense_in_numbers_are_found(spark):
+    table = "Rates 1.5 2.5 3.5 4.5 and 12 km 13 km 14 km 15 km 16 km 17 km 18 km"
+    items = [(1, "Compute 12 + 35 - 7"), (2, table), (3, "7 8 9 10 11"), (4, ITEM)]
+    texts = [
+        "now compute 12 + 35 - 7 please", "compute 12 + 35 - 8", "SEE " + table.upper(), table.replace("2.5", "9.5"), table.replace("km", "miles"), "6 7 8 9 10 11 12",
+        ITEM, ITEM.replace("apples does", "apples, for 9 did") + " " + ITEM.replace("12", "5"), "7 8 9 10",
+    ]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (2, 2), (3, 2), (5, 3), (6, 4), (7, 4)}
+    assert found[0, 1].covered == 4 and (found[2, 2].covered, found[2, 2].n_changed) == (found[2, 2].n_words, 0)
+
+
+def test_a_verbatim_copy_is_found_beside_a_clashing_row_of_the_same_id(spark):
+    changed = ITEM.replace("12", "40").replace("5", "40").replace("3", "7").replace("Ben", "Dora", 1)
+    docs = spark.createDataFrame([(1, ITEM), (1, changed)], "doc_id long, text string")
+    rows = D.leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert [(r.covered, r.n_changed) for r in rows] == [(rows[0].n_words, 0)]

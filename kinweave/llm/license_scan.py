@@ -1,9 +1,12 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 1. Statements are the lines of a file that hold one of the anchor words (every line of the
-   whole text is looked at); a licence file's whole text is one more.
+   whole text is looked at); a licence file's whole text is one more. Wrapped headers add
+   passages: lines, sentences and paragraphs, each also up to any of its line ends, whatever
+   words they hold, as far as their words leave room for the threshold.
 2. Statements and templates become sparse vectors: term frequency times
-   1 + ln((1 + N) / (1 + df)), with document frequencies over all statements of the corpus.
+   1 + ln((1 + N) / (1 + df)), with document frequencies over all statements of the corpus
+   (passages are weighed by them and do not count in them).
    Products meet in an equi-join on the term, so only shared terms cost anything.
 3. The template with the largest cosine, if that reaches the threshold, is the licence
    of the statement; the best statement is that of the file.
@@ -18,8 +21,15 @@ one path are one file; empty tables give an empty result; other columns are not
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.llm.words import slices
+
 #: A line without any of these says nothing about a licence.
 ANCHORS = ("licen[cs]e", "licen[cs]ed", "copyright", "spdx", "copyleft", "redistribution", "warranty", "public domain")
 #: File names whose whole text is one statement that counts for the directory.
@@ -54,6 +64,10 @@ TEMPLATES = (
 )
 
 
+TERM = re.compile(r"[a-z0-9]+(?:[.][a-z0-9]+)*")
+SENTENCE_END = re.compile(r"(?<=[.;!?])\s")
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits; dots inside stay, so versions are one term."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[.][a-z0-9]+)*"), F.lit(0))
@@ -79,43 +93,140 @@ def statements(files: DataFrame, path_col: str = "path", text_col: str = "text")
     return lines.unionByName(rows.where("is_file").select("path", F.lit(0).alias("line"), "is_file", "text"))
 
 
-def score(said: DataFrame, templates: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(path, is_file, line, license, cosine): the best template of each statement that reaches the threshold.
+class Room:
+    """The largest cosine to any template that a passage can have, term by term.
+
+    Terms of templates have known weights; any other weighs 1 at least for each time it occurs.
+    """
 
-    ``said`` is read several times: pass a written table. ``templates`` has (license, text).
+    def __init__(self, idf: dict[str, float], holders: dict[str, list[tuple[int, float]]]):
+        self.idf, self.holders = idf, holders
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen, self.dots, self.square = {}, {}, 0.0
+
+    def add(self, line: str) -> None:
+        for term in TERM.findall(line.lower()):
+            before = self.seen.get(term, 0)
+            self.seen[term] = before + 1
+            w = self.idf.get(term)
+            if w is None:
+                self.square += 2 * before + 1
+                continue
+            self.square += (2 * before + 1) * w * w
+            for t, v in self.holders[term]:
+                self.dots[t] = self.dots.get(t, 0.0) + w * v
+
+    def most(self) -> float:
+        return max(self.dots.values()) / math.sqrt(self.square) if self.dots else 0.0
+
+
+def passages_of(text: str, room: Room, threshold: float) -> list[tuple[int, str]]:
+    """(line, text) of the passages that may reach the threshold; a line without letters and digits ends a paragraph."""
+    out: dict[tuple[int, str], None] = {}
+
+    def tried(pieces: list[tuple[int, str]]) -> None:
+        room.clear()
+        for i, (_, piece) in enumerate(pieces):
+            room.add(piece)
+            if room.most() >= threshold - 1e-6:
+                out[pieces[0][0], " ".join(x for _, x in pieces[:i + 1])] = None
+
+    paragraph: list[tuple[int, str]] = []
+    for number, line in enumerate([*text.split("\n"), ""], 1):
+        if TERM.search(line.lower()):
+            paragraph.append((number, line))
+            continue
+        sentence: list[tuple[int, str]] = []
+        for at, row in paragraph:
+            pieces = SENTENCE_END.split(row)
+            if len(pieces) > 1 or len(paragraph) > 1:
+                tried([(at, row)])
+            for i, piece in enumerate(pieces):
+                sentence.append((at, piece))
+                if i + 1 < len(pieces) or row.rstrip().endswith((".", ";", "!", "?")):
+                    if len(sentence) > 1 or len(pieces) > 1:
+                        tried(sentence)
+                    sentence = []
+        if len(sentence) > 1:
+            tried(sentence)
+        if paragraph:
+            tried(paragraph)
+        paragraph = []
+    return list(out)
+
+
+def passages(files: DataFrame, said: DataFrame, templates: DataFrame, threshold: float = 0.6, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(path, line, part, is_file, text): passages of the files that may reach the threshold, numbered from 1 within a file row.
+
+    The terms of the templates are collected: templates are a table of sentences.
     """
+    _, known = weights(said, templates)
+    idf: dict[str, float] = {}
+    holders: dict[str, list[tuple[int, float]]] = {}
+    for r in known.collect():
+        idf[r.term] = r.idf
+        holders.setdefault(r.term, []).append((r.template, r.v))
+    source = files.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = Room(idf, holders)
+        for part in slices(batches, "text"):
+            rows = [(path, line, n, text) for path, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if whole
+                    for n, (line, text) in enumerate(passages_of(whole, room, threshold), 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
+                 pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], ["path", "line", "part", "text"])
+
+    found = source.mapInArrow(run, "path string, line int, part int, text string")
+    return found.withColumn("is_file", F.coalesce(F.regexp_like(name(F.col("path")), F.lit(LICENSE_FILE)), F.lit(False))).distinct()
+
+
+def weights(said: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms of the statements as (term, df), and of the templates as (template, license, term, idf, v)."""
     template_terms = templates.select(
         F.xxhash64("license", "text").alias("template"), "license", F.explode(terms(F.col("text"))).alias("term")
     ).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    small = template_terms.count() <= SENT
-    send = F.broadcast if small else (lambda df: df)
-
-    counted = said.select("path", "line", "is_file", F.explode(terms(F.col("text"))).alias("term")) \
-        .groupBy("path", "line", "is_file", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # One number for the corpus, one row per term; unseen terms of templates have df 0.
+    df = said.select("path", "line", "is_file", F.explode(terms(F.col("text"))).alias("term")) \
+        .distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = said.select("path", "line").distinct().agg(F.count(F.lit(1)).alias("total"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = lambda n: 1 + F.log((1 + F.col("total")) / (1 + n))
-    weighed = counted.join(df, "term").join(F.broadcast(total)).withColumn("w", F.col("tf") * idf(F.col("df")))
-    known = template_terms.join(df, "term", "left").join(F.broadcast(total)).withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0))))
+    idf = 1 + F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0))))
+    known = template_terms.join(df, "term", "left").join(F.broadcast(total)).withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
     sizes = known.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    known = known.join(sizes, "template").select("template", "license", "term", (F.col("w") / F.col("size")).alias("v"))
+    return df, known.join(sizes, "template").select("template", "license", "term", "idf", (F.col("w") / F.col("size")).alias("v"))
+
+
+def score(said: DataFrame, templates: DataFrame, threshold: float = 0.6, more: DataFrame | None = None) -> DataFrame:
+    """(path, is_file, line, license, cosine): the best template of each statement that reaches the threshold.
+
+    ``said`` is read several times: pass a written table. ``templates`` has (license, text), ``more`` passages.
+    """
+    df, known = weights(said, templates)
+    send = F.broadcast if templates.select(F.explode(terms(F.col("text")))).count() <= SENT else (lambda df: df)
+    key = ["path", "line", "part", "is_file"]
+    every = said.withColumn("part", F.lit(0))
+    every = every if more is None else every.unionByName(more)
+    counted = every.select(*key, F.explode(terms(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # One number for the corpus, one row per term; terms that no statement has are those of passages, with df 0.
+    total = said.select("path", "line").distinct().agg(F.count(F.lit(1)).alias("total"))
+    idf = 1 + F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0))))
+    weighed = counted.join(df, "term", "left").join(F.broadcast(total)).withColumn("w", F.col("tf") * idf)
     # A statement's length and its products with all templates in one pass over its terms.
-    lengths = weighed.groupBy("path", "line", "is_file").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = weighed.join(send(known), "term").groupBy("path", "line", "is_file", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    best = dots.groupBy("path", "line", "is_file").agg(
-        F.min(F.struct(-F.round("dot", 9), "license")).alias("top"))
-    return best.join(lengths, ["path", "line", "is_file"]).select(
+    lengths = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = weighed.join(send(known), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    best = dots.groupBy(*key).agg(F.min(F.struct(-F.round("dot", 9), "license")).alias("top"))
+    return best.join(lengths, key).select(
         "path", "is_file", "line", F.col("top.license").alias("license"), (-F.col("top.col1") / F.col("size")).alias("cosine")
     ).where(F.col("cosine") >= threshold)
 
 
-def scan(files: DataFrame, said: DataFrame, templates: DataFrame, threshold: float = 0.6, path_col: str = "path") -> DataFrame:
-    """(path, license, cosine, origin, found_in) per distinct path.
+def scan(files: DataFrame, said: DataFrame, templates: DataFrame, threshold: float = 0.6, path_col: str = "path", more: DataFrame | None = None) -> DataFrame:
+    """(path, license, cosine, origin, found_in) per distinct path. ``more`` has the passages, from ``passages``.
 
     ``origin`` is file, statement, inherited or null; ``found_in`` names the directory inherited from.
     """
-    found = score(said, templates, threshold)
+    found = score(said, templates, threshold, more)
     own = found.groupBy("path").agg(F.min(F.struct(-F.round("cosine", 9), "line", "license", "is_file")).alias("top")).select(
         "path", F.col("top.license").alias("license"), (-F.col("top.col1")).alias("cosine"),
         F.when(F.col("top.is_file"), "file").otherwise("statement").alias("origin"))

@@ -230,7 +230,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     files = repository_files(table(spark, sf, "documents"))
     templates = spark.createDataFrame(list(license_scan.TEMPLATES), "license string, text string")
     said = cut(license_scan.statements(files))
-    found = license_scan.scan(files, said, templates)
+    more = cut(license_scan.passages(files, said, templates))
+    found = license_scan.scan(files, said, templates, more=more)
     return files.select("doc_id", "path").join(found, "path", "left").select(
         "doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "found_in")
 

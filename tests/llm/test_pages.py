@@ -194,3 +194,28 @@ def test_licences_and_inheritance(spark):
     assert got["other/deep/er/q.txt"] == got["ab/n.txt"] == ("MIT", "inherited", "") and got["root.txt"] == ("MIT", "inherited", "")
     none = df.limit(0)
     assert LS.scan(none, LS.statements(none), templates).count() == 0
+
+
+def test_wrapped_headers_are_found(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and
+or sell copies of the Software, subject to the following conditions:"""
+    gpl = """frob: turns frobs into knobs
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+    marked = lambda mark, text: "\n".join(mark + x for x in text.split("\n"))
+    one = dict((t, n) for n, t in LS.TEMPLATES if t.startswith("Permission"))
+    files = [("m.py", marked("# ", "Copyright 2020 me\n\n" + mit) + "\nimport os\n"), ("g.c", "/*\n" + marked(" * ", gpl) + "\n */\nint x;"),
+             ("b.js", marked("// ", bsd)), ("l.txt", "x y z\n" + next(iter(one)) + "\nq"), ("no.txt", "of the in and to a this is\nany the of to"), ("n", None)]
+    df = spark.createDataFrame(files, "path string, text string")
+    templates = spark.createDataFrame(list(LS.TEMPLATES), "license string, text string")
+    said = LS.statements(df).cache()
+    got = {r.path: r.license for r in LS.scan(df, said, templates, more=LS.passages(df, said, templates).cache()).collect()}
+    assert got == {"m.py": "MIT", "g.c": "GPL-3.0", "b.js": "BSD-3-Clause", "l.txt": "MIT", "no.txt": None, "n": None}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
-    chat_format, decontaminate, html_extract, license_scan, line_quality, ngram_join, packing, quality_rules, secret_scan, url_filter,
+    chat_format, decontaminate, divergence, html_extract, license_scan, line_quality, ngram_join, packing, quality_rules, secret_scan,
+    url_filter,
 )
 from kinweave.operators.skew import cut
 
@@ -239,3 +240,36 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_html_extract")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract(table(spark, sf, "pages"))
+
+
+@query("op12_source_divergence", r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+occ AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+vocabulary AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT o.lang, source, term, count(*) AS n FROM occ o SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(s.total, 0) AS lang_total, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes s USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) t USING (lang, source)),
+rated AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1) // (g.lang_total + g.v) AS q
+  FROM groups g JOIN vocabulary k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(f.value, 0) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM rated x JOIN rated y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+listed AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM rated WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM listed QUALIFY part = 'pair' OR rank <= 200""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"), min_docs=3, top=200)

@@ -131,3 +131,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = max(begin + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut and joined again to blocks of up to ``size`` bytes of text, or one slice that is larger."""
+    held, filled = [], 0
+    for piece in slices(batches, text):
+        more = pc.sum(pc.binary_length(piece.column(piece.schema.get_field_index(text)))).as_py() or 0
+        if held and filled + more > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, filled = [], 0
+        held.append(piece)
+        filled += more
+    if held and sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

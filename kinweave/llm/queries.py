@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm import (
     chat_format, decontaminate, divergence, html_extract, license_scan, line_quality, ngram_join, packing, quality_rules, secret_scan,
-    url_filter,
+    url_filter, word_table, zone_clusters,
 )
 from kinweave.operators.skew import cut
 
@@ -242,6 +242,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract(table(spark, sf, "pages"))
 
 
+@query("op11_word_table_bpe")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    decoded = word_table.decode(word_table.encode(table(spark, sf, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op12_source_divergence", r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -273,3 +280,34 @@ SELECT lang, source, part, item, value::BIGINT AS value,
 FROM listed QUALIFY part = 'pair' OR rank <= 200""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"), min_docs=3, top=200)
+
+
+_ROUNDS = 10
+_NEAREST = """near{0} AS MATERIALIZED (
+  SELECT r, c, distance FROM (
+    SELECT v.r, c.c, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM parts v JOIN centre{0} c USING (i) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)"""
+# Sums are shifted to be positive before the division, which cuts towards 0.
+_MOVED = """centre{1} AS MATERIALIZED (
+  SELECT c.c, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - (s % n + n) % n) // n END AS x FROM centre{0} c
+  LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM parts JOIN near{0} USING (r) GROUP BY ALL) m ON m.c = c.c AND m.i = c.i)"""
+
+
+@query("op13_centroid_clustering", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM kept QUALIFY c < 8),
+centre0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN parts USING (r)),
+{", ".join(_NEAREST.format(t) + ", " + _MOVED.format(t, t + 1) for t in range(_ROUNDS))},
+{_NEAREST.format(_ROUNDS)},
+named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM centre{_ROUNDS} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN near{_ROUNDS} USING (r) JOIN named USING (c)""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("3:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
+    found = zone_clusters.cluster(table(spark, sf, "embeddings"), order, k=8, rounds=_ROUNDS, dim=64, scale=1024)
+    said = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.withColumn("centroid_sha256", F.sha2(said, 256)).drop("centroid")

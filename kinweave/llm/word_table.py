@@ -11,6 +11,9 @@
 
 Word lists, answers and positions travel packed and compressed, so texts themselves are never shuffled. A word
 stands in a block's list once, so no bucket grows with the frequency of a word, only with the number of blocks.
+Texts are split twice, once for the words and once for the positions, which costs less than to write either down.
+Blocks are known by a digest of their contents: should the input come back otherwise the second time, the job
+fails and says so; nothing is joined wrongly.
 
 Null texts count as empty and have no ids; null rows decode to null. Repeated rows and ids are kept, other
 columns ignored. A text longer than a block is a block of its own. An empty table gives an empty result.
@@ -23,6 +26,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +36,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.words import Texts, blocks_of
-from kinweave.operators.skew import cut
 
 #: Text that makes up a block.
-BLOCK_BYTES = 32 << 20
-#: Distinct words of blocks that a bucket takes in, on average.
-BUCKET_WORDS = 1 << 19
+BLOCK_BYTES = 8 << 20
+#: Text whose distinct words go to one bucket, on average.
+BUCKET_BYTES = 8 << 20
+#: Text looked at once for borders, and positions joined at once.
+STEP = 1 << 18
+#: Words hashed, and given to the tokeniser, at once.
+ENCODED_AT_ONCE = 8192
 #: Ids decoded at once.
-DECODED_AT_ONCE = 1 << 21
+DECODED_AT_ONCE = 1 << 18
 
 
 # ----------------------------------------------------------------- packing ----
 
 
-def pack(**columns: pa.Array) -> bytes:
-    """Columns of equal length as one compressed binary."""
-    batch = pa.RecordBatch.from_pydict(columns)
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return out.getvalue().to_pybytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers, of any lengths, as one binary: by byte planes, since upper bytes are mostly alike."""
+    head = np.array([len(columns), *[x for c in columns for x in (len(c), c.itemsize)]], "<u4")
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return head.tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
-def unpack(data) -> pa.RecordBatch:
-    return pa.ipc.open_stream(data).read_next_batch()
+def unpack(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    head = np.frombuffer(data, "<u4", 2 * n, 4)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[4 + 8 * n:]), np.uint8)
+    out, at = [], 0
+    for length, size in head.reshape(-1, 2).tolist():
+        out.append(np.ascontiguousarray(planes[at:at + length * size].reshape(size, length).T).view(f"<u{size}").ravel())
+        at += length * size
+    return out
+
+
+#: Numbers of frequent words are written in one byte, those of the next ones in two.
+_RANGES = (0, 128, 128 + (1 << 12))
+
+
+def pack_codes(codes: np.ndarray, repeated: int) -> bytes:
+    """Numbers of the words of some texts: short for frequent words; words from ``repeated`` on occur once, in order, and need none."""
+    kind = np.searchsorted(np.array(_RANGES, codes.dtype), codes, side="right").astype(np.uint8)
+    kind[codes >= repeated] = 0
+    parts = [(codes[kind == k + 1] - _RANGES[k]).astype(t) for k, t in enumerate(("<u1", "<u2", "<u4"))]
+    return pack(kind, *parts)
+
+
+def unpack_codes(data: bytes, repeated: int) -> np.ndarray:
+    kind, *parts = unpack(data)
+    out = np.empty(len(kind), np.int32)
+    for k, part in enumerate(parts):
+        out[kind == k + 1] = part.astype(np.int32) + _RANGES[k]
+    once = kind == 0
+    out[once] = repeated + np.arange(once.sum(), dtype=np.int32)
+    return out
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """Whole numbers below 2^32 by byte planes: frequent words have small numbers, so the upper planes are nearly empty."""
-    return zstandard.ZstdCompressor(level=3).compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _words(letters: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Words from their bytes and lengths."""
+    at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(letters)])
 
 
-def unpack_codes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of words."""
+    texts = Texts(words)
+    return texts.data, np.diff(texts.at).astype("<u4")
 
 
 # ------------------------------------------------------------------- split ----
@@ -77,53 +113,63 @@ def word_borders(texts: Texts) -> np.ndarray:
     After a character beyond ASCII only if its bytes cannot be those of a wide space; a border left out makes one
     longer word and no other ids.
     """
-    b = texts.data
-    if not len(b):
-        return np.zeros(0, np.int64)
-    space = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
-    plain = (b > 0x20) & (b < 0x7F)
-    wide = b >= 0x80
-    before = np.concatenate([np.zeros(2, np.uint8), b])
-    two, three = before[1:-1], before[:-2]  # the bytes one and two places back
-    # U+0085 and U+00A0; U+1680; U+2000 to U+207F; U+3000 to U+303F.
-    maybe = ((two == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((three == 0xE1) & (two == 0x9A)) \
-        | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
-    ends = plain | (wide & ~maybe)
-    border = np.zeros(len(b) + 1, bool)
-    border[1:-1] = ends[:-1] & space[1:]
+    border = np.zeros(len(texts.data) + 1, bool)
+    for begin in range(0, len(texts.data), STEP):
+        b = texts.data[max(0, begin - 3):begin + STEP + 1]  # three bytes before and one behind the step
+        space = (b == 0x20) | ((b >= 0x09) & (b <= 0x0D))
+        before = np.concatenate([np.zeros(2, np.uint8), b])
+        two, three = before[1:-1], before[:-2]  # the bytes one and two places back
+        # U+0085 and U+00A0; U+1680; U+2000 to U+207F; U+3000 to U+303F.
+        maybe = ((two == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((three == 0xE1) & (two == 0x9A)) \
+            | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
+        ends = ((b > 0x20) & (b < 0x7F)) | ((b >= 0x80) & ~maybe)
+        found = np.flatnonzero(ends[:-1] & space[1:]) + 1 + max(0, begin - 3)
+        border[found[(found > begin) | (begin == 0)]] = True
     border[texts.at] = True
     return np.flatnonzero(border[:-1])
 
 
-def split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, owners, lengths, codes, n_words, words): texts as numbers of the block's distinct words.
-
-    ``owners`` and ``lengths`` have the id and the number of words of each text, ``codes`` the words of all texts
-    in order, ``words`` the distinct ones, most frequent first.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for number, block in enumerate(blocks_of(batches, "text", BLOCK_BYTES)):
-            texts = Texts(block.column("text"))
-            borders = word_borders(texts)
-            offsets = np.append(borders, len(texts.data))
-            found = pa.Array.from_buffers(
-                pa.large_binary(), len(borders), [None, pa.py_buffer(offsets), pa.py_buffer(texts.data)]).dictionary_encode()
-            code = found.indices.to_numpy()
-            order = np.argsort(-np.bincount(code, minlength=len(found.dictionary)), kind="stable")
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            lengths = np.diff(np.searchsorted(borders, texts.at))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([task << 32 | number], pa.int64()), _one(block.column("id")), _one(pa.array(lengths, pa.int32())),
-                pa.array([pack_codes(rank[code])], pa.binary()), pa.array([len(order)], pa.int64()),
-                pa.array([pack(word=found.dictionary.take(pa.array(order)))], pa.binary()),
-            ], ["block", "owners", "lengths", "codes", "n_words", "words"])
-
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, f"block long, owners array<{kind}>, lengths array<int>, codes binary, n_words long, words binary")
+class Block:
+    """A few megabytes of texts as numbers of their distinct words, the most frequent ones first."""
+
+    def __init__(self, task: int, number: int, column: pa.Array):
+        texts = Texts(column)
+        borders = word_borders(texts)
+        found = pa.Array.from_buffers(
+            pa.large_binary(), len(borders), [None, pa.py_buffer(np.append(borders, len(texts.data))), pa.py_buffer(texts.data)],
+        ).dictionary_encode()
+        times = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+        order = np.argsort(-times, kind="stable")  # words that occur once stay in the order of the texts
+        self.found, self.order = found.indices, order
+        self.words = found.dictionary.take(pa.array(order))
+        self.repeated = int((times > 1).sum())
+        self.lengths = np.diff(np.searchsorted(borders, texts.at)).astype(np.int32)
+        said = hashlib.blake2b(texts.data, digest_size=8, key=b"%d %d" % (task, number))
+        said.update(texts.at.tobytes())
+        self.key = int.from_bytes(said.digest(), "little", signed=True)
+
+    def codes(self) -> np.ndarray:
+        """The number of the word at every position."""
+        rank = np.empty(len(self.order), np.int32)
+        rank[self.order] = np.arange(len(self.order), dtype=np.int32)
+        return rank[self.found.to_numpy()]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    task = TaskContext.get().partitionId()
+    for number, batch in enumerate(blocks_of(batches, "text", BLOCK_BYTES)):
+        yield batch, Block(task, number, batch.column("text"))
+        pa.default_memory_pool().release_unused()
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, owners, lengths, n_words, repeated, codes): ids and numbers of words of the texts, and the words in order."""
+    for batch, block in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([block.key], pa.int64()), _one(batch.column("id")), _one(pa.array(block.lengths)),
+            pa.array([len(block.words)], pa.int64()), pa.array([block.repeated], pa.int64()),
+            pa.array([pack_codes(block.codes(), block.repeated)], pa.binary()),
+        ], ["block", "owners", "lengths", "n_words", "repeated", "codes"])
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -159,19 +205,19 @@ def _asked(buckets: int):
     """(bucket, block, asked): the distinct words of each block with their numbers, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
-                words = unpack(packed.as_buffer()).column("word")
-                texts = Texts(words.cast(pa.large_binary()))
-                bucket = (texts.hashes(texts.at[:-1], texts.at[1:]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                for begin, end in zip(at, np.append(at[1:], len(order))):
-                    these = pa.array(order[begin:end])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([bucket[order[begin]]], pa.int64()), pa.array([block], pa.int64()),
-                        pa.array([pack(code=these.cast(pa.int32()), word=words.take(these))], pa.binary()),
-                    ], ["bucket", "block", "asked"])
+        for _, block in _blocks(batches):
+            bucket = np.empty(len(block.words), np.int32)
+            for begin in range(0, len(bucket), ENCODED_AT_ONCE):
+                texts = Texts(block.words.slice(begin, ENCODED_AT_ONCE))
+                bucket[begin:begin + len(texts)] = texts.hashes(texts.at[:-1], texts.at[1:]) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for begin, end in zip(at, np.append(at[1:], len(order))):
+                these = order[begin:end]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(bucket[order[begin]])], pa.int64()), pa.array([block.key], pa.int64()),
+                    pa.array([pack(np.diff(these, prepend=0).astype("<u4"), *_letters(block.words.take(pa.array(these))))], pa.binary()),
+                ], ["bucket", "block", "asked"])
 
     return run
 
@@ -180,36 +226,60 @@ def _answered(path: str):
     """(block, answer): one encoding of each distinct word of a bucket, given to all blocks that asked for it."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        asked = [unpack(x.as_buffer()) for x in rows["asked"]]
-        every = pa.concat_arrays([x.column("word") for x in asked]).dictionary_encode()
-        encoded = tokenizer(path).encode_batch_fast([x.decode() for x in every.dictionary.to_pylist()], add_special_tokens=False)
-        ids = pa.array([x.ids for x in encoded], pa.list_(pa.int32()))
-        at = np.cumsum([0, *[len(x) for x in asked]])
-        packed = [pack(code=x.column("code"), ids=ids.take(every.indices.slice(begin, len(x)))) for x, begin in zip(asked, at)]
+        asked = [unpack(x.as_py()) for x in rows["asked"]]
+        every = pa.concat_arrays([_words(*x[1:]) for x in asked]).dictionary_encode()
+        ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for begin in range(0, len(every.dictionary), ENCODED_AT_ONCE):
+            some = [x.decode() for x in every.dictionary.slice(begin, ENCODED_AT_ONCE).to_pylist()]
+            found = [x.ids for x in tokenizer(path).encode_batch_fast(some, add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        known = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(ids))
+        packed, at = [], 0
+        for codes, _, sizes in asked:
+            mine = known.take(every.indices.slice(at, len(sizes)))
+            packed.append(pack(codes, mine.value_lengths().to_numpy().astype("<u4"), mine.flatten().to_numpy().astype("<u4")))
+            at += len(sizes)
         return pa.table({"block": rows["block"], "answer": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _joined(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _joined():
     """The ids of the texts of a block, from the numbers of their words and the ids of each word."""
-    codes = unpack_codes(blocks["codes"][0].as_py()).astype(np.int64)
-    given = [unpack(x.as_buffer()) for x in answers["answer"]]
-    lengths = blocks["lengths"].combine_chunks().flatten().to_numpy()
-    owners = blocks["owners"].combine_chunks().flatten()
-    if given:
-        order = np.empty(sum(len(x) for x in given), np.int64)
-        order[np.concatenate([x.column("code").to_numpy() for x in given])] = np.arange(len(order))
-        ids = pa.concat_arrays([x.column("ids") for x in given]).take(pa.array(order[codes]))
-        flat = ids.flatten().to_numpy()
-        at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])[np.concatenate([[0], np.cumsum(lengths)])]
-    else:
-        flat, at = np.zeros(0, np.int32), np.zeros(len(lengths) + 1, np.int64)
-    digests = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(at, at[1:])]
-    return pa.table({
-        "id": owners, "n_tokens": pa.array(np.diff(at), pa.int64()),
-        "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), "ids_sha256": pa.array(digests, pa.string()),
-    })
+
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        given = [unpack(x.as_py()) for x in answers["answer"]]
+        order = np.full(max(blocks["n_words"].to_pylist(), default=0), -1, np.int64)
+        if given:
+            number = np.concatenate([np.cumsum(code, dtype=np.int64) for code, _, _ in given])
+            order[number[number < len(order)]] = np.flatnonzero(number < len(order))
+        sizes = np.concatenate([np.zeros(0, "<u4"), *[size for _, size, _ in given]])
+        known = pa.LargeListArray.from_arrays(
+            np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate([np.zeros(0, "<u4"), *[x for _, _, x in given]]))
+        if not len(blocks) or (order < 0).any():
+            raise RuntimeError("texts came back otherwise when read again; write them to a table first and encode that")
+        for row in range(len(blocks)):  # more than one only where blocks are equal
+            codes = unpack_codes(blocks["codes"][row].as_py(), blocks["repeated"][row].as_py())
+            owners, lengths = (blocks[c][row].values for c in ("owners", "lengths"))
+            at = np.concatenate([[0], np.cumsum(lengths.to_numpy(), dtype=np.int64)])
+            begin = 0
+            while begin < len(lengths):
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + STEP, side="right")) - 1)
+                ids = known.take(pa.array(order[codes[at[begin]:at[end]]]))
+                flat = ids.flatten().to_numpy()
+                cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])[at[begin:end + 1] - at[begin]]
+                digests = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(cuts, cuts[1:])]
+                out.append(pa.RecordBatch.from_arrays([
+                    owners.slice(begin, end - begin), pa.array(np.diff(cuts), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())), pa.array(digests, pa.string()),
+                ], ["id", "n_tokens", "ids", "ids_sha256"]))
+                begin = end
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,14 +287,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``ids_sha256`` is the digest of the ids as little-endian 32-bit integers.
     """
-    blocks = cut(split(docs, id_col, text_col))
-    words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(1, -(-words // BUCKET_WORDS))
-    asked = blocks.select("block", "words").mapInArrow(_asked(buckets), "bucket long, block long, asked binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered(path), "block long, answer binary")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = blocks.select("block", "owners", "lengths", "codes").groupBy("block").cogroup(answers.groupBy("block")) \
-        .applyInArrow(_joined, f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string")
+    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    asked = plain.mapInArrow(_asked(buckets), "bucket long, block long, asked binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered(path), "block long, answer binary")
+    blocks = plain.mapInArrow(
+        _positions, f"block long, owners array<{kind}>, lengths array<int>, n_words long, repeated long, codes binary")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")) \
+        .applyInArrow(_joined(), f"id {kind}, n_tokens long, ids array<int>, ids_sha256 string")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -76,12 +76,13 @@ def round_trip(spark, rows):
     return sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.text) for r in T.decode(encoded, PATH).collect())
 
 
-@pytest.mark.parametrize("block, bucket", [(1 << 25, 1 << 19), (200, 5)])
+@pytest.mark.parametrize("block, bucket", [(1 << 25, 1 << 24), (200, 100)])
 def test_round_trip_equals_the_library(spark, plain, monkeypatch, block, bucket):
     from kinweave.llm import words
 
     monkeypatch.setattr(T, "BLOCK_BYTES", block)
-    monkeypatch.setattr(T, "BUCKET_WORDS", bucket)
+    monkeypatch.setattr(T, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(T, "STEP", min(block // 10, T.STEP))
     monkeypatch.setattr(words, "SLICE_BYTES", min(block, words.SLICE_BYTES))
     rng = random.Random(7)
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (None, None), (3, "The cat's hat, don't!! It'S"), (3, "again")]
@@ -105,6 +106,30 @@ def test_decoding_of_any_ids(spark, plain, monkeypatch):
     assert (got[900], got[901], got[902]) == (None, "<|endoftext|>a", "")
 
 
+def test_borders_do_not_depend_on_the_step(monkeypatch):
+    t = Texts(pa.array(TEXTS * 3, pa.string()))
+    whole = T.word_borders(t).tolist()
+    for step in (1, 2, 3, 5, 64):
+        monkeypatch.setattr(T, "STEP", step)
+        assert T.word_borders(t).tolist() == whole
+
+
+def test_texts_that_come_back_otherwise_end_the_job(spark):
+    from pyspark.sql import functions as F
+
+    odd = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.rand() * F.monotonically_increasing_id()).cast("string")).alias("text"))
+    docs = odd.select("doc_id", F.udf(lambda t: f"{t} {random.random()}", "string").asNondeterministic()("text").alias("text"))
+    with pytest.raises(Exception, match="came back otherwise"):
+        T.encode(docs, PATH).collect()
+
+
+def test_equal_blocks_are_kept_apart(spark, plain):
+    rows = [(1, "same text here"), (2, "and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_tokens) for r in T.encode(docs.unionByName(docs), PATH).collect())
+    assert got == sorted([(i, len(plain.encode(t).ids)) for i, t in rows] * 2)
+
+
 def test_other_tokenisers_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         T.tokenizer(tokenizer_path("word_bpe_49k.json"))

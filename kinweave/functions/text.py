@@ -26,6 +26,14 @@ YEARS_CUE = r"(?i)(\d+(?:\.\d+)?)\s*\+?\s*(?:years|yrs)\b"
 NOT_A_LINK = r"\.(?:js|e|pdf|doc|docx|txt|jpg|png|gif|css|html|xml|json|exe|dll|so|dylib|zip|tar|gz)$"
 NOT_A_LABELLED_LINK = r"(?i)\.(?:js|e|pdf|doc|docx|txt|jpg|png|gif|css|html|xml|json)$"
 ROLE_WORD = r"(?i)\b(?:engineer|developer|manager|scientist|analyst|designer|architect|lead|director)\b"
+ROLE_CUE = r"(?i)currently\s+an?\s+([A-Za-z][A-Za-z\s/]+?)\s+(?:at|@)\s+([A-Za-z][\w.\s&]+?)[.\n]"
+NAME_WORD = r"[A-Z][a-zA-Z'.-]*"
+HISTORY_ROW = r"^([^|]+)\|([^|]+)\|([^|]+?)(?:\|([^|]+))?$"
+HISTORY_DATE = r"[A-Za-z]+\.?\s*\d{4}|\d{4}|\d{4}-\d{2}"
+HISTORY_PROSE = (
+    rf"(?i)^(.+?)\s+(?:—|-|@|at)\s+(.+?)\s*\(?\s*({HISTORY_DATE})\s*[-–]\s*(present|now|current|{HISTORY_DATE})\)?$"
+)
+KEY_LINE = r"(?m)^[ \t]*(?=(?:SKILLS|EXPERIENCE|EDUCATION):[ \t\r]*$|(?!(?:SKILLS|EXPERIENCE|EDUCATION):)[A-Z_]+:)"
 PLACE_WORD = r",\s*[A-Z]{2}\b|\b(?:USA|US|UK|India|Canada|Germany|France|Japan|Singapore|Brazil|Mexico)\b"
 
 
@@ -97,9 +105,8 @@ def years_cue(text: Column) -> Column:
 
 def role_cue(text: Column) -> Column:
     """``currently a <role> at <company>`` as ``<role> at <company>``."""
-    cue = r"(?i)currently\s+an?\s+([A-Za-z][A-Za-z\s/]+?)\s+(?:at|@)\s+([A-Za-z][\w.\s&]+?)[.\n]"
-    role = N.trim(F.regexp_extract(text, cue, 1))
-    return F.when(role != "", F.concat(role, F.lit(" at "), N.trim(F.regexp_extract(text, cue, 2))))
+    role = N.trim(F.regexp_extract(text, ROLE_CUE, 1))
+    return F.when(role != "", F.concat(role, F.lit(" at "), N.trim(F.regexp_extract(text, ROLE_CUE, 2))))
 
 
 def split_skills(text: Column, delimiters: str = r"[,;|]", alias_first: bool = False) -> Column:
@@ -143,9 +150,8 @@ def _first(arr: Column) -> Column:
 
 
 def first_name_line(line_array: Column) -> Column:
-    word = r"[A-Z][a-zA-Z'.-]*"
     cleaned = F.transform(F.slice(line_array, 1, 10), N.trim)
-    return _first(F.filter(cleaned, lambda s: s.rlike(rf"^{word}(?:\s+{word}){{1,4}}$")))
+    return _first(F.filter(cleaned, lambda s: s.rlike(rf"^{NAME_WORD}(?:\s+{NAME_WORD}){{1,4}}$")))
 
 
 def first_role_line(line_array: Column) -> Column:
@@ -215,27 +221,21 @@ def labelled_education(rows: Column) -> Column:
 
 def free_text_experience(section_lines: Column) -> Column:
     """Piped rows, else prose such as ``Title at Company (Jan 2020 - present)``."""
-    piped = r"^([^|]+)\|([^|]+)\|([^|]+?)(?:\|([^|]+))?$"
-    date = r"[A-Za-z]+\.?\s*\d{4}|\d{4}|\d{4}-\d{2}"
-    prose = (
-        rf"(?i)^(.+?)\s+(?:—|-|@|at)\s+(.+?)\s*\(?\s*({date})\s*[-–]\s*(present|now|current|{date})\)?$"
-    )
-
     def part(s: Column, pattern: str, i: int) -> Column:
         return N.trim(F.regexp_extract(s, pattern, i))
 
     def build(s: Column) -> Column:
-        dates = F.regexp_extract(s, piped, 3)
+        dates = F.regexp_extract(s, HISTORY_ROW, 3)
         return F.when(
-            s.rlike(piped),
+            s.rlike(HISTORY_ROW),
             experience_struct(
-                part(s, piped, 1), part(s, piped, 2), _span(dates, 1), _span(dates, 2),
-                N.blank_to_null(part(s, piped, 4)),
+                part(s, HISTORY_ROW, 1), part(s, HISTORY_ROW, 2), _span(dates, 1), _span(dates, 2),
+                N.blank_to_null(part(s, HISTORY_ROW, 4)),
             ),
         ).when(
-            s.rlike(prose),
+            s.rlike(HISTORY_PROSE),
             experience_struct(
-                part(s, prose, 2), part(s, prose, 1), N.month(part(s, prose, 3)), N.month(part(s, prose, 4)),
+                part(s, HISTORY_PROSE, 2), part(s, HISTORY_PROSE, 1), N.month(part(s, HISTORY_PROSE, 3)), N.month(part(s, HISTORY_PROSE, 4)),
                 _null_text(),
             ),
         )
@@ -270,8 +270,7 @@ def labelled_chunks(text: Column) -> Column:
     follows its colon; with an inline value the line is ordinary text.
     """
     cut = "\u0001"
-    key_line = r"(?m)^[ \t]*(?=(?:SKILLS|EXPERIENCE|EDUCATION):[ \t\r]*$|(?!(?:SKILLS|EXPERIENCE|EDUCATION):)[A-Z_]+:)"
-    return F.split(F.regexp_replace(text, key_line, cut), cut)
+    return F.split(F.regexp_replace(text, KEY_LINE, cut), cut)
 
 
 def labelled_value(chunks: Column, key: str) -> Column:

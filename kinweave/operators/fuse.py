@@ -12,12 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave import schema as S
 from kinweave.functions import standardize as N
-from kinweave.operators.skew import page_within
+from kinweave.operators.skew import position_within
 
 ID = "candidate_id"
-# Entries of one field in one output row. A profile with more continues in
-# further rows (page 1, 2, ...), so a row never grows with the data.
-PAGE_ROWS = 10_000
 
 
 # -------------------------------------------------------------- weights ----
@@ -152,6 +149,15 @@ def field_totals(fact_rows: DataFrame) -> DataFrame:
     )
 
 
+def items(fact_rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """(candidate_id, field, position, value, key, weight, sources): every value with its 0-based place in its field.
+
+    The long form of :func:`profiles`, in the same order, for lists of any length: no group is sorted in one task.
+    """
+    placed = position_within(ordered_facts(fact_rows, collation), [ID, "field"], ["neg", "text", "value", "key"])
+    return placed.select(ID, "field", "position", "value", "key", "weight", "sources")
+
+
 def rounded(c: Column, digits: int = 3) -> Column:
     return F.round(c, digits).cast("double")
 
@@ -202,41 +208,17 @@ def _total_map(fields: tuple[str, ...]) -> str:
     return f"map({', '.join(pair(f) for f in fields)}) AS totals"
 
 
-def gather(fact_rows: DataFrame, page_rows: int = PAGE_ROWS, collation: str | None = None,
-           paged: bool | None = None) -> DataFrame:
-    """(candidate_id, page, entries, totals): the facts of a candidate in one row.
+def gather(fact_rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """(candidate_id, entries, totals): the facts of a candidate in one row, in order of field, weight and text.
 
-    A candidate with more than ``page_rows`` facts in one field is laid out over
-    several rows. ``paged=None`` looks whether there are such candidates (a count
-    over the facts, which should be materialised by then); ``False`` skips the look
-    where the caller knows there are none.
+    A profile is one row and becomes one document, whatever the length of its lists; lists that no
+    row could hold are in :func:`items`.
     """
-    rows = ordered_facts(fact_rows, collation)
-
-    def collect(df: DataFrame) -> DataFrame:
-        return df.groupBy(ID, "page").agg(F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("entries"))
-
-    if paged is None:
-        sizes = fact_rows.groupBy(ID, "field").agg(F.count(F.lit(1)).alias("n"))
-        wide = sizes.where(F.col("n") > page_rows).select(ID).distinct()
-        paged = not wide.isEmpty()
-    if not paged:
-        one = collect(rows.withColumn("page", F.lit(0)))
-        return one.selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS)))
-    sizes = fact_rows.groupBy(ID, "field").agg(F.count(F.lit(1)).alias("n"))
-    wide = sizes.where(F.col("n") > page_rows).select(ID).distinct()
-    narrow = collect(rows.join(wide, ID, "left_anti").withColumn("page", F.lit(0)))
-    big = rows.join(wide, ID, "left_semi")
-    pages = collect(page_within(big, [ID, "field"], ["neg", "text", "key"], page_rows))
-    # At most eleven (field, n, total) rows per candidate.
-    per_field = (
-        big.groupBy(ID, "field")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast(S.WEIGHT_SUM).alias("total"))
+    return (
+        ordered_facts(fact_rows, collation)
         .groupBy(ID)
-        .agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("n", "total")))).alias("totals"))
-    )
-    return narrow.selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS))).unionByName(
-        pages.join(per_field, ID)
+        .agg(F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("entries"))
+        .selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS)))
     )
 
 
@@ -273,34 +255,31 @@ def _rounded(sql: str) -> str:
 def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """One nested profile per row of :func:`gather`: values, provenance, confidences, conflicts.
 
-    Pure projection. Columns come in canonical order. Continuation rows
-    (page > 0) hold further list items and further alternates only; ``field_sizes`` counts
-    the entries of a field over all rows of the profile.
+    Pure projection. Columns come in canonical order.
     """
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
     scalars = [f for f in S.SCALAR_FIELDS if f in wanted]
     lists = [f for f in S.LIST_FIELDS if f in wanted]
     split = gathered.selectExpr(
-        ID, "page", "totals", *[f"filter(entries, e -> e.field = '{f}') AS _{f}" for f in (*scalars, *lists)]
+        ID, "totals", *[f"filter(entries, e -> e.field = '{f}') AS _{f}" for f in (*scalars, *lists)]
     )
-    # The winner is the first entry of the first page, everything else lost.
-    rest = "CASE WHEN page = 0 THEN slice(_{0}, 2, greatest(size(_{0}), 1)) ELSE _{0} END"
+    # The winner is the first entry, everything else lost.
+    rest = "slice(_{0}, 2, greatest(size(_{0}), 1))"
     alternate = "e -> struct(e.value AS value, e.sources AS sources, cast(round(-e.neg, 3) AS double) AS weight)"
     parts = split.selectExpr(
         "*",
-        *[f"CASE WHEN page = 0 THEN try_element_at(_{f}, 1) END AS _top_{f}" for f in scalars],
+        *[f"try_element_at(_{f}, 1) AS _top_{f}" for f in scalars],
         *[f"transform({rest.format(f)}, {alternate}) AS _lost_{f}" for f in scalars],
     )
     values = [
         f if f == ID else f"{_typed(f, f'_top_{f}.value')} AS {f}" for f in scalars
     ] + [f"transform(_{f}, e -> {_typed(f, 'e.value')}) AS {f}" for f in lists]
     confidence = {
-        f: f"CASE WHEN page = 0 THEN {_rounded(f'try_divide(-_top_{f}.neg, totals.{f}.total)')} END" for f in scalars
+        f: _rounded(f"try_divide(-_top_{f}.neg, totals.{f}.total)") for f in scalars
     } | {
-        f: f"CASE WHEN page = 0 THEN least(1.0D, {_rounded(f'try_divide(totals.{f}.total, totals.{f}.n)')}) END"
-        for f in lists
+        f: f"least(1.0D, {_rounded(f'try_divide(totals.{f}.total, totals.{f}.n)')})" for f in lists
     }
-    scalar_sources = {f: f"CASE WHEN page = 0 THEN coalesce(_top_{f}.sources, {NO_TEXTS}) END" for f in scalars}
+    scalar_sources = {f: f"coalesce(_top_{f}.sources, {NO_TEXTS})" for f in scalars}
     item_sources = {
         f: f"map_from_entries(transform(_{f}, e -> struct(e.key AS key, e.sources AS value)))" for f in lists
     }
@@ -310,20 +289,16 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
         for f in scalars
     }
     out = parts.selectExpr(
-        "page",
         *values,
         f"{_map_of(scalar_sources, 'array<string>')} AS scalar_provenance",
         f"{_map_of(item_sources, 'map<string,array<string>>')} AS list_provenance",
         f"{_map_of(confidence, 'double')} AS field_confidence",
         f"{_map_of(contested, CONFLICT)} AS conflicts",
-        "transform_values(totals, (f, t) -> t.n) AS field_sizes",
     )
     # Mean of the field confidences above zero, in exact decimals.
     present = "transform(filter(map_values(field_confidence), c -> c > 0), c -> cast(c AS decimal(10,3)))"
     summed = f"aggregate({present}, cast(0 AS decimal(20,3)), (a, c) -> cast(a + c AS decimal(20,3)))"
-    overall = f"CASE WHEN page = 0 THEN {_rounded(f'try_divide({summed}, size({present}))')} END"
-    kept = [c for c in out.columns if c not in ("page", "field_sizes")]
-    return out.selectExpr(*kept, f"{overall} AS overall_confidence", "page", "field_sizes")
+    return out.selectExpr("*", f"{_rounded(f'try_divide({summed}, size({present}))')} AS overall_confidence")
 
 
 def latest_meta(records: DataFrame) -> DataFrame:

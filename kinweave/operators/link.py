@@ -17,9 +17,11 @@ from kinweave.operators.skew import cut, cut_counted, join_counted
 NUM, DEN = 17, 20
 # The smallest set that matches a different one has six tokens (6/7).
 FUZZY_TOKENS = 6
-# Up to this many distinct tokens a name is matched through token deletions (at
-# most 191 keys); longer ones go through rare-token prefixes.
-DELETION_TOKENS = 19
+# Up to this many distinct tokens a name is filed under itself and itself less one
+# token (14 keys at most); longer names meet in their rarest tokens.
+DELETION_TOKENS = 13
+# Members of a group of names with a common rare token that are compared in one block.
+BLOCK_SETS = 1024
 
 
 # ----------------------------------------------------- pairwise predicates ----
@@ -209,40 +211,83 @@ def _deletion_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     )
 
 
-def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
-    """Edges that involve a set of more than ``max_tokens`` tokens.
+def _rare_tokens(sets: DataFrame) -> DataFrame:
+    """(set_id, place_kind, place, candidate_id, tokens, at, token): each set under its rarest tokens.
 
-    Both sides are reduced to their rarest tokens, of which matching sets must
-    share one; candidates are then compared in full.
+    The tokens of a set are put in one order for the whole place, rarest first. Two similar sets
+    share a token among as many of their first ones as the larger may have apart from the smaller,
+    and one more; ``at`` is its place in the order, from 1.
     """
-    shortest = -(-max_tokens * NUM // DEN)
-    long_enough = sets.where(F.size("tokens") >= shortest)
-    counts = (
-        long_enough.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    on = ["place_kind", "place", "token"]
+    each = sets.select("set_id", "place_kind", "place", F.explode("tokens").alias("token"))
+    counts = each.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    ordered = (
+        join_counted(each, counts.withColumn("rarity", F.col("n")), on)
+        .groupBy("set_id")
+        .agg(F.array_sort(F.collect_list(F.struct("rarity", "token"))).alias("by_rarity"))
     )
-    exploded = long_enough.select("*", F.explode("tokens").alias("t"))
-    ranked = (
-        join_counted(exploded, counts.withColumn("rarity", F.col("n")), ["t"])
-        .groupBy("candidate_id", "place_kind", "place", "tokens")
-        .agg(F.array_sort(F.collect_list(F.struct("rarity", "t"))).alias("by_rarity"))
+    size = F.size("by_rarity")
+    first = F.slice("by_rarity", F.lit(1), size - F.ceil(size * NUM / DEN).cast("int") + 1)
+    return (
+        ordered.select("set_id", F.col("by_rarity.token").alias("tokens"), F.posexplode(first).alias("at", "p"))
+        # A token that no other set of the place has brings nothing together.
+        .where(F.col("p.rarity") > 1)
+        .join(sets.drop("tokens"), "set_id")
+        .select("set_id", "place_kind", "place", "candidate_id", "tokens", (F.col("at") + 1).alias("at"), F.col("p.token").alias("token"))
     )
+
+
+def _similar(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared * DEN >= NUM * (F.size(a) + F.size(b) - shared)
+
+
+def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
+    """Edges that connect every set of more than ``max_tokens`` tokens with all sets similar to it.
+
+    Sets meet under a common rare token of a place. First all of a group are compared with its
+    smallest set; those similar to it form its star. Then groups are dealt into blocks, and each
+    two blocks are compared, but for pairs of one star, pairs of unlike sizes, and pairs whose order
+    leaves too few tokens behind the common one. Of the similar sets that a set has in one star a
+    single edge is kept, summed up where the pairs are made, so there is no table of pairs.
+    """
+    on = ["place_kind", "place", "token"]
+    shortest = -(-(max_tokens + 1) * NUM // DEN)
+    numbered = cut(sets.where(F.size("tokens") >= shortest).withColumn("set_id", F.monotonically_increasing_id()))
+    held, total = cut_counted(_rare_tokens(numbered))
     size = F.size("tokens")
-    needed = size - F.ceil(size * NUM / DEN).cast("int") + 1
-    prefix = ranked.select(
-        "candidate_id", "place_kind", "place", "tokens",
-        F.explode(F.slice("by_rarity", F.lit(1), needed)).alias("p"),
-    ).withColumn("t", F.col("p.t")).drop("p")
-    x, y = prefix.alias("x"), prefix.where(F.size("tokens") > max_tokens).alias("y")
-    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    return (
-        x.join(y, ["place_kind", "place", "t"])
-        .where(F.col("x.candidate_id") != F.col("y.candidate_id"))
-        .where(shared * DEN >= NUM * (F.size("x.tokens") + F.size("y.tokens") - shared))
-        .select(
-            F.least("x.candidate_id", "y.candidate_id").alias("a"),
-            F.greatest("x.candidate_id", "y.candidate_id").alias("b"),
-        )
+    groups = cut(
+        held.groupBy(*on)
+        .agg(F.min(F.struct("set_id", "candidate_id", "tokens")).alias("hub"), F.count(F.lit(1)).alias("n"), F.max(size).alias("longest"))
+        .where((F.col("n") > 1) & (F.col("longest") > max_tokens))
+        .drop("longest")
+    )
+    met = cut(join_counted(held, groups.withColumn("members", F.col("n")), on, total=total))
+    near = met.where((F.col("set_id") != F.col("hub.set_id")) & _similar(F.col("tokens"), F.col("hub.tokens")))
+    stars = near.select("set_id", F.col("hub.set_id").alias("star"), F.col("hub.candidate_id").alias("a"), F.col("candidate_id").alias("b"))
+    # A set may be near several hubs; hubs that are near smaller ones belong to those.
+    star_of = stars.groupBy("set_id").agg(F.min("star").alias("star"))
+    blocks = F.ceil(F.col("members") / BLOCK_SETS)
+    dealt = (
+        met.drop("hub").join(star_of, "set_id", "left")
+        .withColumn("star", F.coalesce("star", "set_id"))
+        .withColumn("block", F.pmod(F.xxhash64("set_id"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .select(*on, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                "block", "set_id", "star", "candidate_id", "tokens", size.alias("size"), "at")
+    )
+    x, y = dealt.alias("x"), dealt.alias("y")
+    both = lambda pick, c: pick(F.col(f"x.{c}"), F.col(f"y.{c}"))
+    behind = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
+    pairs = x.join(y, [*on, "low", "high"]).where(
+        (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.star") != F.col("y.star"))
+        & ((F.col("low") == F.col("high")) | (F.col("x.block") != F.col("y.block")))
+        & (both(F.greatest, "size") > max_tokens) & (both(F.least, "size") * DEN >= both(F.greatest, "size") * NUM)
+        & (behind * (NUM + DEN) >= NUM * (F.col("x.size") + F.col("y.size")))
+        & _similar(F.col("x.tokens"), F.col("y.tokens"))
     )
+    across = pairs.groupBy(F.col("x.candidate_id").alias("a"), F.col("y.star").alias("star")).agg(F.min("y.candidate_id").alias("b"))
+    return stars.select("a", "b").unionByName(across.select("a", "b")).where(F.col("a") != F.col("b"))
 
 
 def weak_edges(records: DataFrame, max_tokens: int = DELETION_TOKENS) -> DataFrame:
@@ -258,7 +303,7 @@ def weak_edges(records: DataFrame, max_tokens: int = DELETION_TOKENS) -> DataFra
     if longest >= FUZZY_TOKENS:
         edges = edges.unionByName(_deletion_edges(sets, min(max_tokens, longest)))
     if longest > max_tokens:
-        edges = edges.unionByName(_prefix_edges(cut(sets), max_tokens))
+        edges = edges.unionByName(_prefix_edges(sets, max_tokens))
     return edges.distinct()
 
 

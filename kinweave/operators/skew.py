@@ -76,8 +76,8 @@ def join_counted(
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def page_within(df: DataFrame, keys: list[str], order: list[str], page_rows: int) -> DataFrame:
-    """Add ``page``: the 0-based run of ``page_rows`` rows each row falls in, in group order.
+def position_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``position``: the 0-based place of each row in the order of its group.
 
     Exact and without sorting a group in one task: rows are cut into key ranges,
     each range is ranked on its own and shifted by the sizes of the earlier ones.
@@ -91,7 +91,6 @@ def page_within(df: DataFrame, keys: list[str], order: list[str], page_rows: int
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
         ranged.join(shifts, [*keys, "_slice"])
-        .withColumn("_rank", F.row_number().over(inside) + F.col("_shift"))
-        .withColumn("page", F.floor((F.col("_rank") - 1) / page_rows).cast("int"))
-        .drop("_slice", "_shift", "_rank")
+        .withColumn("position", F.row_number().over(inside) + F.col("_shift") - 1)
+        .drop("_slice", "_shift")
     )

@@ -6,9 +6,12 @@ is one projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from kinweave.functions import standardize as N
+from kinweave.operators.skew import cut
 from kinweave.plans.config import checked, declared_fields, path_parts, root_of
 from kinweave import schema as S
 
@@ -40,15 +43,11 @@ def path(df: DataFrame, expression: str) -> tuple[Column, T.DataType]:
     if root not in df.columns or root not in allowed:
         return nowhere
     value, kind = F.col(root), df.schema[root].dataType
-    if parts[1:] == ["length"] and root in S.LIST_FIELDS:
-        return F.try_element_at("field_sizes", F.lit(root)).cast("int"), T.IntegerType()  # of the whole profile
     for part in parts[1:]:
         stepped = _step(value, kind, part)
         if stepped is None:
             return nowhere
         value, kind = stepped
-    if any(isinstance(part, int) for part in parts):
-        value = F.when(F.col("page") == 0, value)  # places count from the start of the profile, not of a further row
     return value, kind
 
 
@@ -76,18 +75,17 @@ def _missing(value: Column, kind: T.DataType) -> Column:
     return gone | (F.size(value) == 0) if isinstance(kind, T.ArrayType) else gone
 
 
-def project(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
-    """One output row per profile row: declared keys, then provenance, confidences and conflicts.
+def project(profiles: DataFrame, config: dict | None = None, country: str = "US", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """One output row per profile: declared keys, then provenance, confidences and conflicts.
 
     Missing values follow ``missing_policy``: ``null`` gives null, ``omit`` gives
-    null here and no key in :func:`documents`, ``error`` stops the job.
-    Continuation rows of very long profiles are never missing anything.
+    null here and no key in :func:`documents`, ``error`` stops the job. ``keep`` names further columns
+    of the profile to carry along, and has the id carried as ``_id``.
     """
     cfg = checked(config)
     policy = cfg.get("missing_policy") or "null"
     with_prov = cfg.get("include_provenance") is not False
     with_conf = cfg.get("include_confidence") is not False
-    head = F.col("page") == 0
     outputs, scalar_prov, list_prov, confidences, absent = [], [], [], [], []
 
     def entry(key: str, value: Column, shown: Column) -> Column:
@@ -102,11 +100,11 @@ def project(profiles: DataFrame, config: dict | None = None, country: str = "US"
         missing = _missing(value, kind)
         if policy == "error":
             stop = F.raise_error(F.lit(f"Missing required field for output: {key}"))
-            out = F.when(missing & head, stop.cast(profiles.select(value).schema[0].dataType)).otherwise(value)
+            out = F.when(missing, stop.cast(profiles.select(value).schema[0].dataType)).otherwise(value)
         else:
             out = F.when(~missing, value)
         outputs.append(out.alias(key))
-        absent.append(F.when(missing & head, F.lit(key)))
+        absent.append(F.when(missing, F.lit(key)))
         shown = ~missing if policy == "omit" else F.lit(True)
         root = root_of(source)
         if root in S.SCALAR_FIELDS:
@@ -131,20 +129,21 @@ def project(profiles: DataFrame, config: dict | None = None, country: str = "US"
     if with_conf:
         extra += [
             as_map(confidences, "double").alias("field_confidence"),
-            F.when(head, F.coalesce("overall_confidence", F.lit(0.0))).alias("overall_confidence"),
+            F.coalesce("overall_confidence", F.lit(0.0)).alias("overall_confidence"),
             F.when(F.size("conflicts") > 0, F.col("conflicts")).alias("conflicts"),
         ]
     declared = [f["key"] for f in declared_fields(cfg)]
     id_column = [] if "candidate_id" in declared else [F.col("candidate_id")]
+    carried = [] if keep is None else [F.col("candidate_id").alias("_id"), *keep]
     return profiles.select(
-        *id_column, *outputs, *extra, "page",
+        *carried, *id_column, *outputs, *extra,
         N.compact(F.array(*absent)).alias("missing_keys"),
     )
 
 
 def output_validation(profiles: DataFrame, config: dict | None = None) -> DataFrame:
     """(candidate_id, valid, errors): does every written document have its declared keys?"""
-    return documents(profiles, config).where(F.col("page") == 0).select("candidate_id", "valid", "errors")
+    return documents(profiles, config).select("candidate_id", "valid", "errors")
 
 
 def _key_errors(output: Column, cfg: dict) -> Column:
@@ -156,18 +155,38 @@ def _key_errors(output: Column, cfg: dict) -> Column:
     return F.transform(F.array_except(wanted, there), lambda k: F.format_string("output lacks the key %s", k))
 
 
-def documents(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
-    """(candidate_id, page, output, valid, errors): each output as a JSON text.
+def validated(written: DataFrame, config: dict) -> DataFrame:
+    """Documents with ``valid`` and ``errors`` as another configuration than their own sees them."""
+    return written.withColumn("errors", _key_errors(F.col("output"), config)).withColumn("valid", F.size("errors") == 0)
 
-    This is where ``omit`` shows: keys without a value are left out of the text, nulls inside
-    a value stay. ``conflicts`` is left out under every policy where there is none.
+
+class Quarantine(NamedTuple):
+    outputs: DataFrame   # rows that have all demanded values
+    rejected: DataFrame  # (candidate_id, errors) of the others
+    counts: dict         # {"passed": n, "rejected": n}
+
+
+def quarantine(profiles: DataFrame, config: dict, country: str = "US") -> Quarantine:
+    """The ``error`` policy without ending the job: rows that lack a declared value are set apart with the reasons.
+
+    Profiles are projected once and written to the shared folder; the counts come from that pass.
     """
-    cfg = config or {}
-    out = project(profiles, cfg, country)
-    fields = [c for c in out.columns if c not in ("page", "missing_keys")]
+    cfg = dict(config, missing_policy="null")
+    bad = F.size("missing_keys") > 0
+    seen = Observation()
+    out = project(profiles, cfg, country, keep=()).observe(
+        seen, F.count_if(~bad).alias("passed"), F.count_if(bad).alias("rejected"))
+    kept = cut(out)
+    plain = [c for c in kept.columns if c not in ("_id", "missing_keys")]
+    reasons = F.transform("missing_keys", lambda k: F.concat(F.lit("Missing required field for output: "), k))
+    return Quarantine(
+        kept.where(~bad).select(*plain), kept.where(bad).select(F.col("_id").alias("candidate_id"), reasons.alias("errors")), dict(seen.get))
+
+
+def _document(out: DataFrame, cfg: dict, carried: tuple[str, ...]) -> Column:
+    """The JSON text of an output row: keys without a value are left out under ``omit``, ``conflicts`` always."""
     declared = {f["key"] for f in declared_fields(cfg)}
-    if "candidate_id" not in declared:
-        fields.remove("candidate_id")
+    fields = [c for c in out.columns if c not in ("missing_keys", "_id", *carried) and (c != "candidate_id" or c in declared)]
     omit = (cfg.get("missing_policy") or "null") == "omit"
 
     def member(c: str) -> Column:
@@ -176,17 +195,25 @@ def documents(profiles: DataFrame, config: dict | None = None, country: str = "U
         leaves = omit if c in declared else c == "conflicts"
         return F.when(F.col(f"`{c}`").isNotNull(), pair) if leaves else pair
 
-    body = F.concat(F.lit("{"), F.array_join(F.array(*[member(c) for c in fields]), ","), F.lit("}"))
-    done = out.select(F.col("candidate_id"), "page", body.alias("output"))
+    return F.concat(F.lit("{"), F.array_join(F.array(*[member(c) for c in fields]), ","), F.lit("}"))
+
+
+def documents(profiles: DataFrame, config: dict | None = None, country: str = "US", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(candidate_id, output, valid, errors): each output as a JSON text, with the columns ``keep`` of the profile.
+
+    This is where ``omit`` shows: keys without a value are left out of the text, nulls inside
+    a value stay. ``conflicts`` is left out under every policy where there is none.
+    """
+    cfg = config or {}
+    out = project(profiles, cfg, country, keep)
+    done = out.select(F.col("_id").alias("candidate_id"), *keep, _document(out, cfg, keep).alias("output"))
     return done.withColumn("errors", _key_errors(F.col("output"), cfg)).select(
-        "candidate_id", "page", "output", (F.size("errors") == 0).alias("valid"), "errors")
+        "candidate_id", *keep, "output", (F.size("errors") == 0).alias("valid"), "errors")
 
 
 def results(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
-    """(candidate_id, page, canonical, output, validation): what the result sink writes per profile."""
-    plain = [c for c in profiles.columns if c not in ("page", "field_sizes")]
-    whole = profiles.select("candidate_id", "page", F.struct(*plain).alias("canonical"))
-    # Both sides are projections of the same rows, so nothing but the key decides.
-    return whole.join(documents(profiles, config, country), ["candidate_id", "page"]).select(
-        "candidate_id", "page", "canonical", F.parse_json("output").alias("output"),
+    """(candidate_id, canonical, output, validation): what the result sink writes per profile, fused once."""
+    whole = profiles.withColumn("_canonical", F.struct(*profiles.columns))
+    return documents(whole, config, country, keep=("_canonical",)).select(
+        "candidate_id", F.col("_canonical").alias("canonical"), F.parse_json("output").alias("output"),
         F.struct("valid", "errors").alias("validation"))

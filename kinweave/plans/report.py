@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.plans import project as P
+
 NONE = "—"
 
 
@@ -13,24 +15,19 @@ def confidence_band(c: Column) -> Column:
 
 def confidence_bands(profiles: DataFrame) -> DataFrame:
     return (
-        profiles.where(F.col("page") == 0)
+        profiles
         .groupBy(confidence_band(F.col("overall_confidence")).alias("band"))
         .agg(F.count(F.lit(1)).alias("profiles"))
     )
 
 
-def _heads(profiles: DataFrame) -> DataFrame:
-    return profiles.where(F.col("page") == 0)
-
-
 def _list_size(field: str) -> Column:
-    """Entries of a list over all rows of the profile."""
-    return F.coalesce(F.try_element_at("field_sizes", F.lit(field)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(field), F.lit(0)).cast("long")
 
 
 def profile_table(profiles: DataFrame) -> DataFrame:
     """One line per profile: name, id, first mail address, sizes, confidence."""
-    return _heads(profiles).select(
+    return profiles.select(
         F.coalesce("full_name", F.lit(NONE)).alias("name"),
         F.col("candidate_id").alias("id"),
         F.coalesce(F.try_element_at("emails", F.lit(1)), F.lit(NONE)).alias("email"),
@@ -47,7 +44,7 @@ def place_line(loc: Column) -> Column:
 
 def profile_summary(profiles: DataFrame, skills_shown: int = 12, meta: DataFrame | None = None) -> DataFrame:
     """The longer line: contacts, place, skills with a count of the rest, history sizes, account."""
-    heads = _heads(profiles)
+    heads = profiles
     if meta is not None:
         heads = heads.join(meta, "candidate_id", "left")
         account = F.when(
@@ -79,12 +76,11 @@ def profile_summary(profiles: DataFrame, skills_shown: int = 12, meta: DataFrame
 
 def conflict_report(profiles: DataFrame) -> DataFrame:
     """One row per winner or alternate of every contested field."""
-    each = profiles.select("candidate_id", "page", F.explode("conflicts").alias("field", "c"))
+    each = profiles.select("candidate_id", F.explode("conflicts").alias("field", "c"))
     win = F.struct(
         F.lit("winner").alias("role"), F.col("c.winner").alias("value"),
         F.col("c.winning_sources").alias("sources"), F.lit(None).cast("double").alias("weight"),
     )
-    winner = F.filter(F.array(win), lambda w: F.col("page") == 0)
     others = F.transform(
         "c.alternates",
         lambda a: F.struct(
@@ -92,32 +88,33 @@ def conflict_report(profiles: DataFrame) -> DataFrame:
             a["weight"].alias("weight"),
         ),
     )
-    return each.select("candidate_id", "field", F.explode(F.concat(winner, others)).alias("r")).select(
+    return each.select("candidate_id", "field", F.explode(F.concat(F.array(win), others)).alias("r")).select(
         "candidate_id", "field", "r.role", "r.value", F.array_join("r.sources", ",").alias("sources"), "r.weight"
     )
 
 
 def profile_sources(profiles: DataFrame) -> DataFrame:
-    """Distinct source names anywhere in a profile row."""
+    """Distinct source names anywhere in a profile."""
     scalar = F.flatten(F.map_values("scalar_provenance"))
     listed = F.flatten(F.flatten(F.transform(F.map_values("list_provenance"), F.map_values)))
     return profiles.select(
-        "candidate_id", "page", F.array_sort(F.array_distinct(F.concat(scalar, listed))).alias("sources")
+        "candidate_id", F.array_sort(F.array_distinct(F.concat(scalar, listed))).alias("sources")
     )
 
 
-def profile_search(profiles: DataFrame, query: str, outputs: DataFrame | None = None) -> DataFrame:
-    """Profiles whose id, output text or canonical text holds the words, in any case."""
+def profile_search(profiles: DataFrame, query: str, config: dict | None = None, outputs: bool = False) -> DataFrame:
+    """Profiles whose id, canonical text or, with ``outputs``, output text holds the words, in any case.
+
+    All texts are made from the profile's row in one projection; nothing is fused again or joined.
+    """
     q = query.strip().lower()
-    canonical = F.to_json(F.struct(*[F.col(c) for c in profiles.columns if c not in ("page", "field_sizes")]))
-    hay = profiles.withColumn("_canonical", canonical)
-    parts = ["candidate_id", "_canonical"]
-    if outputs is not None:
-        hay = hay.join(outputs.select("candidate_id", "page", F.col("output").alias("_output")), ["candidate_id", "page"], "left")
-        parts.insert(1, "_output")
-    if q:
-        hay = hay.where(F.lower(F.concat_ws(" ", *parts)).contains(q))
-    return hay.drop("_canonical", "_output")
+    if not q:
+        return profiles
+    held = profiles.withColumn("_row", F.struct(*profiles.columns))
+    if outputs:
+        held = P.documents(held, config, keep=("_row",))
+    said = ["candidate_id", *(["output"] if outputs else []), F.to_json("_row")]
+    return held.where(F.lower(F.concat_ws(" ", *said)).contains(q)).select("_row.*")
 
 
 def run_stats(records: DataFrame, rewrite: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ class Unified:
     profiles: DataFrame     # nested canonical profiles
     config: dict | None
     files: DataFrame | None = None
+    problems: DataFrame | None = None  # what could not be read, by file
 
     @property
     def outputs(self) -> DataFrame:
@@ -34,6 +35,11 @@ class Unified:
     def documents(self) -> DataFrame:
         return P.documents(self.profiles, self.config)
 
+    @property
+    def summary(self) -> DataFrame:
+        """The longer line of every profile, with the account that enrichment found last."""
+        return report.profile_summary(self.profiles, meta=fuse.latest_meta(link.apply_rewrite(self.records, self.rewrite)))
+
     @property
     def stats(self) -> dict[str, DataFrame]:
         out = {
@@ -43,7 +49,7 @@ class Unified:
             "enrichment_errors": E.enrichment_errors(self.records),
         }
         if self.files is not None:
-            out["files"] = IO.ingest_report(self.files, self.records)
+            out["files"] = IO.ingest_report(self.files, self.records, self.problems)
         return out
 
     def close(self) -> None:
@@ -64,7 +70,7 @@ def unify(
     enrich_github: bool = True,
     enrich_linkedin: bool = True,
     files: DataFrame | None = None,
-    page_rows: int = fuse.PAGE_ROWS,
+    problems: DataFrame | None = None,
     collation: str | None = None,
 ) -> Unified:
     """Enrich, resolve, fuse and project a table of source records."""
@@ -82,8 +88,8 @@ def unify(
     merged = link.apply_rewrite(everything, rewrite, total)
     fields = fields_needed(config)
     fact_rows = cut(fuse.facts(merged, fields))
-    gathered = fuse.gather(fact_rows, page_rows, collation)
-    return Unified(everything, rewrite, fact_rows, fuse.profiles(gathered, fields), config, files)
+    gathered = fuse.gather(fact_rows, collation)
+    return Unified(everything, rewrite, fact_rows, fuse.profiles(gathered, fields), config, files, problems)
 
 
 def unify_folder(
@@ -92,4 +98,5 @@ def unify_folder(
 ) -> Unified:
     """The same over a folder of source files. ``multi_line=False`` and ``json_lines=True`` let large files be split."""
     records = IO.read_folder(spark, path, multi_line, json_lines, as_of_year, country)
-    return unify(records, config, files=IO.discover(spark, path), **options)
+    problems = IO.ingest_problems(spark, path, multi_line, json_lines)
+    return unify(records, config, files=IO.discover(spark, path), problems=problems, **options)

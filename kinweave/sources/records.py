@@ -65,7 +65,34 @@ def delimited_records(
     """Rows of a people list. ``row_number`` names a column holding the 1-based row
     number in its file, needed only by rows without id, name and email."""
     keep = tuple(dict.fromkeys(c for c in (record_seq, row_number) if c))
-    d = alias_match(df, keep=keep, header=header)
+    return target_records(alias_match(df, keep=keep, header=header), record_seq, row_number, as_of_year, country)
+
+
+def header_places(names: Column, aliases=S.COLUMN_ALIASES) -> Column:
+    """For each target the 1-based places of its columns in a header, in the order of its spellings; ``names`` is an array of texts."""
+    plain = F.transform(names, lambda c: F.lower(N.trim(c)))
+
+    def places(known: Column) -> Column:
+        found = [F.filter(F.array(*[F.array_position(known, F.lit(s)).cast("int") for s in spellings]), lambda p: p > 0).alias(target)
+                 for target, spellings in aliases.items()]
+        return F.struct(*found)
+
+    return N.let(plain, places)
+
+
+def placed_cells(df: DataFrame, cells: Column, places: str = "places", keep: tuple[str, ...] = (), aliases=S.COLUMN_ALIASES) -> DataFrame:
+    """The known targets of rows that come as arrays, each with the places of its own header: the first cell that is not blank."""
+    def value(target: str) -> Column:
+        held = F.transform(F.col(f"{places}.{target}"), lambda p: N.blank_to_null(N.trim(F.try_element_at(cells, p))))
+        return F.get(F.filter(held, lambda x: x.isNotNull()), F.lit(0)).alias(target)
+
+    return df.select(*keep, *[value(t) for t in aliases])
+
+
+def target_records(
+    d: DataFrame, record_seq: str = "record_seq", row_number: str | None = None, as_of_year: int | None = None, country: str = "US",
+) -> DataFrame:
+    """Records from rows that have the known targets as columns."""
     number = F.col(row_number) if row_number else F.lit(None)
     has_role = F.col("company").isNotNull() | F.col("headline").isNotNull()
     role = X.experience_struct(

@@ -72,23 +72,34 @@ def test_long_form_equals_row_form(spark):
     assert fuse.overall_confidence(fuse.field_confidence(fuse.field_totals(f))).first()["overall_confidence"] == row["overall_confidence"]
 
 
-def test_pages_hold_everything_in_order(spark):
-    """A profile with far more items than a row may hold continues in further rows."""
-    rows = [(i, "ats_json" if i % 3 else "resume", "big", None, f"Name {i % 9}", None, [f"e{i % 57:02}@x.org"], []) for i in range(200)]
-    rows += [(900, "resume", "small", None, "A", 3.0, ["a@x.org"], ["Go"])]
-    f = fuse.facts(records(spark, rows))
-    whole = {r["candidate_id"]: r for r in fuse.profiles(fuse.gather(f, page_rows=1000)).collect()}
-    paged = fuse.profiles(fuse.gather(f, page_rows=5)).orderBy("candidate_id", "page").collect()
-    big = [r for r in paged if r["candidate_id"] == "big"]
-    assert len(big) == 12 and all(len(r["emails"]) <= 5 for r in big)
-    assert [e for r in big for e in r["emails"]] == whole["big"]["emails"]
-    assert big[0]["full_name"] == whole["big"]["full_name"]
-    assert big[0]["field_confidence"] == whole["big"]["field_confidence"]
-    assert big[0]["overall_confidence"] == whole["big"]["overall_confidence"] and big[1]["overall_confidence"] is None
-    lost = [a["value"] for r in big for a in (r["conflicts"].get("full_name") or {"alternates": []})["alternates"]]
-    assert lost == [a["value"] for a in whole["big"]["conflicts"]["full_name"]["alternates"]]
-    small = [r for r in paged if r["candidate_id"] == "small"]
-    assert len(small) == 1 and small[0] == whole["small"]
+def test_a_long_list_is_one_profile_and_one_document(spark):
+    """Five and fifty thousand entries have the same form; the long table holds the same order."""
+    n = 50_000
+    many = spark.range(n).selectExpr(
+        "struct('t' AS origin, 0L AS block, id AS pos) AS record_seq", "IF(id % 3 > 0, 'ats_json', 'resume') AS source", "'big' AS candidate_id",
+        "concat('Name ', id % 9) AS full_name", "array(concat('e', lpad(id, 6, '0'), '@x.org')) AS emails")
+    few = records(spark, [(i, "resume", "small", None, "A", 3.0, [f"b{i}@x.org"], ["Go"]) for i in range(5)])
+    f = fuse.facts(S.conform(many).unionByName(few))
+    p = fuse.profiles(fuse.gather(f))
+    rows = {r["candidate_id"]: r for r in p.collect()}
+    assert sorted(rows) == ["big", "small"] and len(rows["big"]["emails"]) == n and len(rows["small"]["emails"]) == 5
+    docs = {r["candidate_id"]: json.loads(r["output"]) for r in P.documents(p, C.DEFAULT).collect()}
+    assert docs["big"]["emails"] == rows["big"]["emails"] and docs["small"]["emails"] == rows["small"]["emails"]
+    long = fuse.items(f).where("candidate_id = 'big' AND field = 'emails'").collect()
+    assert [r["value"] for r in sorted(long, key=lambda r: r["position"])] == rows["big"]["emails"]
+    assert sorted(r["position"] for r in long) == list(range(n))
+    assert rows["big"]["emails"][0] == "e000001@x.org" and rows["big"]["emails"][-1] == f"e{(n - 1) // 3 * 3:06}@x.org"
+
+
+def test_rows_that_lack_a_value_are_set_apart(spark):
+    rows = [(1, "ats_json", "a", None, "Ann Lee", 3.0, ["a@x.org"], []), (2, "ats_json", "b", None, None, 3.0, [], []), (3, "ats_json", "c", None, "Cy", None, [], [])]
+    p = fuse.profiles(fuse.gather(fuse.facts(records(spark, rows))))
+    cfg = {"fields": [{"key": "id", "from": "candidate_id"}, {"key": "name", "from": "full_name"}, {"key": "mail", "from": "emails[0]"}], "missing_policy": "error"}
+    split = P.quarantine(p, cfg)
+    assert [(r["id"], r["name"], r["mail"]) for r in split.outputs.collect()] == [("a", "Ann Lee", "a@x.org")]
+    need = "Missing required field for output: "
+    assert sorted((r["candidate_id"], tuple(r["errors"])) for r in split.rejected.collect()) == [("b", (need + "name", need + "mail")), ("c", (need + "mail",))]
+    assert split.counts == {"passed": 1, "rejected": 2}
 
 
 def test_same_result_for_any_partitioning(spark):
@@ -160,14 +171,15 @@ def test_reports(spark, rohan):
     assert report.profile_sources(p).first()["sources"] == ["ats_json", "mystery", "recruiter_csv", "resume"]
 
 
-@pytest.mark.parametrize("page_rows", [100, 2])
-def test_locale_order_is_an_option(spark, page_rows):
+def test_locale_order_is_an_option(spark):
     rows = [(i, "ats_json", "x", None, None, None, [], [s]) for i, s in enumerate(["b", "A", "a2", "B2"])]
     f = fuse.facts(records(spark, rows))
 
     def skills(collation):
-        g = fuse.profiles(fuse.gather(f, page_rows, collation)).orderBy("page").collect()
-        return [s for r in g for s in r["skills"]]
+        listed = fuse.items(f, collation).where("field = 'skills'").orderBy("position").collect()
+        whole = fuse.profiles(fuse.gather(f, collation)).first()["skills"]
+        assert [r["value"] for r in listed] == whole
+        return whole
 
     assert skills(None) == ["A", "B2", "a2", "b"] and skills("UNICODE") == ["A", "a2", "b", "B2"]
 
@@ -190,17 +202,14 @@ def test_first_spelling_inside_a_record_stays(spark):
 
 
 def test_profile_means_the_same_at_every_size(spark):
-    """Counts and places of a profile laid out over several rows are those of the whole profile."""
+    """Counts and places in lists."""
     rows = [(i, "ats_json", "big", None, "N", None, [f"e{i:02}@x.org"], [f"s{i:02}"]) for i in range(23)]
     cfg = {"fields": [{"key": "mail", "from": "emails[0]"}, {"key": "third", "from": "skills[2]"}, {"key": "n", "from": "skills.length"}],
            "include_provenance": False, "include_confidence": False}
-    seen = []
-    for page_rows in (4, 1000):
-        p = fuse.profiles(fuse.gather(fuse.facts(records(spark, rows)), page_rows))
-        out = [r.asDict() for r in P.project(p, cfg).where("mail IS NOT NULL").drop("page", "missing_keys").collect()]
-        seen.append((out, report.profile_table(p).collect()))
-    assert seen[0] == seen[1] and len(seen[0][0]) == 1
-    assert seen[0][0][0]["n"] == 23 and seen[0][1][0]["n_skills"] == 23
+    p = fuse.profiles(fuse.gather(fuse.facts(records(spark, rows))))
+    out = P.project(p, cfg).collect()
+    assert len(out) == 1 and (out[0]["mail"], out[0]["third"], out[0]["n"]) == ("e00@x.org", "s02", 23)
+    assert report.profile_table(p).first()["n_skills"] == 23
 
 
 def test_omit_drops_keys_but_no_nulls_inside_values(spark):

@@ -92,7 +92,35 @@ def _brute(rows):
     return {k: v for k, v in roots(sets, pairs).items() if any(k in p for p in pairs)}
 
 
-@pytest.mark.parametrize("limit", [19, 9, 6])
+@pytest.mark.parametrize("seed, block", [(1, 1024), (2, 3), (3, 1)])
+def test_names_of_up_to_forty_words_match_all_pairs(spark, monkeypatch, seed, block):
+    """Families of near copies with stars of several hubs, names of common words only, several names per candidate."""
+    monkeypatch.setattr(link, "BLOCK_SETS", block)
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(150):
+        family = rnd.randrange(6)
+        base = [f"f{family}_{k}" for k in range(14 + 4 * family)] if family else rnd.sample([f"common{k}" for k in range(24)], 20)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            base[rnd.randrange(len(base))] = rnd.choice([f"own{i}", f"shared{rnd.randrange(9)}"])
+        if rnd.random() < 0.3:
+            base = base[rnd.randrange(4):]
+        rnd.shuffle(base)
+        rows.append((f"c{i % 140:03}", " ".join(base), rnd.choice(["Rome", "Oslo", "Oslo"]), rnd.choice(["IT", None]), []))
+    got = {r["id"]: r["root"] for r in connected_components(link.weak_edges(people(spark, rows))).collect()}
+    assert got == _brute(rows)
+
+
+def test_edges_of_a_large_family_stay_linear(spark):
+    """Three hundred names, each like each other: stars and one edge for each star, no table of pairs."""
+    base = [f"w{k}" for k in range(40)]
+    rows = [(f"c{i:03}", " ".join([*base[:i % 40], f"own{i}", *base[i % 40 + 1:]]), "Rome", None, []) for i in range(300)]
+    edges = link.weak_edges(people(spark, rows))
+    assert {r["root"] for r in connected_components(edges).collect()} == {"c000"}
+    assert edges.count() < 300 * 8
+
+
+@pytest.mark.parametrize("limit", [19, 13, 9, 6])
 def test_weak_links_match_all_pairs(spark, limit):
     """Near-equal long names, short names, places split over records; the two ways of matching
     long names meet at different lengths."""

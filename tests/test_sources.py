@@ -114,6 +114,29 @@ def test_ingest_report(spark, folder, recs):
     assert rep["broken.json"] == (0, None, "no records") and rep["photo.png"] == (0, None, "ignored") and rep["my_notes.txt"][0] == 2
 
 
+def test_problems_of_files(spark, tmp_path):
+    (tmp_path / "broken.json").write_text('[{"id": ')
+    (tmp_path / "odd.json").write_text('[{"id": "a"}, 7, null, "x", {"id": "b"}]')
+    (tmp_path / "blank.json").write_text(" \n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "ragged.csv").write_text('id,name,email\n1,"Ann, ""A""",a@x.org\n2,Bob\n\n3,"Cy\nD",c@x.org,spare,spare\n4,Di,d@x.org\n5\n')
+    (tmp_path / "wide.csv").write_text("id,name,email,phone,x\n6,F,f@x.org,,\n7,G,g@x.org,1,2,3\n")
+    (tmp_path / "photo.png").write_text("x")
+    got = sorted((r["file"].split("/")[-1], r["place"], r["problem"], r["text"].strip()) for r in IO.ingest_problems(spark, str(tmp_path)).collect())
+    assert [x for x in got if x[0].endswith("json")] == [
+        ("blank.json", None, "empty text", ""), ("broken.json", None, "no JSON", '[{"id":'), ("empty.json", None, "empty file", ""),
+        ("odd.json", 1, "no object", "7"), ("odd.json", 2, "no object", "null"), ("odd.json", 3, "no object", '"x"')]
+    assert [x for x in got if x[0].endswith("csv")] == [
+        ("empty.csv", None, "empty file", ""), ("ragged.csv", 2, "2 cells under a header of 3", "2,Bob"),
+        ("ragged.csv", 3, "5 cells under a header of 3", '3,"Cy\nD",c@x.org,spare,spare'), ("ragged.csv", 5, "1 cells under a header of 3", "5"),
+        ("wide.csv", 2, "6 cells under a header of 5", "7,G,g@x.org,1,2,3")]
+    u = unify_folder(spark, str(tmp_path), C.DEFAULT)
+    rep = {r["file"].split("/")[-1]: (r["records"], r["problem"], r["problems"], r["place"], r["text"]) for r in u.stats["files"].collect()}
+    assert rep["ragged.csv"] == (5, "2 cells under a header of 3", 3, 2, "2,Bob") and rep["broken.json"] == (0, "no JSON", 1, None, '[{"id": ')
+    assert rep["empty.csv"] == (0, "empty file", 1, None, "") and rep["photo.png"] == (0, "ignored", 0, None, None) and rep["odd.json"][:3] == (5, "no object", 3)
+
+
 def test_whole_folder(spark, folder, tmp_path):
     u = unify_folder(spark, folder, C.DEFAULT, as_of_year=2024)
     p = {r["candidate_id"]: r for r in u.profiles.collect()}
@@ -201,3 +224,84 @@ def test_positions_hold_beyond_a_thousand_partitions(spark):
         F.lit('[{"id": "a"}, {"id": "b"}]').alias("value"), R.seq("f", 0, F.monotonically_increasing_id()).alias("record_seq"))
     got = R.json_records(d).select("record_seq").distinct()
     assert got.count() == 6000 and got.agg(F.max("record_seq.item")).first()[0] == 1
+
+
+def test_lists_with_many_headers_are_one_scan(spark, tmp_path, monkeypatch):
+    """Twelve layouts over sixty files: columns in other places, other spellings, unknown and quoted names, a mark at the start."""
+    spellings = [("id", "name", "email"), ("Email", "Candidate_ID", "FULLNAME"), ("x", "e-mail", "y", "name", "id"), ('"na,me"', "work_email", " name ", "id")]
+    want = {}
+    for i in range(60):
+        columns = list(spellings[i % 4]) + [f"extra{k}" for k in range(i % 3)]
+        lines = ["﻿" * (i % 5 == 0) + ",".join(columns)]
+        for j in range(3):
+            cells = []
+            for c in columns:
+                plain = c.strip().lower()
+                cells.append(f"p{i}_{j}" if plain in ("id", "candidate_id") else f"P{i}x{j}@x.org" if "mail" in plain else
+                             f'"Ann, {i}"' if plain in ("name", "fullname") else "?")
+            lines.append(",".join(cells) + (",spare,spare" if j == 2 else ""))
+            want[f"p{i}_{j}"] = ([f"p{i}x{j}@x.org"], f"Ann, {i}")
+        (tmp_path / f"f{i}.csv").write_text("\n" * (i % 2) + "\n".join(lines) + "\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "short.csv").write_text("name,email,id\nBob\nEve,eve@x.org\n")
+    want |= {"derived_bob": ([], "Bob"), "derived_eve": (["eve@x.org"], "Eve")}
+    frame = IO.read_delimited(spark, str(tmp_path))
+    got = {r["candidate_id"]: (r["emails"], r["full_name"]) for r in frame.collect()}
+    assert got == want
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 5  # rows twice (named and numbered), headers twice, and the row counts: not one for each header
+    monkeypatch.setattr(IO, "SENT_FILES", 0)
+    joined = {r["candidate_id"]: (r["emails"], r["full_name"]) for r in IO.read_delimited(spark, str(tmp_path)).collect()}
+    assert joined == want
+
+
+def _people_of(frame):
+    return sorted((r["candidate_id"] or "", r["full_name"] or "", tuple(r["skills"] or ()), r["headline"] or "") for r in frame.collect())
+
+
+TRICKY = [
+    {"id": "a}", "name": 'Brace "} {" Bob', "skills": ["[x", "y]", "}{"], "headline": "back\\slash \\\" } ,"},
+    {"id": "b", "experience": [{"company": "C}", "title": "T"}, {"company": "D{"}], "education": []}, 7, "text } with [ brackets", [1, [2, {"id": "inner"}]], None, {}, {"id": "ü}ñ", "headline": "{\n}"},
+    {"id": "long", "headline": "x" * 3000},
+]
+
+
+@pytest.mark.parametrize("indent, split, chunk", [(None, "700b", 200), (2, "300b", 1), (None, "100000b", 1 << 20)])
+def test_large_arrays_are_cut_between_elements(spark, tmp_path, indent, split, chunk):
+    folder = tmp_path / "j"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(TRICKY * 7, indent=indent, ensure_ascii=False))
+    (folder / "b.json").write_text(" \n" + json.dumps([{"id": f"n{i}", "name": f"Nn {i}"} for i in range(200)], indent=indent) + "\n\n")
+    (folder / "one.json").write_text(json.dumps({"id": "single", "skills": ["a}", {"x": 1}], "experience": [{"company": "Z"}]}))
+    (folder / "two.json").write_text(json.dumps({"id": "double", "name": "Du Al"}) + "\n")
+    (folder / "empty.json").write_text("[]")
+    (folder / "nothing.json").write_text("")
+    (folder / "cut.json").write_text('[{"id": "lost1"}, {"id": "lost2"')
+    (folder / "cut2.json").write_text('[{"id": "lost3"}, {"id": "lost4"}')
+    (folder / "middle.json").write_text('[{"id": "lost6"}, {bad}, {"id": "lost7"}]')
+    whole = IO.R.json_records(IO._text_files(spark, str(folder), "*.json", IO.JSON, wholetext=True)).cache()
+    whole.count()
+    (folder / "more.json").write_text('[{"id": "lost5"}] x')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        cut = IO.array_texts(spark, str(folder), "*.json", chunk=chunk)
+        got = _people_of(IO.R.json_records(cut))
+        if split != "100000b":
+            assert cut.where("record_seq.origin LIKE '%/b.json'").count() > 5
+        # Order within a file is that of the elements.
+        order = [r["candidate_id"] for r in IO.R.json_records(cut).where("record_seq.origin LIKE '%/b.json'").orderBy("record_seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == _people_of(whole) and "single" in [x[0] for x in got]
+    assert order == [f"n{i}" for i in range(200)]
+    assert not [x for x in got if x[0].startswith("lost")]
+
+
+def test_only_large_files_are_cut(spark, tmp_path):
+    (tmp_path / "small.json").write_text('[{"id": "s"}]')
+    (tmp_path / "large.json").write_text(json.dumps([{"id": f"l{i}"} for i in range(50)]))
+    got = IO.read_json(spark, str(tmp_path), split_bytes=100)
+    assert sorted(r["candidate_id"] for r in got.collect()) == sorted(["s", *[f"l{i}" for i in range(50)]])
+    whole = IO.read_json(spark, str(tmp_path))
+    assert _people_of(whole) == _people_of(got)

@@ -259,9 +259,7 @@ def fused(spark: SparkSession, sf: str) -> DataFrame:
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Nested profiles of ``rich_records`` by candidate id."""
-    # A customer key is unique, so an id of this fixture has two records at most and
-    # needs no second page; the paged form is covered by tests.
-    return fuse.profiles(fuse.gather(fused(spark, sf), paged=False))
+    return fuse.profiles(fuse.gather(fused(spark, sf)))
 
 
 # ----------------------------------------------------------- components ----

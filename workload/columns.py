@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinweave.functions import standardize as N, text as X
+from kinweave.operators import lexicon
 from kinweave.sources import records as R
 from workload.base import REC, STD, query, rec, spread, table
 
@@ -456,6 +457,44 @@ def tag_terms(spark, sf):
     return d.select("doc_id", F.explode(X.terms(F.col("text"), _TERMS)).alias("term"))
 
 
+_PHRASES = """phrases AS (
+  SELECT DISTINCT term FROM (
+    SELECT trim(regexp_extract(text, '[A-Za-z]+(, |. | )[A-Za-z]+')) AS term FROM documents
+    UNION ALL SELECT regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) FROM documents
+    UNION ALL SELECT p_name FROM part) WHERE term <> '')"""
+
+
+@query(
+    "tag_terms_table",
+    f"""
+WITH {_PHRASES}
+SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN (SELECT term, lower(term) AS t FROM phrases)
+  ON contains(low, t) AND regexp_matches(low, '(^|[^a-z])' || regexp_escape(t) || '([^a-z]|$)')
+""",
+)
+def tag_terms_table(spark, sf):
+    """A lexicon that grows with the tables: a phrase and the last word of every document, and all part names."""
+    docs, parts = table(spark, sf, "documents"), table(spark, sf, "part")
+    said = lambda pattern, group: F.regexp_extract("text", pattern, group).alias("term")
+    phrases = docs.select(F.trim(said("[A-Za-z]+(, |. | )[A-Za-z]+", 0)).alias("term")) \
+        .unionByName(docs.select(said("([A-Za-z]+)[^A-Za-z]*$", 1))).unionByName(parts.select(F.col("p_name").alias("term")))
+    return lexicon.tag(spread(docs.select("doc_id", "text")), phrases, id_col="doc_id")
+
+
+@query(
+    "tag_terms_by_table",
+    f"""
+WITH terms AS (SELECT unnest({_TERM_SQL}) AS term)
+SELECT doc_id, term FROM documents JOIN terms
+  ON regexp_matches(lower(text), '(^|[^a-z])' || replace(lower(term), '+', '\\+') || '([^a-z]|$)')
+""",
+)
+def tag_terms_by_table(spark, sf):
+    """The fixed terms as a table: the same rows as by one pattern."""
+    terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    return lexicon.tag(spread(table(spark, sf, "documents").select("doc_id", "text")), terms, id_col="doc_id")
+
+
 @query(
     "years_cue",
     """

@@ -102,7 +102,7 @@ FROM ranked WHERE field = '{field}'"""
     @query(f"fuse_{field}", sql)
     def run(spark, sf):
         """The list of every candidate in order, one row per item."""
-        g = fuse.gather(fuse.facts(rich_records(spark, sf), (field,)), paged=False)
+        g = fuse.gather(fuse.facts(rich_records(spark, sf), (field,)))
         e = g.select("candidate_id", F.posexplode("entries").alias("i", "e"))
         return e.select(
             "candidate_id", (F.col("i") + 1).cast("long").alias("pos"), "e.key", "e.value",

@@ -216,6 +216,36 @@ def documents_records(spark, sf):
     )
 
 
+@query(
+    "free_text_fields",
+    """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'ft' || c_custkey WHEN 1 THEN 'derived_ada_' || c_custkey ELSE 'uploaded_cv_' || c_custkey END AS candidate_id,
+  0.7::DOUBLE AS confidence, 'Ada Byron' AS full_name, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE 'ada.' || c_custkey || '@x.org' END AS emails,
+  '+1415555' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phones, 'Springfield/IL/US' AS place, 'Lead ' || c_mktsegment || ' Engineer' AS headline,
+  (c_custkey % 30 + 0.5)::DOUBLE AS yoe, CASE WHEN c_custkey % 2 = 0 THEN 'Go|Kafka|Python' ELSE 'Docker|SQL' END AS skills,
+  CASE WHEN c_custkey % 3 = 2 THEN '' ELSE 'other:https://x.org|' END || 'github:https://github.com/a' || c_custkey || '|other:https://b' || c_custkey || '.example.org/x' AS links,
+  'Acme/Engineer/2020-01/present/Ulm|Firm ' || c_nationkey || '/Analyst/2015-03/2019-01/-' AS experience, 'TU Ulm/MSc/2010-01|MIT/BS/-' AS education
+FROM customer""",
+)
+def free_text_fields(spark, sf):
+    """Free text with every field: marker, mail or file name as id, name, place, role, phone, links, skills, history of both forms."""
+    text = """concat('Ada Byron\r\n', 'Lead ', c_mktsegment, ' Engineer\n', 'Springfield, IL, US\n', IF(c_custkey % 3 = 2, '', concat('Ada.', c_custkey, '@X.org\n')),
+        'Tel (415) 555-', lpad(string(c_custkey % 10000), 4, '0'), ' and https://github.com/a', c_custkey, '\nwww: b', c_custkey, '.example.org/x\nabout ', c_custkey % 30, '.5+ years\n',
+        IF(c_custkey % 3 = 0, concat('CANDIDATE_ID: ft', c_custkey, '\n'), ''), IF(c_custkey % 2 = 0, 'Technical Skills:\ngolang, kafka; python\n', 'worked with SQL and docker\n'),
+        'Work Experience\nAcme | Engineer | Jan 2020 - Present | Ulm\nno row here\nAnalyst at Firm ', c_nationkey, ' (Mar 2015 - 2019)\n\nEDUCATION\nTU Ulm | MSc | 2010\nMIT, BS\n') AS value"""
+    d = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS k", "struct('free' AS origin, 0L AS block, c_custkey AS pos, 0L AS item) AS record_seq", text, "concat('CV ', c_custkey, '.PDF') AS file_name")
+    r = R.free_text_records(spread(d))
+    dash = lambda *cells: ", '/', ".join(f"coalesce({c}, '-')" for c in cells)
+    return r.select(
+        F.col("record_seq.pos").alias("k"), "candidate_id", F.col("confidence").cast("double").alias("confidence"), "full_name",
+        F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"),
+        F.concat_ws("/", "location.city", "location.region", "location.country").alias("place"), "headline", F.col("years_experience").alias("yoe"),
+        F.array_join("skills", "|").alias("skills"), F.expr("array_join(transform(links, l -> concat(l.type, ':', l.url)), '|')").alias("links"),
+        F.expr(f"array_join(transform(experience, e -> concat({dash('e.company', 'e.title', 'e.start_date', 'e.end_date', 'e.location')})), '|')").alias("experience"),
+        F.expr(f"array_join(transform(education, e -> concat({dash('e.institution', 'e.degree', 'e.graduation_date')})), '|')").alias("education"),
+    )
+
+
 @query(
     "assemble_records",
     f"""WITH {STD}

@@ -110,6 +110,42 @@ def link_weak_long_names(spark, sf):
     return connected_components(link.weak_edges(_long_people(spark, sf)))
 
 
+# Names of 20 to 40 words: six customers share a list of words, of which each but one has some of its own;
+# two neighbouring lists overlap and lie in one city.
+_WORDS = "20 + c_custkey // 6 % 21"
+_LONGER = f"""
+people AS (
+  SELECT 'c' || c_custkey AS id, 'city ' || c_custkey // 12 % 40 AS city,
+         list_transform(range(0, {_WORDS}), lambda i: CASE WHEN c_custkey % 6 > 0 AND (i * 7 + c_custkey) % 19 = 0
+           THEN 'own' || c_custkey || '_' || i ELSE 'w' || (c_custkey // 6 * 3 + i) % 997 END) AS tokens
+  FROM customer)"""
+
+
+def _longer_people(spark, sf):
+    name = f"""array_join(transform(sequence(0, {_WORDS.replace('//', 'div')} - 1), i -> IF(c_custkey % 6 > 0 AND (i * 7 + c_custkey) % 19 = 0,
+        concat('own', c_custkey, '_', i), concat('W', (c_custkey div 6 * 3 + i) % 997))), ' ')"""
+    none = "cast(NULL AS string)"
+    return table(spark, sf, "customer").selectExpr(
+        "concat('c', c_custkey) AS candidate_id", f"{name} AS full_name",
+        f"struct(concat('City ', c_custkey div 12 % 40) AS city, {none} AS region, {none} AS country, {none} AS raw) AS location")
+
+
+@query(
+    "link_weak_names_of_40",
+    f"""
+WITH RECURSIVE {_LONGER},
+sym AS (
+  SELECT x.id AS a, y.id AS b FROM people x JOIN people y ON x.city = y.city
+  WHERE len(list_intersect(x.tokens, y.tokens)) * 20 >= 17 * (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens)))),
+reach(x, y) AS (SELECT a, a FROM sym UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y)
+SELECT x AS id, min(y) AS root FROM reach GROUP BY x HAVING count(*) > 1
+""",
+)
+def link_weak_names_of_40(spark, sf):
+    """Clusters of similar names of 20 to 40 words in the same city (SQL compares all pairs)."""
+    return connected_components(link.weak_edges(_longer_people(spark, sf)))
+
+
 @query(
     "name_jaccard",
     """

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from kinweave import schema as S
+from kinweave.operators import fuse
+from kinweave.operators.skew import shared_folder
 from kinweave.plans import config as C, project as P, report
 from kinweave.plans.unify import unify
-from workload.base import EDGES, FUSED, STD, canonical, query, rec_records
+from kinweave.sources import files as IO, records as R
+from workload.base import EDGES, FUSED, STD, canonical, query, rec_records, table
 
 SCALAR_SQL = "('full_name', 'headline', 'location', 'years_experience', 'candidate_id')"
 
@@ -49,7 +54,7 @@ def project_paths(spark, sf):
         ("city", "location.city", None), ("first_link", "links[0].url", None), ("company", "experience[0].company", None),
         ("nowhere", "salary.amount", None), ("inside_text", "full_name.first", None),
     ])
-    return P.project(canonical(spark, sf), cfg).drop("candidate_id", "page", "missing_keys")
+    return P.project(canonical(spark, sf), cfg).drop("candidate_id", "missing_keys")
 
 
 @query(
@@ -209,6 +214,71 @@ def output_validation(spark, sf):
     return v.select("candidate_id", "valid", F.size("errors").cast("long").alias("n_errors"))
 
 
+@query(
+    "output_validation_of_omitted",
+    f"""WITH {WIDE} SELECT candidate_id, full_name IS NOT NULL AND yoe IS NOT NULL AND phones IS NOT NULL AND skills IS NOT NULL AS valid,
+  concat_ws(';', CASE WHEN full_name IS NULL THEN 'name' END, CASE WHEN phones IS NULL THEN 'phones' END,
+    CASE WHEN skills IS NULL THEN 'skills' END, CASE WHEN yoe IS NULL THEN 'yoe' END) AS lacking FROM wide""",
+)
+def output_validation_of_omitted(spark, sf):
+    """Documents written without their missing keys, held against a configuration that demands these keys."""
+    fields = [("id", "candidate_id", None), ("name", "full_name", None), ("phones", "phones", None), ("skills", "skills", None), ("yoe", "years_experience", None)]
+    written = P.documents(canonical(spark, sf), _cfg(fields, "omit"))
+    return P.validated(written, _cfg(fields, "null")).select(
+        "candidate_id", "valid", F.regexp_replace(F.array_join("errors", ";"), "output lacks the key ", "").alias("lacking"))
+
+
+@query(
+    "output_quarantine",
+    f"""WITH {WIDE}, verdict AS (SELECT *, concat_ws(';', CASE WHEN headline IS NULL THEN 'Missing required field for output: title' END,
+    CASE WHEN phones IS NULL THEN 'Missing required field for output: second' WHEN len(phones) < 2 THEN 'Missing required field for output: second' END) AS errors FROM wide)
+SELECT candidate_id, errors, NULL AS title, NULL AS second FROM verdict WHERE errors <> ''
+UNION ALL SELECT candidate_id, '', headline, phones[2] FROM verdict WHERE errors = ''""",
+)
+def output_quarantine(spark, sf):
+    """Rows that lack a demanded value are set apart with their reasons; the others are projected."""
+    split = P.quarantine(canonical(spark, sf), _cfg([("title", "headline", None), ("second", "phones[1]", None)], "error"))
+    none = F.lit(None).cast("string")
+    return split.rejected.select("candidate_id", F.array_join("errors", ";").alias("errors"), none.alias("title"), none.alias("second")).unionByName(
+        split.outputs.select("candidate_id", F.lit("").alias("errors"), "title", "second"))
+
+
+_WIDE_PEOPLE = """people AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'wide' ELSE 'c' || o_custkey END AS candidate_id, 'o' || o_orderkey || '@x.org' AS mail FROM orders)"""
+
+
+def _wide_facts(spark, sf):
+    people = table(spark, sf, "orders").selectExpr(
+        "struct('orders' AS origin, 0L AS block, o_orderkey AS pos) AS record_seq", "'resume' AS source",
+        "IF(o_orderkey % 3 = 0, 'wide', concat('c', o_custkey)) AS candidate_id", "array(concat('o', o_orderkey, '@X.org')) AS emails")
+    return fuse.facts(S.conform(people), ("candidate_id", "emails"))
+
+
+@query(
+    "profile_wide",
+    f"""WITH {_WIDE_PEOPLE}
+SELECT candidate_id, count(*) AS mails, count(*) AS written, md5(string_agg(replace(mail, '@x', '@X'), ',' ORDER BY mail)) AS digest,
+  0.56::DOUBLE AS confidence FROM people GROUP BY candidate_id""",
+)
+def profile_wide(spark, sf):
+    """A third of all values belong to one candidate; each candidate is one profile and one document."""
+    cfg = _cfg([("id", "candidate_id", None), ("mails", "emails", None)], confidence=True)
+    profiles = fuse.profiles(fuse.gather(_wide_facts(spark, sf)), ("candidate_id", "emails"))
+    written = P.results(profiles, cfg).select("candidate_id", "canonical.emails", "canonical.field_confidence", F.variant_get("output", "$.mails", "array<string>").alias("mails"))
+    return written.select(
+        "candidate_id", F.size("emails").cast("long").alias("mails"), F.size("mails").cast("long").alias("written"),
+        F.md5(F.array_join("mails", ",").cast("binary")).alias("digest"), F.element_at("field_confidence", "emails").alias("confidence"))
+
+
+@query(
+    "profile_items",
+    f"""WITH {_WIDE_PEOPLE}
+SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY mail) - 1 AS position, mail AS key FROM people""",
+)
+def profile_items(spark, sf):
+    """The same lists in long form, with the place of each value."""
+    return fuse.items(_wide_facts(spark, sf)).where("field = 'emails'").select("candidate_id", "position", "key")
+
+
 # -------------------------------------------------------------- reports ----
 
 
@@ -263,9 +333,7 @@ WHERE contains(lower(concat_ws(' ', candidate_id, full_name, headline, location,
   array_to_string(skills, ' '), array_to_string(links, ' '), array_to_string(experience, ' '), array_to_string(education, ' '))), 'machinery')""",
 )
 def profile_search(spark, sf):
-    profiles = canonical(spark, sf)
-    outputs = P.documents(profiles, C.HIRING)
-    return report.profile_search(profiles, " MACHINERY ", outputs).select("candidate_id")
+    return report.profile_search(canonical(spark, sf), " MACHINERY ", C.HIRING, outputs=True).select("candidate_id")
 
 
 # ------------------------------------------------------------ whole job ----
@@ -313,3 +381,26 @@ def unify_profiles(spark, sf):
         F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"),
         F.size("conflicts").cast("long").alias("n_conflicts"), "overall_confidence",
     )
+
+
+@query(
+    "result_sink",
+    f"""SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) AS place, full_name, full_name AS written_name, true AS valid,
+  n_conflicts FROM ({MERGED})""",
+)
+def result_sink(spark, sf):
+    """The results of the whole job written to a folder and read back: order of the files, profile, output and verdict as objects."""
+    path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    run = unify(rec_records(spark, sf), C.HIRING)
+    run.write(path)
+    run.close()
+    names = "candidate_id string, canonical struct<full_name: string, conflicts: map<string, string>>, output struct<name: string>, validation struct<valid: boolean>"
+    back = spark.read.schema(names).json(f"{path}/profiles")
+    # Files are named in the order of their ranges, and rows keep their order within a file.
+    rows = back.withColumn("record_seq", R.seq(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("record_seq.origin").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return IO._with_row_number(rows, rows).withColumn("file", F.col("record_seq.origin")).join(before, "file").select(
+        "candidate_id", (F.col("_row_number") + F.col("before")).alias("place"), "canonical.full_name", F.col("output.name").alias("written_name"),
+        "validation.valid", F.size("canonical.conflicts").cast("long").alias("n_conflicts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, funct
 SHARE = 256
 # Into so many parts the left rows of a heavy key are dealt in a join.
 PARTS = 64
+# Tables that this driver has written and not yet deleted.
+_WRITTEN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +39,7 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _WRITTEN.add(path)
     return out, rows.get["n"]
 
 
@@ -43,12 +47,32 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    _WRITTEN.discard(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that :func:`cut` has written; nothing that reads it may run afterwards."""
     if path := getattr(df, "_cut_path", None):
-        jvm = df.sparkSession.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, path)
+
+
+def tidy(spark: SparkSession) -> int:
+    """Delete all tables that :func:`cut` has written, once the results that read them are stored; says how many."""
+    found = sorted(_WRITTEN)
+    for path in found:
+        _delete(spark, path)
+    return len(found)
+
+
+@atexit.register
+def _tidy_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _WRITTEN else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        tidy(spark)
 
 
 def join_counted(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ class Unified:
     profiles: DataFrame     # nested canonical profiles
     config: dict | None
     files: DataFrame | None = None
-    problems: DataFrame | None = None  # what could not be read, by file
+    problems: Callable[[], DataFrame] | None = None  # looks up what could not be read, by file
 
     @property
     def outputs(self) -> DataFrame:
@@ -49,7 +50,7 @@ class Unified:
             "enrichment_errors": E.enrichment_errors(self.records),
         }
         if self.files is not None:
-            out["files"] = IO.ingest_report(self.files, self.records, self.problems)
+            out["files"] = IO.ingest_report(self.files, self.records, self.problems() if self.problems else None)
         return out
 
     def close(self) -> None:
@@ -70,7 +71,7 @@ def unify(
     enrich_github: bool = True,
     enrich_linkedin: bool = True,
     files: DataFrame | None = None,
-    problems: DataFrame | None = None,
+    problems: Callable[[], DataFrame] | None = None,
     collation: str | None = None,
 ) -> Unified:
     """Enrich, resolve, fuse and project a table of source records."""
@@ -98,5 +99,6 @@ def unify_folder(
 ) -> Unified:
     """The same over a folder of source files. ``multi_line=False`` and ``json_lines=True`` let large files be split."""
     records = IO.read_folder(spark, path, multi_line, json_lines, as_of_year, country)
-    problems = IO.ingest_problems(spark, path, multi_line, json_lines)
+    # Looked for only where the report is asked for: it reads the files again.
+    problems = lambda: IO.ingest_problems(spark, path, multi_line, json_lines)
     return unify(records, config, files=IO.discover(spark, path), problems=problems, **options)

@@ -82,21 +82,20 @@ def read_json(
     large = not discover(spark, path).where((F.col("source_kind") == JSON) & (F.col("length") > split_bytes)).isEmpty()
     texts = _text_files(spark, path, glob, JSON, at_most=split_bytes if large else None, wholetext=True)
     if large:
-        texts = texts.select("value", "record_seq").unionByName(array_texts(spark, path, glob, split_bytes))
+        texts = texts.select("value", "record_seq").unionByName(array_texts(spark, path, glob, more_than=split_bytes))
     return R.json_records(texts, country=country)
 
 
-def array_texts(
-    spark: SparkSession, path: str, glob: str, more_than: int = -1, chunk: int = ARRAY_CHUNK, any_name: bool = False,
+def _array_parts(
+    spark: SparkSession, path: str, glob: str, more_than: int = -1, chunk: int | None = None, any_name: bool = False,
 ) -> DataFrame:
-    """(value, record_seq): large JSON files as texts of whole elements, each an array of about ``chunk`` bytes.
+    """(file, part, value, ends): large JSON files as texts of whole elements, each an array of about ``chunk`` bytes.
 
     Files are read as pieces that end in ``}``, by as many tasks as they have splits. A piece says by how much it
     changes the depth of brackets, for both cases that it begins inside a string or outside; sums over the
     pieces of a split and then over the splits of a file give the depth behind every piece. Behind a brace
-    that brings an array's depth back to 1 an element ends. A file that is no array is one text, and a
-    file of which any part does not parse, or that goes on behind its array, gives none. ``any_name`` also
-    takes files that are not named as JSON.
+    that brings an array's depth back to 1 an element ends. A file that is no array is one text; ``ends``
+    says that the part is the last of a whole array, or no array.
     """
     here = ["file", "block"]
     text = F.regexp_replace("value", r"(?s)\\.", "")
@@ -150,7 +149,7 @@ def array_texts(
     )
     # Where the last element before a split's first one ended.
     carried = placed.groupBy(*here).agg(F.max("cut").alias("cut")).select(*here, F.max("cut").over(earlier).alias("carried"))
-    part = F.floor(F.coalesce("last_cut", "carried", F.lit(0)) / chunk)
+    part = F.floor(F.coalesce("last_cut", "carried", F.lit(0)) / (chunk or ARRAY_CHUNK))
     texts = (
         placed.join(carried, here).withColumn("part", part)
         .groupBy("file", "part")
@@ -166,13 +165,22 @@ def array_texts(
     body = F.when(ends & body.endswith("]"), body.substr(F.lit(1), F.length(body) - 1)) \
         .when(ends, F.lit("no array")).otherwise(F.concat(body, F.lit("}")))
     whole = F.concat("text", F.when(F.col("file_size") - F.col("size") >= F.col("pieces"), "}").otherwise(""))
-    values = cut(texts.select(
+    return cut(texts.select(
         "file", "part", F.when(F.col("is_array"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(whole).alias("value"),
         (ends | ~F.col("is_array")).alias("ends")))
-    good = values.groupBy("file").agg(
+
+
+def array_texts(spark: SparkSession, path: str, glob: str, **how) -> DataFrame:
+    """(value, record_seq): large JSON files as texts of about a megabyte, see :func:`_array_parts`.
+
+    A file of which any part does not parse, or that goes on behind its array, gives none.
+    ``any_name`` also takes files that are not named as JSON.
+    """
+    parts = _array_parts(spark, path, glob, **how)
+    good = parts.groupBy("file").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.try_parse_json("value").isNotNull()).alias("parses"), F.bool_or("ends").alias("ends"),
     ).where("parses AND ends").select("file", "n")
-    return join_counted(values, good, ["file"]).select("value", R.seq(F.col("file"), F.col("part")).alias("record_seq"))
+    return join_counted(parts, good, ["file"]).select("value", R.seq(F.col("file"), F.col("part")).alias("record_seq"))
 
 
 def read_notes(spark: SparkSession, path: str, country: str = "US") -> DataFrame:
@@ -331,15 +339,32 @@ def read_folder(
     return union_sources(frames)
 
 
+def _list_of(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+
 def json_problems(texts: DataFrame) -> DataFrame:
-    """(file, place, problem, text): texts that are no JSON, and list elements that are no objects, with their 0-based place."""
-    parsed = texts.select(F.col("record_seq.origin").alias("file"), "value", F.try_parse_json("value").alias("v"))
+    """(file, place, problem, text): texts that are no JSON, and list elements that are no objects, with their 0-based place.
+
+    A column ``before`` may say how many elements of the file stand in earlier texts.
+    """
+    before = F.col("before") if "before" in texts.columns else F.lit(0)
+    parsed = texts.select(F.col("record_seq.origin").alias("file"), before.cast("long").alias("before"), "value", F.try_parse_json("value").alias("v"))
     whole = parsed.where(F.col("v").isNull()).select(
         "file", F.lit(None).cast("long").alias("place"), F.when(F.col("value").rlike(r"\S"), "no JSON").otherwise("empty text").alias("problem"), F.col("value").alias("text"))
-    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    items = parsed.where(F.col("v").isNotNull()).select("file", F.posexplode(listed).alias("place", "x"))
+    items = parsed.where(F.col("v").isNotNull()).select("file", "before", F.posexplode(_list_of(F.col("v"))).alias("i", "x"))
     odd = items.where(~F.coalesce(F.schema_of_variant("x"), F.lit("VOID")).startswith("OBJECT"))
-    return whole.unionByName(odd.select("file", F.col("place").cast("long").alias("place"), F.lit("no object").alias("problem"), F.to_json("x").alias("text")))
+    return whole.unionByName(odd.select("file", (F.col("before") + F.col("i")).alias("place"), F.lit("no object").alias("problem"), F.to_json("x").alias("text")))
+
+
+def _array_problems(parts: DataFrame) -> DataFrame:
+    """The same for the parts of large arrays, and arrays without an end."""
+    earlier = W.partitionBy("file").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = parts.select("file", "part", F.coalesce(F.size(_list_of(F.try_parse_json("value"))), F.lit(0)).alias("n"))
+    counted = sizes.select("file", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    texts = parts.join(counted, ["file", "part"]).select("value", "before", R.seq(F.col("file"), F.col("part")).alias("record_seq"))
+    last = parts.groupBy("file").agg(F.bool_or("ends").alias("ends"), F.max_by("value", "part").alias("text")).where("NOT ends")
+    return json_problems(texts).unionByName(last.select("file", F.lit(None).cast("long").alias("place"), F.lit("array without end").alias("problem"), "text"))
 
 
 def delimited_problems(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
@@ -368,7 +393,11 @@ def ingest_problems(spark: SparkSession, path: str, multi_line: bool = True, jso
     kinds = {r["source_kind"] for r in listed.where("length > 0").select("source_kind").distinct().collect()}
     found = empty
     if JSON in kinds:
-        found = found.unionByName(json_problems(_text_files(spark, path, "*.[jJ][sS][oO][nN]", JSON, wholetext=not json_lines)))
+        glob = "*.[jJ][sS][oO][nN]"
+        large = not json_lines and not listed.where((F.col("source_kind") == JSON) & (F.col("length") > SPLIT_BYTES)).isEmpty()
+        found = found.unionByName(json_problems(_text_files(spark, path, glob, JSON, SPLIT_BYTES if large else None, wholetext=not json_lines)))
+        if large:
+            found = found.unionByName(_array_problems(_array_parts(spark, path, glob, SPLIT_BYTES)))
     if DELIMITED in kinds:
         found = found.unionByName(delimited_problems(spark, path, multi_line))
     return found

@@ -165,3 +165,14 @@ def test_predicates(spark):
         link.signal_overlap(F.array(F.lit("x")), F.array(F.lit("x"), F.lit("y"))).alias("e"),
     ).first()
     assert tuple(row) == (True, False, True, False, True)
+
+
+def test_written_tables_go_when_asked(spark, tmp_path):
+    import pathlib
+
+    skew.tidy(spark)
+    folder = pathlib.Path(skew.shared_folder(spark).removeprefix("file:"))
+    rows = [("a", "Ann Lee", "Rome", "IT", []), ("b", "Lee Ann", "Rome", "IT", [])]
+    assert link.resolve(people(spark, rows)).count() == 2
+    assert list(folder.glob("kinweave-*"))
+    assert skew.tidy(spark) > 0 and not list(folder.glob("kinweave-*")) and skew.tidy(spark) == 0

@@ -305,3 +305,17 @@ def test_only_large_files_are_cut(spark, tmp_path):
     assert sorted(r["candidate_id"] for r in got.collect()) == sorted(["s", *[f"l{i}" for i in range(50)]])
     whole = IO.read_json(spark, str(tmp_path))
     assert _people_of(whole) == _people_of(got)
+
+
+def test_problems_of_large_arrays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(IO, "SPLIT_BYTES", 100)
+    monkeypatch.setattr(IO, "ARRAY_CHUNK", 50)
+    people = [{"id": f"p{i}"} for i in range(30)]
+    (tmp_path / "odd.json").write_text(json.dumps([*people, 7, *people, None, {"id": "z"}]))
+    (tmp_path / "short.json").write_text(json.dumps(people)[:-1])
+    (tmp_path / "bad.json").write_text(json.dumps(people)[:-1] + ', {bad}, {"id": "y"}]')
+    (tmp_path / "small.json").write_text("[1]")
+    got = sorted((r["file"].split("/")[-1], r["place"], r["problem"]) for r in IO.ingest_problems(spark, str(tmp_path)).collect())
+    assert got == [("bad.json", None, "no JSON"), ("odd.json", 30, "no object"), ("odd.json", 61, "no object"),
+                   ("short.json", None, "array without end"), ("small.json", 0, "no object")]
+    assert sorted(r["candidate_id"] for r in IO.read_json(spark, str(tmp_path), split_bytes=100).where("record_seq.origin LIKE '%odd%'").where("candidate_id <> ''").collect()) == sorted([*[f"p{i}" for i in range(30)] * 2, "z"])

@@ -3,7 +3,8 @@
 1. Statements are the lines of a file that hold one of the anchor words (every line of the
    whole text is looked at); a licence file's whole text is one more. Wrapped headers add
    passages: lines, sentences and paragraphs, each also up to any of its line ends, whatever
-   words they hold, as far as their words leave room for the threshold.
+   words they hold, as far as their words leave room for the threshold. Texts and paragraphs without
+   any of the terms that such a passage must have are passed over.
 2. Statements and templates become sparse vectors: term frequency times
    1 + ln((1 + N) / (1 + df)), with document frequencies over all statements of the corpus
    (passages are weighed by them and do not count in them).
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.llm.words import slices
@@ -104,7 +106,7 @@ class Room:
         self.clear()
 
     def clear(self) -> None:
-        self.seen, self.dots, self.square = {}, {}, 0.0
+        self.seen, self.dots, self.square, self.other = {}, {}, 0.0, 0
 
     def add(self, line: str) -> None:
         for term in TERM.findall(line.lower()):
@@ -113,6 +115,7 @@ class Room:
             w = self.idf.get(term)
             if w is None:
                 self.square += 2 * before + 1
+                self.other += 2 * before + 1
                 continue
             self.square += (2 * before + 1) * w * w
             for t, v in self.holders[term]:
@@ -121,23 +124,57 @@ class Room:
     def most(self) -> float:
         return max(self.dots.values()) / math.sqrt(self.square) if self.dots else 0.0
 
+    def least(self, heaviest: float) -> float:
+        """The smallest that the largest cosine can be, if a term that no template has weighs ``heaviest`` at most."""
+        more = self.other * (heaviest**2 - 1) if self.other else 0.0
+        return max(self.dots.values()) / math.sqrt(self.square + more) if self.dots else 0.0
 
-def passages_of(text: str, room: Room, threshold: float) -> list[tuple[int, str]]:
-    """(line, text) of the passages that may reach the threshold; a line without letters and digits ends a paragraph."""
+
+def markers(holders: dict[str, list[tuple[int, float]]], threshold: float) -> set[str]:
+    """Terms of which every passage that reaches the threshold has at least one.
+
+    The lightest terms of a template that together are shorter than the threshold are none: a passage
+    without any others has no larger product with the template than their length.
+    """
+    by_template: dict[int, list[tuple[float, str]]] = {}
+    for term, held in holders.items():
+        for template, v in held:
+            by_template.setdefault(template, []).append((v, term))
+    out: set[str] = set()
+    for weighed in by_template.values():
+        square = 0.0
+        for v, term in sorted(weighed):
+            square += v * v
+            if square >= (threshold - 1e-6) ** 2:
+                out.add(term)
+    return out
+
+
+def passages_of(text: str, room: Room, threshold: float, marked: re.Pattern | None = None, heaviest: float = math.inf) -> list[tuple[int, str]]:
+    """(line, text) of the passages that may reach the threshold; a line without letters and digits ends a paragraph.
+
+    Paragraphs without a match of ``marked`` are left out. A passage that goes on from its first line is
+    kept only if it can be closer to a template than all shorter ones from that line are for certain.
+    """
     out: dict[tuple[int, str], None] = {}
 
     def tried(pieces: list[tuple[int, str]]) -> None:
         room.clear()
+        sure = 0.0
         for i, (_, piece) in enumerate(pieces):
             room.add(piece)
-            if room.most() >= threshold - 1e-6:
+            most = room.most()
+            if most >= threshold - 1e-6 and most > sure + 1e-9:
                 out[pieces[0][0], " ".join(x for _, x in pieces[:i + 1])] = None
+                sure = max(sure, room.least(heaviest))
 
     paragraph: list[tuple[int, str]] = []
     for number, line in enumerate([*text.split("\n"), ""], 1):
         if TERM.search(line.lower()):
             paragraph.append((number, line))
             continue
+        if marked and paragraph and not any(marked.search(row.lower()) for _, row in paragraph):
+            paragraph = []
         sentence: list[tuple[int, str]] = []
         for at, row in paragraph:
             pieces = SENTENCE_END.split(row)
@@ -168,13 +205,19 @@ def passages(files: DataFrame, said: DataFrame, templates: DataFrame, threshold:
     for r in known.collect():
         idf[r.term] = r.idf
         holders.setdefault(r.term, []).append((r.template, r.v))
+    marks = sorted(markers(holders, threshold))
+    marked = re.compile("|".join(map(re.escape, marks))) if marks else None
+    heaviest = 1 + math.log(1 + said.select("path", "line").distinct().count())
     source = files.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = Room(idf, holders)
         for part in slices(batches, "text"):
+            # Most texts hold no marked term at all; the dotted capital I is the one letter beyond ASCII that gives an ASCII one.
+            if marked:
+                part = part.filter(pc.fill_null(pc.match_substring_regex(part.column(1), f"(?i){marked.pattern}|\u0130"), False))
             rows = [(path, line, n, text) for path, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if whole
-                    for n, (line, text) in enumerate(passages_of(whole, room, threshold), 1)]
+                    for n, (line, text) in enumerate(passages_of(whole, room, threshold, marked, heaviest), 1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], ["path", "line", "part", "text"])

@@ -219,3 +219,46 @@ are met:"""
     said = LS.statements(df).cache()
     got = {r.path: r.license for r in LS.scan(df, said, templates, more=LS.passages(df, said, templates).cache()).collect()}
     assert got == {"m.py": "MIT", "g.c": "GPL-3.0", "b.js": "BSD-3-Clause", "l.txt": "MIT", "no.txt": None, "n": None}
+
+
+def _room():
+    """Weights of three templates without any corpus."""
+    from math import sqrt
+
+    from kinweave.llm import license_scan as L
+
+    holders, idf = {}, {}
+    for number, text in enumerate(("Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "This is free software")):
+        found = L.TERM.findall(text.lower())
+        size = sqrt(sum(found.count(t) ** 2 for t in set(found)))
+        for t in set(found):
+            idf[t] = 1.0
+            holders.setdefault(t, []).append((number, found.count(t) / size))
+    return L.Room(idf, holders), holders
+
+
+def test_passages_of_a_repeated_line_do_not_grow_with_the_square():
+    from kinweave.llm import license_scan as L
+
+    room, _ = _room()
+    text = "Released under the MIT License.\n" * 2000
+    found = L.passages_of(text, room, 0.6, heaviest=8.0)
+    assert len(found) <= 2 * 2000 and sum(len(t) for _, t in found) < 4 * len(text)
+
+
+def test_marked_terms_lose_no_passage():
+    import random
+    import re
+
+    from kinweave.llm import license_scan as L
+
+    room, holders = _room()
+    for threshold in (0.5, 0.6, 0.8):
+        marks = L.markers(holders, threshold)
+        marked = re.compile("|".join(map(re.escape, sorted(marks))))
+        rng = random.Random(3)
+        words = [*holders, "of", "a", "house", "x.y", "under.the", "2.0.1"]
+        for _ in range(400):
+            text = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ". ", "\n\n"]) for _ in range(rng.randint(1, 40)))
+            assert L.passages_of(text, room, threshold, marked) == L.passages_of(text, room, threshold)
+        assert len(marks) < len(holders)

@@ -69,8 +69,26 @@ class Tiles:
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 2, int(edges[-1] * growth)))
         self.edges = np.array(edges)
-        self.spare = np.array([0 if e < 60 else 1 if e < 300 else 2 for e in edges[:-1]])
-        self.parts = np.array([self.differ(e - 1) + 1 for e in edges[1:]]) + self.spare
+        most = [self.differ(e - 1) + 1 for e in edges[1:]]
+        self.spare = np.array([self.empty(e, k) for e, k in zip(edges[:-1], most)])
+        self.parts = np.array(most) + self.spare
+
+    def empty(self, n: int, k: int) -> int:
+        """So many parts beyond ``k`` that a set of ``n`` or more hardly ever has more empty parts than these.
+
+        Empty parts may be left out as keys as long as there are not more of them, which keeps sets
+        apart that have nothing but empty parts in common.
+        """
+        if n < 60:
+            return 0
+        spare = 1
+        while spare < k:
+            expected = (k + spare) * (1 - 1 / (k + spare)) ** n
+            wanted = int(np.ceil(expected + 3 * expected**0.5))
+            if spare >= wanted:
+                return spare
+            spare = wanted
+        return 1  # so small that no number would do
 
     def reach(self, n: int) -> int:
         """The largest set that can link with one of size n."""
@@ -293,7 +311,7 @@ def _block_pairs(shared: DataFrame, classes: DataFrame, t: Fraction) -> DataFram
         behind = np.append(edge, len(rows))[np.searchsorted(edge, np.arange(len(rows)), side="right")]
         many = np.searchsorted(block, block, side="right") - behind
         ahead = np.cumsum(many)
-        begin, found = 0, [np.zeros((0, 2), np.int64)]
+        begin, found, waiting = 0, np.zeros(0, np.int64), []
         while begin < len(rows):
             past = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + CHUNK, side="right")))
             n = many[begin:past]
@@ -303,11 +321,15 @@ def _block_pairs(shared: DataFrame, classes: DataFrame, t: Fraction) -> DataFram
             fine = (np.minimum(size[x], size[y]) >= enough) & (~mixed[x] | (own[x] != own[y]))
             x, y, enough = x[fine], y[fine], enough[fine]
             fine = signs.overlap_bound(at[x], at[y]) >= enough
-            pair = np.stack([named[x[fine]], named[y[fine]]], axis=1)
-            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+            x, y = at[x[fine]].astype(np.int64), at[y[fine]]
+            waiting.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y)))
             begin = past
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+            # Keys with the same sets make the same pairs again and again: only distinct ones are held.
+            if begin == len(rows) or sum(map(len, waiting)) > 4 * CHUNK:
+                found, waiting = np.unique(np.concatenate([found, *waiting])), []
+        named = sets["named"].to_numpy()
+        a, b = named[found // max(len(sets), 1)], named[found % max(len(sets), 1)]
+        return pd.DataFrame({"a": a, "b": b})
 
     return placed.groupBy("bucket").cogroup(signed.groupBy("near")).applyInPandas(tile, "a long, b long").distinct()
 

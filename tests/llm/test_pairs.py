@@ -31,6 +31,16 @@ def brute(rows, n, t):
     return {i: find(i) for i, _ in sets}
 
 
+@pytest.mark.parametrize("t", ["0.85", "0.8"])
+@pytest.mark.parametrize("size", [70, 200, 1000, 3000, 8000])
+def test_unrelated_sets_hardly_share_keys(t, size):
+    """Parts that happen to be empty must not bring sets together."""
+    tiles, rng = J.Tiles(Fraction(t)), np.random.default_rng(size)
+    keys = [set(J.keys_of(np.unique(rng.integers(0, 1 << 64, size, np.uint64)), tiles).tolist()) for _ in range(120)]
+    shared = sum(len(a & b) for i, a in enumerate(keys) for b in keys[i + 1:])
+    assert shared <= 0.02 * len(keys) * (len(keys) - 1) / 2
+
+
 @pytest.mark.parametrize("t", ["0.85", "0.8", "0.5"])
 def test_linked_sets_always_share_a_key(t):
     """The pigeonhole promise, over all sizes from one element to thousands."""

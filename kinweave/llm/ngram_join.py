@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.words import Texts, mix, shingle_sets, slices
 from kinweave.operators.components import connected_components
-from kinweave.operators.skew import cut, cut_counted
+from kinweave.operators.skew import cut, cut_counted, drop_cut
 
 BLOCK = 2048
 BUCKET = 20_000
@@ -244,7 +244,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, t: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of classes whose sorted n-gram arrays reach the overlap.
+    """Pairs (a, b) of classes whose sorted n-gram arrays reach the overlap, as a written table.
 
     ``members`` names one document per class; only the texts of classes on a pair
     are read again.
@@ -275,7 +275,10 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, t: F
                 keep.append(common >= need(len(x), len(y), t))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "gramsa", "gramsb").mapInArrow(intersect, "a long, b long")
+    found = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "gramsa", "gramsb").mapInArrow(intersect, "a long, b long"))
+    drop_cut(grams)
+    drop_cut(chosen)
+    return found
 
 
 def _block_pairs(shared: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
@@ -354,6 +357,7 @@ def similar_components(
     )
     # Sets under a shared key: again through the shuffle, but only those that meet stay.
     shared = cut(keys.join(met.hint("shuffle_hash"), "key").distinct())
+    drop_cut(met)
     # The set that meets others most often under a key is the likely original of a group of near copies.
     weight = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degree = shared.join(weight, "key").groupBy("class").agg(F.sum(F.col("n") - 1).alias("degree"))
@@ -371,7 +375,7 @@ def similar_components(
         .select(F.least("a", "most.b").alias("x"), F.greatest("a", "most.b").alias("b")).withColumnRenamed("x", "a").distinct()
     )
     members = classes.select("class", "id")
-    links = cut(verified(cut(bounded(stars, classes, t)), docs, members, n, t, id_col, text_col))
+    links = verified(cut(bounded(stars, classes, t)), docs, members, n, t, id_col, text_col)
     roots = connected_components(links)
 
     labelled = shared.select("key", "class").join(roots.withColumnRenamed("id", "class"), "class", "left") \

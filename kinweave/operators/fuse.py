@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave import schema as S
 from kinweave.functions import standardize as N
-from kinweave.operators.skew import position_within
+from kinweave.operators.skew import cut, position_within
 
 ID = "candidate_id"
+# Values of a long list that are written as one text before the texts are joined.
+BLOCK_VALUES = 8192
 
 
 # -------------------------------------------------------------- weights ----
@@ -252,6 +254,12 @@ def _rounded(sql: str) -> str:
     return f"cast(round(coalesce({sql}, 0), 3) AS double)"
 
 
+# Mean of the field confidences above zero, in exact decimals.
+_PRESENT = "transform(filter(map_values(field_confidence), c -> c > 0), c -> cast(c AS decimal(10,3)))"
+_SUMMED = f"aggregate({_PRESENT}, cast(0 AS decimal(20,3)), (a, c) -> cast(a + c AS decimal(20,3)))"
+_OVERALL = _rounded(f"try_divide({_SUMMED}, size({_PRESENT}))")
+
+
 def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """One nested profile per row of :func:`gather`: values, provenance, confidences, conflicts.
 
@@ -295,10 +303,53 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
         f"{_map_of(confidence, 'double')} AS field_confidence",
         f"{_map_of(contested, CONFLICT)} AS conflicts",
     )
-    # Mean of the field confidences above zero, in exact decimals.
-    present = "transform(filter(map_values(field_confidence), c -> c > 0), c -> cast(c AS decimal(10,3)))"
-    summed = f"aggregate({present}, cast(0 AS decimal(20,3)), (a, c) -> cast(a + c AS decimal(20,3)))"
-    return out.selectExpr("*", f"{_rounded(f'try_divide({summed}, size({present}))')} AS overall_confidence")
+    return out.selectExpr("*", f"{_OVERALL} AS overall_confidence")
+
+
+# ------------------------------------------------- profile with long lists ----
+
+
+def list_texts(fact_rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """(candidate_id, field, n, total, text): a list as the members of its JSON text, in order.
+
+    Values become text in blocks of ``BLOCK_VALUES``, so what a row holds at once is its text and never an array of
+    all entries.
+    """
+    member = F.struct("position", "value")
+    written = F.to_json(F.transform(F.sort_array(F.collect_list(member)), lambda x: x["value"]))
+    structure = F.col("field").isin(*STRUCT_FIELDS)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(member)), lambda x: x["value"]), ",")
+    blocks = (
+        items(fact_rows, collation)
+        .groupBy(ID, "field", F.floor(F.col("position") / BLOCK_VALUES).alias("block"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("weight").cast(S.WEIGHT_SUM).alias("total"),
+            F.when(structure, joined).otherwise(F.substr(written, F.lit(2), F.length(written) - 2)).alias("text"),
+        )
+    )
+    texts = F.sort_array(F.collect_list(F.struct("block", "text")))
+    return blocks.groupBy(ID, "field").agg(
+        F.sum("n").alias("n"), F.sum("total").cast(S.WEIGHT_SUM).alias("total"),
+        F.array_join(F.transform(texts, lambda b: b["text"]), ",").alias("text"),
+    )
+
+
+def long_profiles(fact_rows: DataFrame, fields: tuple[str, ...] | None = None, collation: str | None = None) -> DataFrame:
+    """:func:`profiles` for lists of any length a text can hold: each list is (n, text) with its JSON text, without list provenance."""
+    wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
+    scalars = tuple(f for f in S.SCALAR_FIELDS if f in wanted)
+    lists = tuple(f for f in S.LIST_FIELDS if f in wanted)
+    kept = cut(fact_rows.where(F.col("field").isin(*wanted)))
+    heads = profiles(gather(kept.where(F.col("field").isin(*S.SCALAR_FIELDS)), collation), scalars)
+    of = lambda f: F.max(F.when(F.col("field") == f, F.struct("n", "total", "text"))).alias(f)
+    said = list_texts(kept.where(F.col("field").isin(*lists)), collation).groupBy(ID).agg(*[of(f) for f in lists])
+    confidence = [F.struct(F.lit(f).alias("key"), capped_mean(F.col(f"{f}.total"), F.col(f"{f}.n")).alias("value")) for f in lists]
+    shown = [F.struct(F.coalesce(f"{f}.n", F.lit(0)).alias("n"), F.concat(F.lit("["), F.coalesce(f"{f}.text", F.lit("")), F.lit("]")).alias("text")).alias(f) for f in lists]
+    out = heads.join(said, ID, "left").select(
+        *scalars, *shown, "scalar_provenance",
+        F.map_concat("field_confidence", F.map_from_entries(F.array(*confidence))).alias("field_confidence"), "conflicts",
+    )
+    return out.selectExpr("*", f"{_OVERALL} AS overall_confidence")
 
 
 def latest_meta(records: DataFrame) -> DataFrame:

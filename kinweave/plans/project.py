@@ -6,6 +6,7 @@ is one projection.
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
@@ -183,8 +184,11 @@ def quarantine(profiles: DataFrame, config: dict, country: str = "US") -> Quaran
         kept.where(~bad).select(*plain), kept.where(bad).select(F.col("_id").alias("candidate_id"), reasons.alias("errors")), dict(seen.get))
 
 
-def _document(out: DataFrame, cfg: dict, carried: tuple[str, ...]) -> Column:
-    """The JSON text of an output row: keys without a value are left out under ``omit``, ``conflicts`` always."""
+def _document(out: DataFrame, cfg: dict, carried: tuple[str, ...], texts: dict[str, Column] | None = None) -> Column:
+    """The JSON text of an output row: keys without a value are left out under ``omit``, ``conflicts`` always.
+
+    ``texts`` gives the JSON text of keys whose value is none of the row's own.
+    """
     declared = {f["key"] for f in declared_fields(cfg)}
     fields = [c for c in out.columns if c not in ("missing_keys", "_id", *carried) and (c != "candidate_id" or c in declared)]
     omit = (cfg.get("missing_policy") or "null") == "omit"
@@ -192,6 +196,8 @@ def _document(out: DataFrame, cfg: dict, carried: tuple[str, ...]) -> Column:
     def member(c: str) -> Column:
         text = F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"})
         pair = F.substr(text, F.lit(2), F.length(text) - 2)
+        if texts and c in texts:
+            pair = F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), texts[c])).otherwise(pair)
         leaves = omit if c in declared else c == "conflicts"
         return F.when(F.col(f"`{c}`").isNotNull(), pair) if leaves else pair
 
@@ -211,6 +217,25 @@ def documents(profiles: DataFrame, config: dict | None = None, country: str = "U
         "candidate_id", *keep, "output", (F.size("errors") == 0).alias("valid"), "errors")
 
 
+def long_documents(profiles: DataFrame, config: dict) -> DataFrame:
+    """(candidate_id, output, and the columns of the profile): documents of :func:`kinweave.operators.fuse.long_profiles`.
+
+    Lists go in as the texts they are, so only whole lists can be asked for, and no list provenance.
+    """
+    cfg = checked(config)
+    lists = {f["key"]: f.get("from") or f["key"] for f in declared_fields(cfg) if root_of(f.get("from") or f["key"]) in S.LIST_FIELDS}
+    whole = all(root in S.LIST_FIELDS for root in lists.values()) and not any(f.get("normalize") for f in declared_fields(cfg) if f["key"] in lists)
+    if not whole or cfg.get("include_provenance") is not False:
+        raise ValueError("documents of long lists hold whole lists as they are, without provenance")
+    # One value stands for a list that has any, which is all that a missing policy asks.
+    stands = {f: F.when(F.col(f"{f}.n") > 0, F.array(F.lit(""))).alias(f) for f in S.LIST_FIELDS if f in profiles.columns}
+    held = profiles.withColumn("_profile", F.struct(*profiles.columns)).select(
+        *[stands.get(c, F.col(c)) for c in profiles.columns], "_profile")
+    out = project(held, cfg, keep=("_profile",))
+    texts = {key: F.col(f"_profile.{root}.text") for key, root in lists.items()}
+    return out.select("_profile.*", _document(out, cfg, ("_profile",), texts).alias("output"))
+
+
 def results(profiles: DataFrame, config: dict | None = None, country: str = "US") -> DataFrame:
     """(candidate_id, canonical, output, validation): what the result sink writes per profile, fused once."""
     whole = profiles.withColumn("_canonical", F.struct(*profiles.columns))

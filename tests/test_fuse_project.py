@@ -226,3 +226,17 @@ def test_results_hold_profile_output_and_validation(spark):
     p = fuse.profiles(fuse.gather(fuse.facts(records(spark, ROHAN))))
     row = json.loads(P.results(p, C.SLIM).toJSON().first())
     assert row["canonical"]["candidate_id"] == "c14" and row["output"]["id"] == "c14" and row["validation"]["valid"]
+
+
+def test_long_lists_become_text_in_blocks(spark, monkeypatch):
+    """Documents of lists written in blocks are those of the profile in a row, without an array of all entries."""
+    monkeypatch.setattr(fuse, "BLOCK_VALUES", 2)
+    rows = [(i, "ats_json", f"c{i % 3}", None, f"A{i % 2}", None, [f'a"{i}\n@x.org'], ["Go"] if i % 3 else None) for i in range(20)]
+    facts = fuse.facts(records(spark, rows))
+    fields = [{"key": "id", "from": "candidate_id"}, {"key": "name", "from": "full_name"}, {"key": "mails", "from": "emails"}, {"key": "skills"}]
+    for policy in ("null", "omit"):
+        cfg = {"fields": fields, "missing_policy": policy, "include_provenance": False, "include_confidence": True}
+        want = {r["candidate_id"]: r["output"] for r in P.documents(fuse.profiles(fuse.gather(facts)), cfg).collect()}
+        got = P.long_documents(fuse.long_profiles(facts), cfg)
+        assert {r["candidate_id"]: r["output"] for r in got.collect()} == want
+        assert len(want) == 3

@@ -1,21 +1,28 @@
 """Terms of a lexicon table in texts: an index by first words instead of one pattern of all terms.
 
 A term is found where it stands between characters that are no letters, in any case, as by
-:func:`kinweave.functions.text.terms`. Every term is filed under its first two words, or its only
-one; every place of a text where a word begins asks for its own first one and two words, and takes
-along as many characters as the longest term has. An equi-join brings both together, and only then
-the characters are compared. So the work for a text does not grow with the lexicon.
+:func:`kinweave.functions.text.terms`. Terms that begin and end with a letter are looked up whole: a
+text asks once for each run of as many words as terms have, and an equi-join on that run is the answer.
+Every other term is filed under its first two words, or its only one; every place of a text where a
+word begins asks for its own first one and two words, and takes along as many characters as the longest
+of these terms has. An equi-join brings both together, and only then the characters are compared. So
+the work for a text does not grow with the lexicon, nor with the length of terms of few words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.operators.skew import cut_counted
+from kinweave.operators.skew import cut
 
 # Lexicons of up to so many terms are sent to every task; larger ones are joined by a shuffle.
 SENT_TERMS = 200_000
 ONE, TWO = "^[a-z]+", "^[a-z]+[^a-z]+[a-z]+"
+# Terms that begin and end with a letter, of up to so many words, are looked up as a whole.
+WHOLE_WORDS = 4
+WHOLE = rf"^[a-z]++([^a-z]++[a-z]++){{0,{WHOLE_WORDS - 1}}}\z"
 
 
 def _index(terms: DataFrame) -> DataFrame:
@@ -32,16 +39,45 @@ def _places(text: Column, longest: int, letters_only: bool) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower))
 
 
-def tag(texts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", term_col: str = "term") -> DataFrame:
-    """(id, term): each term of the lexicon that stands in the text, once. Null texts and blank terms hold nothing."""
-    index, n = cut_counted(_index(lexicon.select(F.col(term_col).alias("term"))))
-    shape = index.agg(F.max(F.length("low")).alias("longest"), F.bool_and(F.col("low").rlike(ONE)).alias("letters")).first()
-    if not n:
-        return texts.select(F.col(id_col), F.lit(None).cast("string").alias("term")).limit(0)
-    asked = texts.select(F.col(id_col), F.explode(_places(F.col(text_col), shape["longest"], shape["letters"])).alias("ahead"))
+def _runs(low: Column, words: int) -> Column:
+    """Each run of so many words in a lower-case text, from letter to letter, once."""
+    pattern = "(?<![a-z])(?=([a-z]++" + "[^a-z]++[a-z]++" * (words - 1) + "))"
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
+
+
+def _met(asked: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    return asked.join(F.broadcast(index) if n <= SENT_TERMS else index, "key")
+
+
+def _whole(texts: DataFrame, index: DataFrame, n: int, id_col: str, text_col: str, words: list[int]) -> DataFrame:
+    runs = [_runs(F.col("low"), w) for w in words]
+    asked = texts.select(id_col, F.lower(text_col).alias("low")).select(id_col, F.explode(F.concat(*runs)).alias("key"))
+    return _met(asked, index.select(F.col("low").alias("key"), "term"), n).select(id_col, "term")
+
+
+def _by_first_words(texts: DataFrame, index: DataFrame, n: int, id_col: str, text_col: str, longest: int, letters_only: bool) -> DataFrame:
+    asked = texts.select(F.col(id_col), F.explode(_places(F.col(text_col), longest, letters_only)).alias("ahead"))
     some = lambda pattern: F.nullif(F.regexp_extract("ahead", pattern, 0), F.lit(""))
     keys = F.array_compact(F.array(some(TWO), F.coalesce(some(ONE), F.substring("ahead", 1, 1))))
     asked = asked.select(id_col, "ahead", F.explode(keys).alias("key"))
     behind = F.substr("ahead", F.length("low") + 1, F.lit(1))
-    found = asked.join(F.broadcast(index) if n <= SENT_TERMS else index, "key").where(F.col("ahead").startswith(F.col("low")) & ~behind.rlike("[a-z]"))
-    return found.select(id_col, "term").distinct()
+    found = _met(asked, index.select("key", "term", "low"), n).where(F.col("ahead").startswith(F.col("low")) & ~behind.rlike("[a-z]"))
+    return found.select(id_col, "term")
+
+
+def tag(texts: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", term_col: str = "term") -> DataFrame:
+    """(id, term): each term of the lexicon that stands in the text, once. Null texts and blank terms hold nothing."""
+    count = F.size(F.split("low", "[^a-z]+"))
+    words = F.when(F.col("low").rlike(WHOLE), count).otherwise(0)
+    index = cut(_index(lexicon.select(F.col(term_col).alias("term"))).withColumn("words", words))
+    # One row for each number of words, none above WHOLE_WORDS.
+    shapes = {r["words"]: r for r in index.groupBy("words").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("low")).alias("longest"), F.bool_and(F.col("low").rlike(ONE)).alias("letters")).collect()}
+    parts = []
+    if whole := sorted(w for w in shapes if w):
+        parts.append(_whole(texts, index.where("words > 0"), sum(shapes[w]["n"] for w in whole), id_col, text_col, whole))
+    if rest := shapes.get(0):
+        parts.append(_by_first_words(texts, index.where("words = 0"), rest["n"], id_col, text_col, rest["longest"], rest["letters"]))
+    if not parts:
+        return texts.select(F.col(id_col), F.lit(None).cast("string").alias("term")).limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -58,3 +58,15 @@ def test_a_hundred_thousand_terms(spark):
 
 def test_empty_tables(spark):
     assert tagged(spark, [], ["a"]) == [] and tagged(spark, TEXTS, []) == [] and tagged(spark, TEXTS, [" "]) == []
+
+
+def test_terms_of_words_are_looked_up_whole(spark, monkeypatch):
+    """No place of a text takes along as many characters as the longest term of few words has."""
+    monkeypatch.setattr(L, "_places", lambda *a: pytest.fail("asked by place"))
+    terms = ["deep", "Deep learning", "a" * 3000, "go, go", "x y z w", "b"]
+    texts = [(1, "Deep  learning, deep\nlearning"), (2, "b " * 3000 + "A" * 3000), (3, "deep learning; GO, go go"), (4, "x y z w x"), (5, "xdeep learningx")]
+    assert tagged(spark, texts, terms) == brute(texts, terms)
+
+
+def test_terms_that_end_in_a_line_break(spark):
+    assert tagged(spark, [(1, "one\n two"), (2, "one two")], ["one\n", "one"]) == [(1, "one"), (1, "one\n"), (2, "one")]

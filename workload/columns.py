@@ -476,8 +476,10 @@ def tag_terms_table(spark, sf):
     """A lexicon that grows with the tables: a phrase and the last word of every document, and all part names."""
     docs, parts = table(spark, sf, "documents"), table(spark, sf, "part")
     said = lambda pattern, group: F.regexp_extract("text", pattern, group).alias("term")
+    # The last word is the first one of the text read backwards, found without trying every word.
+    last = F.reverse(F.regexp_extract(F.reverse("text"), "^[^A-Za-z]*+([A-Za-z]++)", 1))
     phrases = docs.select(F.trim(said("[A-Za-z]+(, |. | )[A-Za-z]+", 0)).alias("term")) \
-        .unionByName(docs.select(said("([A-Za-z]+)[^A-Za-z]*$", 1))).unionByName(parts.select(F.col("p_name").alias("term")))
+        .unionByName(docs.select(last.alias("term"))).unionByName(parts.select(F.col("p_name").alias("term")))
     return lexicon.tag(spread(docs.select("doc_id", "text")), phrases, id_col="doc_id")
 
 

@@ -238,8 +238,18 @@ def _rare_tokens(sets: DataFrame) -> DataFrame:
 
 
 def _similar(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared * DEN >= NUM * (F.size(a) + F.size(b) - shared)
+    # shared * DEN >= NUM * (a + b - shared), with the intersection taken once.
+    return F.size(F.array_intersect(a, b)) * (NUM + DEN) >= NUM * (F.size(a) + F.size(b))
+
+
+def _token_bits(tokens: str) -> Column:
+    """64 parities: each token flips one bit, so two sets differ in at least as many tokens as bits."""
+    return F.expr(f"aggregate({tokens}, 0L, (bits, t) -> bits ^ shiftleft(1L, cast(pmod(xxhash64(t), 64L) AS int)))")
+
+
+def _bits_allow(a: Column, b: Column, sizes: Column) -> Column:
+    """False only for sets that cannot be similar: those differ in at most ``sizes`` * (DEN - NUM) / (NUM + DEN) tokens."""
+    return F.bit_count(a.bitwiseXOR(b)) * (NUM + DEN) <= sizes * (DEN - NUM)
 
 
 def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
@@ -248,7 +258,7 @@ def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     Sets meet under a common rare token of a place. First all of a group are compared with its
     smallest set; those similar to it form its star. Then groups are dealt into blocks, and each
     two blocks are compared, but for pairs of one star, pairs of unlike sizes, and pairs whose order
-    leaves too few tokens behind the common one. Of the similar sets that a set has in one star a
+    leaves too few tokens behind the common one or whose parities differ in too many bits. Of the similar sets that a set has in one star a
     single edge is kept, summed up where the pairs are made, so there is no table of pairs.
     """
     on = ["place_kind", "place", "token"]
@@ -271,10 +281,11 @@ def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
     dealt = (
         met.drop("hub").join(star_of, "set_id", "left")
         .withColumn("star", F.coalesce("star", "set_id"))
+        .withColumn("bits", _token_bits("tokens"))
         .withColumn("block", F.pmod(F.xxhash64("set_id"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select(*on, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "block", "set_id", "star", "candidate_id", "tokens", size.alias("size"), "at")
+                "block", "set_id", "star", "candidate_id", "tokens", size.alias("size"), "at", "bits")
     )
     x, y = dealt.alias("x"), dealt.alias("y")
     both = lambda pick, c: pick(F.col(f"x.{c}"), F.col(f"y.{c}"))
@@ -284,6 +295,7 @@ def _prefix_edges(sets: DataFrame, max_tokens: int) -> DataFrame:
         & ((F.col("low") == F.col("high")) | (F.col("x.block") != F.col("y.block")))
         & (both(F.greatest, "size") > max_tokens) & (both(F.least, "size") * DEN >= both(F.greatest, "size") * NUM)
         & (behind * (NUM + DEN) >= NUM * (F.col("x.size") + F.col("y.size")))
+        & _bits_allow(F.col("x.bits"), F.col("y.bits"), F.col("x.size") + F.col("y.size"))
         & _similar(F.col("x.tokens"), F.col("y.tokens"))
     )
     across = pairs.groupBy(F.col("x.candidate_id").alias("a"), F.col("y.star").alias("star")).agg(F.min("y.candidate_id").alias("b"))

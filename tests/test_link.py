@@ -176,3 +176,18 @@ def test_written_tables_go_when_asked(spark, tmp_path):
     assert link.resolve(people(spark, rows)).count() == 2
     assert list(folder.glob("kinweave-*"))
     assert skew.tidy(spark) > 0 and not list(folder.glob("kinweave-*")) and skew.tidy(spark) == 0
+
+
+def test_parities_bound_the_tokens_that_differ(spark):
+    """Pairs are ruled out by their bits, never one that is similar."""
+    from kinweave.operators import link as L
+
+    base = [f"w{i}" for i in range(40)]
+    sets = [(i, base[i % 5: 40 - i % 4] + [f"own{i}_{j}" for j in range(i % 3)]) for i in range(60)] + [(60 + i, [f"z{i}_{j}" for j in range(37)]) for i in range(10)]
+    d = spark.createDataFrame(sets, "id int, tokens array<string>").withColumn("bits", L._token_bits("tokens"))
+    x, y = d.alias("x"), d.alias("y")
+    sizes = F.size("x.tokens") + F.size("y.tokens")
+    allowed, alike = L._bits_allow(F.col("x.bits"), F.col("y.bits"), sizes), L._similar(F.col("x.tokens"), F.col("y.tokens"))
+    n = x.join(y, F.col("x.id") < F.col("y.id")).agg(
+        F.count_if(alike).alias("alike"), F.count_if(alike & ~allowed).alias("lost"), F.count_if(~alike & ~allowed).alias("spared")).first()
+    assert n["alike"] > 100 and n["lost"] == 0 and n["spared"] > 500

@@ -114,7 +114,10 @@ def profile_search(profiles: DataFrame, query: str, config: dict | None = None,
     if outputs:
         held = P.documents(held, config, keep=("_row",))
     said = ["candidate_id", *(["output"] if outputs else []), F.to_json("_row")]
-    return held.where(F.lower(F.concat_ws(" ", *said)).contains(q)).select("_row.*")
+    text = F.lower(F.concat_ws(" ", *said))
+    # A filter on plain columns takes the making of the texts into its condition, where parts that occur
+    # twice are made twice; on a generated column it reads the finished text.
+    return held.select("_row", F.explode(F.array(text)).alias("_said")).where(F.col("_said").contains(q)).select("_row.*")
 
 
 def run_stats(records: DataFrame, rewrite: DataFrame, files: DataFrame | None = None) -> DataFrame:

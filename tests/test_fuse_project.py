@@ -240,3 +240,13 @@ def test_long_lists_become_text_in_blocks(spark, monkeypatch):
         got = P.long_documents(fuse.long_profiles(facts), cfg)
         assert {r["candidate_id"]: r["output"] for r in got.collect()} == want
         assert len(want) == 3
+
+
+def test_search_text_is_no_part_of_a_filter(spark):
+    """The filter of a search reads a finished text: inside a filter, parts that occur twice are made twice."""
+    p = fuse.profiles(fuse.gather(fuse.facts(records(spark, ROHAN))))
+    found = report.profile_search(p, "Mehta", C.HIRING, outputs=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert filters and not any("StructsToJson" in line for line in filters)
+    assert found.count() == 1 and report.profile_search(p, "nobody", C.HIRING, outputs=True).count() == 0

@@ -114,10 +114,12 @@ def facts(records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFram
         observations(records, fields)
         .groupBy(ID, "field", "key")
         .agg(
-            F.min_by("value", "seq").alias("value"),
+            # ``seq`` ends with the value itself, so the smallest one carries it.
+            F.min("seq").alias("first"),
             F.sum("w").cast(S.WEIGHT_SUM).alias("weight"),
             F.array_sort(F.collect_set("source")).alias("sources"),
         )
+        .select(ID, "field", "key", F.col("first.value").alias("value"), "weight", "sources")
     )
 
 

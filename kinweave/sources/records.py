@@ -120,19 +120,24 @@ def target_records(
 # ----------------------------------------------------------------- JSON ----
 
 
-def _text(v: Column, *paths: str) -> Column:
-    """First non-blank text among the paths of a variant."""
-    return F.coalesce(*[N.blank_to_null(F.try_variant_get(v, p, "string")) for p in paths])
+_ROLE = "struct<company:string,title:string,start_date:string,start:string,end_date:string,end:string,location:string>"
+_SCHOOL = "struct<institution:string,school:string,degree:string,field:string,graduation_date:string,end_date:string>"
+#: What is read of a person; values of another kind and absent ones are null.
+_PERSON = (
+    "struct<candidate_id:string,id:string,confidence:double,full_name:string,name:string,emails:array<string>,email:string,"
+    "phones:array<string>,phone:string,location:string,headline:string,title:string,years_experience:string,"
+    f"skills:array<string>,links:array<variant>,experience:array<{_ROLE}>,education:array<{_SCHOOL}>>"
+)
 
 
-def _items(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "array<variant>")
+def _text(v: Column, *names: str) -> Column:
+    """First non-blank text among the fields of a struct."""
+    return F.coalesce(*[F.when(v[n] != "", v[n]) for n in names])
 
 
 def _texts(v: Column, many: str, one: str) -> Column:
     """A text list under ``many``, else the single text under ``one``."""
-    listed = F.transform(_items(v, many), lambda x: F.try_variant_get(x, "$", "string"))
-    return F.coalesce(listed, one_or_none(_text(v, one)))
+    return F.coalesce(v[many], one_or_none(_text(v, one)))
 
 
 def json_records(
@@ -147,59 +152,58 @@ def json_records(
         F.try_parse_json(F.col(value)),
         lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
     )
+    # A person is cast as a whole: a path of a variant that leads nowhere costs an exception each time.
     each = df.select(F.col(record_seq).alias("_seq"), F.posexplode(people).alias("_i", "c")).where(
         F.col("c").isNotNull()
-    )
+    ).select("_seq", "_i", F.try_variant_get("c", "$", _PERSON).alias("c"))
     c = F.col("c")
 
     def role(e: Column) -> Column:
-        company, title = _text(e, "$.company"), _text(e, "$.title")
+        company, title = _text(e, "company"), _text(e, "title")
         return F.when(
             company.isNotNull() | title.isNotNull(),
             X.experience_struct(
-                company, title, N.month(_text(e, "$.start_date", "$.start")),
-                N.month(_text(e, "$.end_date", "$.end")), _text(e, "$.location"),
+                company, title, N.month(_text(e, "start_date", "start")),
+                N.month(_text(e, "end_date", "end")), _text(e, "location"),
             ),
         )
 
     def school(e: Column) -> Column:
-        place, degree = _text(e, "$.institution", "$.school"), _text(e, "$.degree")
+        place, degree = _text(e, "institution", "school"), _text(e, "degree")
         return F.when(
             place.isNotNull() | degree.isNotNull(),
             X.education_struct(
-                place, degree, _text(e, "$.field"), N.month(_text(e, "$.graduation_date", "$.end_date"))
+                place, degree, _text(e, "field"), N.month(_text(e, "graduation_date", "end_date"))
             ),
         )
 
     default = conf(S.SOURCE_TRUST["ats_json"][1])
-    given = F.try_variant_get(c, "$.confidence", "double")
+    given = c["confidence"]
     trusted = given.try_cast(S.CONFIDENCE)
     return S.conform(
         each.select(
             seq(F.col("_seq.origin"), F.col("_seq.block"), F.col("_seq.pos"), F.col("_i")).alias("record_seq"),
             F.lit("ats_json").alias("source"),
-            _text(c, "$.candidate_id", "$.id").alias("candidate_id"),
+            _text(c, "candidate_id", "id").alias("candidate_id"),
             F.coalesce(trusted, default).alias("confidence"),
             F.when(given.isNotNull() & trusted.isNull(), "confidence out of range").alias("error"),
-            N.name(_text(c, "$.full_name", "$.name")).alias("full_name"),
-            N.compact(F.transform(_texts(c, "$.emails", "$.email"), N.email)).alias("emails"),
-            N.compact(F.transform(_texts(c, "$.phones", "$.phone"), lambda p: N.phone(p, country))).alias("phones"),
-            N.location(_text(c, "$.location")).alias("location"),
-            _text(c, "$.headline", "$.title").alias("headline"),
-            N.number(F.try_variant_get(c, "$.years_experience", "string")).alias("years_experience"),
-            N.compact(
-                F.transform(_items(c, "$.skills"), lambda x: N.skill(F.try_variant_get(x, "$", "string")))
-            ).alias("skills"),
+            N.name(_text(c, "full_name", "name")).alias("full_name"),
+            N.compact(F.transform(_texts(c, "emails", "email"), N.email)).alias("emails"),
+            N.compact(F.transform(_texts(c, "phones", "phone"), lambda p: N.phone(p, country))).alias("phones"),
+            N.location(_text(c, "location")).alias("location"),
+            _text(c, "headline", "title").alias("headline"),
+            N.number(c["years_experience"]).alias("years_experience"),
+            N.compact(F.transform(c["skills"], lambda x: N.skill(x))).alias("skills"),
             N.compact(
                 F.transform(
-                    _items(c, "$.links"),
+                    c["links"],
                     lambda x: N.link(
-                        F.coalesce(F.try_variant_get(x, "$.url", "string"), F.try_variant_get(x, "$", "string"))
+                        F.coalesce(F.try_variant_get(x, "$", "struct<url:string>")["url"], F.try_variant_get(x, "$", "string"))
                     ),
                 )
             ).alias("links"),
-            N.compact(F.transform(_items(c, "$.experience"), role)).alias("experience"),
-            N.compact(F.transform(_items(c, "$.education"), school)).alias("education"),
+            N.compact(F.transform(c["experience"], role)).alias("experience"),
+            N.compact(F.transform(c["education"], school)).alias("education"),
         )
     )
 

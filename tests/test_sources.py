@@ -319,3 +319,21 @@ def test_problems_of_large_arrays(spark, tmp_path, monkeypatch):
     assert got == [("bad.json", None, "no JSON"), ("odd.json", 30, "no object"), ("odd.json", 61, "no object"),
                    ("short.json", None, "array without end"), ("small.json", 0, "no object")]
     assert sorted(r["candidate_id"] for r in IO.read_json(spark, str(tmp_path), split_bytes=100).where("record_seq.origin LIKE '%odd%'").where("candidate_id <> ''").collect()) == sorted([*[f"p{i}" for i in range(30)] * 2, "z"])
+
+
+def test_a_json_person_is_cast_once_and_not_path_by_path(spark):
+    texts = ['{"id": {"x": 1}, "emails": "a@b.co", "email": "C@d.co", "confidence": "abc", "skills": ["go", 1, null, ["c"]]}',
+             '[null, 5, {"links": ["github.com/x", {"url": null}, {"url": "x.com"}, 5], "experience": [{"title": "T", "end": "now"}, "x"]}]']
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, value string").selectExpr(
+        "struct('o' AS origin, 0L AS block, bigint(i) AS pos) AS record_seq", "value")
+    got = IO.R.json_records(d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Text to array, person, and two kinds of a link.
+    assert plan.count("variant_get(") <= 5
+    rows = {(r["record_seq"]["pos"], r["record_seq"]["item"]): r for r in got.collect()}
+    assert set(rows) == {(0, 0), (1, 0), (1, 1), (1, 2)}
+    first, last = rows[0, 0], rows[1, 2]
+    assert (first["candidate_id"], first["emails"], first["skills"]) == ('{"x":1}', ["c@d.co"], ["Go", "1", '["c"]'])
+    assert [x["url"] for x in last["links"]] == ["https://github.com/x", "https://x.com"]
+    assert [(e["title"], e["end_date"]) for e in last["experience"]] == [("T", "present")]
+    assert rows[1, 0]["candidate_id"] is None and rows[1, 1]["full_name"] is None

@@ -250,3 +250,10 @@ def test_search_text_is_no_part_of_a_filter(spark):
     filters = [line for line in plan.splitlines() if "Filter " in line]
     assert filters and not any("StructsToJson" in line for line in filters)
     assert found.count() == 1 and report.profile_search(p, "nobody", C.HIRING, outputs=True).count() == 0
+
+
+def test_provenance_of_scalars_and_lists_comes_from_one_fusion(spark):
+    from workload.output import project_provenance
+
+    plan = project_provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "c_custkey" in line for line in plan.splitlines()) == 1

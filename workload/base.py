@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinweave import schema as S
 from kinweave.functions import standardize as N
 from kinweave.operators import fuse
+from kinweave.plans.config import fields_needed
 from kinweave.sources.records import one_or_none, seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,14 +253,15 @@ conf AS (
   FROM ranked WHERE rn = 1)"""
 
 
-def fused(spark: SparkSession, sf: str) -> DataFrame:
+def fused(spark: SparkSession, sf: str, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Facts of ``rich_records`` by candidate id, without resolution."""
-    return fuse.facts(rich_records(spark, sf))
+    return fuse.facts(rich_records(spark, sf), fields)
 
 
-def canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested profiles of ``rich_records`` by candidate id."""
-    return fuse.profiles(fuse.gather(fused(spark, sf)))
+def canonical(spark: SparkSession, sf: str, config: dict | None = None) -> DataFrame:
+    """Nested profiles of ``rich_records`` by candidate id; with a configuration, of the fields that it reads."""
+    fields = fields_needed(config)
+    return fuse.profiles(fuse.gather(fused(spark, sf, fields)), fields)
 
 
 # ----------------------------------------------------------- components ----

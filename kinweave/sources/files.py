@@ -423,10 +423,13 @@ def ingest_report(files: DataFrame, records: DataFrame, problems: DataFrame | No
     return joined.select("file", "source_kind", F.coalesce("records", F.lit(0)).alias("records"), "source", note.alias("problem"), *more)
 
 
-def write_result(documents: DataFrame, stats: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+def write_result(
+    documents: DataFrame, stats: dict[str, DataFrame], path: str, mode: str = "errorifexists", ranged: bool = False,
+) -> None:
     """Result sink: ``profiles`` ordered by id as line-delimited JSON with the canonical profile, the output and its
-    validation as objects, and one small table per statistic."""
-    ordered = documents.repartitionByRange("candidate_id").sortWithinPartitions("candidate_id")
+    validation as objects, and one small table per statistic. ``ranged``: the partitions are ranges of ids already."""
+    dealt = documents if ranged else documents.repartitionByRange("candidate_id")
+    ordered = dealt.sortWithinPartitions("candidate_id")
     ordered.write.mode(mode).json(f"{path}/profiles", ignoreNullFields=False)
     for name, frame in stats.items():
         frame.write.mode(mode).json(f"{path}/stats/{name}")

@@ -337,3 +337,19 @@ def test_a_json_person_is_cast_once_and_not_path_by_path(spark):
     assert [x["url"] for x in last["links"]] == ["https://github.com/x", "https://x.com"]
     assert [(e["title"], e["end_date"]) for e in last["experience"]] == [("T", "present")]
     assert rows[1, 0]["candidate_id"] is None and rows[1, 1]["full_name"] is None
+
+
+def test_the_sink_takes_its_ranges_from_facts_and_makes_profiles_once(spark, tmp_path, monkeypatch):
+    from workload.base import rec_records
+
+    run = unify(rec_records(spark, "/root/testdata/sf0.001"), C.HIRING)
+    seen = {}
+    real = IO.write_result
+    monkeypatch.setattr(IO, "write_result", lambda documents, stats, *a, **k: (seen.update(k, documents=documents), real(documents, {}, *a, **k)))
+    run.write(str(tmp_path / "out"))
+    plan = seen["documents"]._jdf.queryExecution().optimizedPlan().toString()
+    assert seen["ranged"] and plan.index("Aggregate") < plan.index("RepartitionByExpression")
+    files = sorted((tmp_path / "out" / "profiles").glob("part-*"))
+    ids = [json.loads(line)["candidate_id"] for f in files for line in f.read_text().splitlines()]
+    assert ids == sorted(ids) and len(ids) == run.profiles.count()
+    run.close()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave import schema as S
 from kinweave.operators import enrich as E, fuse, link
@@ -42,7 +43,7 @@ class Unified:
         """The longer line of every profile, with the account that enrichment found last."""
         return report.profile_summary(self.profiles, meta=fuse.latest_meta(link.apply_rewrite(self.records, self.rewrite)))
 
-    @property
+    @cached_property
     def stats(self) -> dict[str, DataFrame]:
         out = {
             "totals": report.run_stats(self.records, self.rewrite, self.files),
@@ -104,7 +105,11 @@ def unify_folder(
     multi_line: bool = True, json_lines: bool = False, country: str = "US", **options,
 ) -> Unified:
     """The same over a folder of source files. ``multi_line=False`` and ``json_lines=True`` let large files be split."""
-    records = IO.read_folder(spark, path, multi_line, json_lines, as_of_year, country)
+    # To list a folder and to read the headers takes a task per directory or a pass over the lists: once for all readers.
+    listed = cut(IO.discover(spark, path))
+    has_lists = not listed.where(F.col("source_kind") == IO.DELIMITED).isEmpty()
+    headers = IO.read_headers(spark, path) if has_lists else None
+    records = IO.read_folder(spark, path, multi_line, json_lines, as_of_year, country, listed, headers)
     # Looked for only where the report is asked for: it reads the files again.
-    problems = lambda: IO.ingest_problems(spark, path, multi_line, json_lines)
-    return unify(records, config, files=IO.discover(spark, path), problems=problems, **options)
+    problems = lambda: IO.ingest_problems(spark, path, multi_line, json_lines, listed, headers)
+    return unify(records, config, files=listed, problems=problems, **options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -73,13 +74,16 @@ def _text_files(spark: SparkSession, path: str, glob: str, kind: str, at_most: i
 
 def read_json(
     spark: SparkSession, path: str, lines: bool = False, country: str = "US", split_bytes: int = SPLIT_BYTES,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """JSON people lists. Arrays in files of more than ``split_bytes`` are cut between their elements and read
-    by several tasks, with the records of the whole text. ``lines`` reads one person per line."""
+    by several tasks, with the records of the whole text. ``lines`` reads one person per line. ``listed`` is the
+    listing of :func:`discover`, where it was made before."""
     glob = "*.[jJ][sS][oO][nN]"
     if lines:
         return R.json_records(_text_files(spark, path, glob, JSON, wholetext=False), country=country)
-    large = not discover(spark, path).where((F.col("source_kind") == JSON) & (F.col("length") > split_bytes)).isEmpty()
+    listed = discover(spark, path) if listed is None else listed
+    large = not listed.where((F.col("source_kind") == JSON) & (F.col("length") > split_bytes)).isEmpty()
     texts = _text_files(spark, path, glob, JSON, at_most=split_bytes if large else None, wholetext=True)
     if large:
         texts = texts.select("value", "record_seq").unionByName(array_texts(spark, path, glob, more_than=split_bytes))
@@ -259,6 +263,18 @@ def _with_header(rows: DataFrame, headers: DataFrame, n: int) -> DataFrame:
     return join_counted(placed, headers, ["file"], count="bytes")
 
 
+class Headers(NamedTuple):
+    table: DataFrame  # header_table, written to the shared folder
+    files: int
+    width: int        # cells of the longest header
+
+
+def read_headers(spark: SparkSession, path: str | list[str]) -> Headers:
+    """The headers of all people lists; a listing of the folder and a pass over its lists, so made once for all their readers."""
+    table, n = cut_counted(header_table(spark, path))
+    return Headers(table, n, table.select(F.max("width")).first()[0] or 1)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -266,6 +282,7 @@ def read_delimited(
     as_of_year: int | None = None,
     country: str = "US",
     header: str | None = None,
+    headers: Headers | None = None,
 ) -> DataFrame:
     """People lists, each with the columns that its own header names, or all with those of ``header``.
 
@@ -273,16 +290,17 @@ def read_delimited(
     meet the places of their file's header in a table. Columns are told apart by position, so
     names may occur twice. ``multi_line=False`` splits large files; it needs files without line
     breaks inside quotes. Rows without id, name and email are named after their row number.
+    ``headers`` is what :func:`read_headers` gave, where it was called before.
     """
     if header is not None:
         written = tuple(next(csv.reader([header.removeprefix("\ufeff")], skipinitialspace=True), []))
         rows = _cell_rows(spark, path, len(written), multi_line)
         targets = R.alias_match(rows, keep=("record_seq",), header=written)
     else:
-        headers, n = cut_counted(header_table(spark, path))
-        width = headers.select(F.max("width")).first()[0] or 1
+        found = headers or read_headers(spark, path)
+        width = found.width
         rows = _cell_rows(spark, path, width, multi_line)
-        placed = _with_header(rows, headers.select("file", "places", "bytes"), n)
+        placed = _with_header(rows, found.table.select("file", "places", "bytes"), found.files)
         targets = R.placed_cells(placed, F.array(*[f"_c{i}" for i in range(width)]), keep=("record_seq",))
     return R.target_records(_numbered(rows, targets), row_number="_row_number", as_of_year=as_of_year, country=country)
 
@@ -320,14 +338,18 @@ def read_folder(
     json_lines: bool = False,
     as_of_year: int | None = None,
     country: str = "US",
+    listed: DataFrame | None = None,
+    headers: Headers | None = None,
 ) -> DataFrame:
-    """Records of every recognised file under a folder."""
-    kinds = {r["source_kind"] for r in discover(spark, path).select("source_kind").distinct().collect()}
+    """Records of every recognised file under a folder. ``listed`` and ``headers``: as :func:`discover` and
+    :func:`read_headers` gave them, where they were called before."""
+    listed = discover(spark, path) if listed is None else listed
+    kinds = {r["source_kind"] for r in listed.select("source_kind").distinct().collect()}
     frames = []
     if DELIMITED in kinds:
-        frames.append(read_delimited(spark, path, multi_line, as_of_year, country))
+        frames.append(read_delimited(spark, path, multi_line, as_of_year, country, headers=headers))
     if JSON in kinds:
-        frames.append(read_json(spark, path, json_lines, country))
+        frames.append(read_json(spark, path, json_lines, country, listed=listed))
     if NOTES in kinds:
         frames.append(read_notes(spark, path, country))
     if LABELLED in kinds:
@@ -367,27 +389,32 @@ def _array_problems(parts: DataFrame) -> DataFrame:
     return json_problems(texts).unionByName(last.select("file", F.lit(None).cast("long").alias("place"), F.lit("array without end").alias("problem"), "text"))
 
 
-def delimited_problems(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def delimited_problems(
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, headers: Headers | None = None,
+) -> DataFrame:
     """(file, place, problem, text): rows with more or fewer cells than their header, with their 1-based row number."""
-    headers, n = cut_counted(header_table(spark, path))
-    width = (headers.select(F.max("width")).first()[0] or 1) + 1  # wider than any header, so the text of odd rows is kept
+    found = headers or read_headers(spark, path)
+    width = found.width + 1  # wider than any header, so the text of odd rows is kept
     rows = _cell_rows(spark, path, width, multi_line, raw_text="_raw")
     bare = F.regexp_replace("_raw", '"(?:[^"]|"")*"', "")
     cells = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1, F.lit(width))
     # A row of exactly this width has no text of its own; its cells are quoted anew.
     cell = lambda c: F.when(c.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     text = F.coalesce("_raw", F.array_join(F.transform(F.array(*[F.col(f"_c{i}") for i in range(width)]), cell), ",", ""))
-    placed = _with_header(rows.withColumn("_cells", cells).withColumn("_text", text), headers.select("file", "width", "bytes"), n)
+    placed = _with_header(rows.withColumn("_cells", cells).withColumn("_text", text), found.table.select("file", "width", "bytes"), found.files)
     ragged = _with_row_number(rows, placed.where(F.col("_cells") != F.col("width")).select("file", "record_seq", "_cells", "_text", "width"))
     return ragged.select(
         "file", F.col("_row_number").alias("place"),
         F.format_string("%d cells under a header of %d", "_cells", "width").alias("problem"), F.col("_text").alias("text"))
 
 
-def ingest_problems(spark: SparkSession, path: str, multi_line: bool = True, json_lines: bool = False) -> DataFrame:
+def ingest_problems(
+    spark: SparkSession, path: str, multi_line: bool = True, json_lines: bool = False,
+    listed: DataFrame | None = None, headers: Headers | None = None,
+) -> DataFrame:
     """(file, place, problem, text): what could not be read in a folder, file by file: empty files, texts that are no
     JSON, list elements that are no objects, ragged rows. A file may have many rows; the text is kept whole."""
-    listed = discover(spark, path)
+    listed = discover(spark, path) if listed is None else listed
     empty = listed.where(F.col("source_kind").isNotNull() & (F.col("length") == 0)).select(
         "file", F.lit(None).cast("long").alias("place"), F.lit("empty file").alias("problem"), F.lit("").alias("text"))
     kinds = {r["source_kind"] for r in listed.where("length > 0").select("source_kind").distinct().collect()}
@@ -399,7 +426,7 @@ def ingest_problems(spark: SparkSession, path: str, multi_line: bool = True, jso
         if large:
             found = found.unionByName(_array_problems(_array_parts(spark, path, glob, SPLIT_BYTES)))
     if DELIMITED in kinds:
-        found = found.unionByName(delimited_problems(spark, path, multi_line))
+        found = found.unionByName(delimited_problems(spark, path, multi_line, headers))
     return found
 
 

@@ -353,3 +353,14 @@ def test_the_sink_takes_its_ranges_from_facts_and_makes_profiles_once(spark, tmp
     ids = [json.loads(line)["candidate_id"] for f in files for line in f.read_text().splitlines()]
     assert ids == sorted(ids) and len(ids) == run.profiles.count()
     run.close()
+
+
+def test_a_folder_is_listed_and_its_headers_read_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("id,name\nc1,Ann Lee\nc2\n")
+    calls = []
+    for name in ("discover", "header_table"):
+        real = getattr(IO, name)
+        monkeypatch.setattr(IO, name, lambda *a, real=real, name=name, **k: (calls.append(name), real(*a, **k))[1])
+    u = unify_folder(spark, str(tmp_path), C.DEFAULT, multi_line=False)
+    rep = [(r["records"], r["problem"]) for _ in range(2) for r in u.stats["files"].collect()]
+    assert rep == [(2, "1 cells under a header of 2")] * 2 and sorted(calls) == ["discover", "header_table"]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.operators.skew import shared_folder
+from kinweave.operators.skew import cut, shared_folder
 from kinweave.plans import config as C
 from kinweave.plans.unify import unify_folder
 from kinweave.sources import files as IO, records as R
@@ -16,7 +16,9 @@ from workload.base import query, table
 def folder_of(spark: SparkSession, lines: DataFrame, named: str | None = "csv") -> str:
     """Write (file, rank, line) as one text file for each ``file``, lines in the order of ``rank``."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    ordered = lines.repartition("file").sortWithinPartitions("file", "rank").select("file", "line")
+    # With their number given, the parts are not put together again: a task makes many files one after another.
+    parts = spark.sparkContext.defaultParallelism
+    ordered = lines.repartition(parts, "file").sortWithinPartitions("file", "rank").select("file", "line")
     if named == "csv":
         # One column whose separator and quote never occur is written as it stands.
         ordered.write.partitionBy("file").options(sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
@@ -146,7 +148,8 @@ def unify_everything(spark, sf):
         "'github' AS provider", "concat('u', user_id) AS handle", "if(user_id % 11 = 0, 500, 200) AS status", "n AS public_repos", "user_id AS followers")
     repos = e.selectExpr("concat('u', user_id) AS handle", "event_type AS language", "event_id % 9 = 0 AS fork")
     run = unify_folder(spark, path, C.SLIM, multi_line=False, json_lines=True, profile_snapshot=accounts, repo_snapshot=repos)
-    written = run.documents
+    # Read twice, for the profiles and for the verdicts.
+    written = cut(run.documents)
     doc = F.from_json("output", "name string, primary_email string, title string, top_skills array<string>")
     profiles = written.select(F.lit("profile").alias("kind"), F.col("candidate_id").alias("key"), doc.alias("d")).select(
         "kind", "key", F.concat_ws("/", "d.name", "d.primary_email", "d.title", F.array_join("d.top_skills", "|")).alias("value"))

@@ -198,31 +198,24 @@ def overall_confidence(confidences: DataFrame) -> DataFrame:
 _ENTRY = ["field", "neg", "text", "value", "key", "sources"]
 
 
-def _total_map(fields: tuple[str, ...]) -> str:
-    """field -> (n, total) of the entries in a row."""
-
-    def pair(f: str) -> str:
-        mine = f"filter(entries, e -> e.field = '{f}')"
-        zero = "cast(0 AS decimal(38,6))"
-        return (
-            f"'{f}', struct(cast(size({mine}) AS bigint) AS n, "
-            f"aggregate({mine}, {zero}, (a, e) -> cast(a - e.neg AS decimal(38,6))) AS total)"
-        )
-
-    return f"map({', '.join(pair(f) for f in fields)}) AS totals"
+# Entries lie in the order of their fields' names.
+_IN_ORDER = tuple(sorted((*S.SCALAR_FIELDS, *S.LIST_FIELDS)))
 
 
 def gather(fact_rows: DataFrame, collation: str | None = None) -> DataFrame:
-    """(candidate_id, entries, totals): the facts of a candidate in one row, in order of field, weight and text.
+    """(candidate_id, entries, counts): the facts of a candidate in one row, in order of field, weight and text.
 
-    A profile is one row and becomes one document, whatever the length of its lists; lists that no
+    ``counts`` has the number of entries of each field, so that a field is a slice of the entries and none is
+    searched for. A profile is one row and becomes one document, whatever the length of its lists; lists that no
     row could hold are in :func:`items`.
     """
+    field = F.col("field")
+    counts = [F.count_if(field == f).cast("int").alias(f"_n_{f}") for f in _IN_ORDER]
     return (
-        ordered_facts(fact_rows, collation)
+        ordered_facts(fact_rows.where(field.isin(*_IN_ORDER)), collation)
         .groupBy(ID)
-        .agg(F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("entries"))
-        .selectExpr("*", _total_map((*S.SCALAR_FIELDS, *S.LIST_FIELDS)))
+        .agg(F.sort_array(F.collect_list(F.struct(*_ENTRY))).alias("entries"), *counts)
+        .select(ID, "entries", F.struct(*[F.col(f"_n_{f}").alias(f) for f in _IN_ORDER]).alias("counts"))
     )
 
 
@@ -238,6 +231,12 @@ def _typed(field: str, text: str) -> str:
     return text
 
 
+def _whole_map(pairs: dict[str, str], kind: str) -> str:
+    """SQL of a map of pairs whose values are never null."""
+    inner = ", ".join(f"'{k}', {v}" for k, v in pairs.items())
+    return f"cast(map({inner}) AS map<string,{kind}>)"
+
+
 def _map_of(pairs: dict[str, str], kind: str) -> str:
     """SQL of a map holding the pairs whose value is not null."""
     each = ", ".join(f"struct('{k}' AS key, {v} AS value)" for k, v in pairs.items())
@@ -270,42 +269,40 @@ def profiles(gathered: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     wanted = fields or (*S.SCALAR_FIELDS, *S.LIST_FIELDS)
     scalars = [f for f in S.SCALAR_FIELDS if f in wanted]
     lists = [f for f in S.LIST_FIELDS if f in wanted]
+    before = lambda f: " + ".join(f"counts.{g}" for g in _IN_ORDER if g < f) or "0"
     split = gathered.selectExpr(
-        ID, "totals", *[f"filter(entries, e -> e.field = '{f}') AS _{f}" for f in (*scalars, *lists)]
+        ID, "counts", *[f"slice(entries, 1 + {before(f)}, counts.{f}) AS _{f}" for f in (*scalars, *lists)]
     )
-    # The winner is the first entry, everything else lost.
-    rest = "slice(_{0}, 2, greatest(size(_{0}), 1))"
-    alternate = "e -> struct(e.value AS value, e.sources AS sources, cast(round(-e.neg, 3) AS double) AS weight)"
-    parts = split.selectExpr(
-        "*",
-        *[f"try_element_at(_{f}, 1) AS _top_{f}" for f in scalars],
-        *[f"transform({rest.format(f)}, {alternate}) AS _lost_{f}" for f in scalars],
-    )
-    values = [
-        f if f == ID else f"{_typed(f, f'_top_{f}.value')} AS {f}" for f in scalars
-    ] + [f"transform(_{f}, e -> {_typed(f, 'e.value')}) AS {f}" for f in lists]
+    total = "aggregate(_{0}, cast(0 AS decimal(38,6)), (a, e) -> cast(a - e.neg AS decimal(38,6)))"
+    tops = split.selectExpr("*", *[f"get(_{f}, 0) AS _top_{f}" for f in scalars])
     confidence = {
-        f: _rounded(f"try_divide(-_top_{f}.neg, totals.{f}.total)") for f in scalars
+        f: _rounded(f"try_divide(-_top_{f}.neg, {total.format(f)})") for f in scalars
     } | {
-        f: f"least(1.0D, {_rounded(f'try_divide(totals.{f}.total, totals.{f}.n)')})" for f in lists
-    }
-    scalar_sources = {f: f"coalesce(_top_{f}.sources, {NO_TEXTS})" for f in scalars}
-    item_sources = {
-        f: f"map_from_entries(transform(_{f}, e -> struct(e.key AS key, e.sources AS value)))" for f in lists
+        f: f"least(1.0D, {_rounded(f'try_divide({total.format(f)}, cast(counts.{f} AS bigint))')})" for f in lists
     }
+    parts = tops.selectExpr("*", *[f"{c} AS _c_{f}" for f, c in confidence.items()])
+    values = [
+        f if f == ID else f"{_typed(f, f'_top_{f}.value')} AS {f}" for f in scalars
+    ] + [f"transform(_{f}, e -> {_typed(f, 'e.value')}) AS {f}" if f in STRUCT_FIELDS else f"_{f}.value AS {f}" for f in lists]
+    # The winner is the first entry, everything else lost.
+    alternate = "e -> struct(e.value AS value, e.sources AS sources, cast(round(-e.neg, 3) AS double) AS weight)"
     contested = {
-        f: f"CASE WHEN size(_lost_{f}) > 0 THEN struct(_top_{f}.value AS winner, "
-        f"coalesce(_top_{f}.sources, {NO_TEXTS}) AS winning_sources, _lost_{f} AS alternates) END"
+        f: f"CASE WHEN counts.{f} > 1 THEN struct(_top_{f}.value AS winner, "
+        f"coalesce(_top_{f}.sources, {NO_TEXTS}) AS winning_sources, "
+        f"transform(slice(_{f}, 2, greatest(counts.{f}, 1)), {alternate}) AS alternates) END"
         for f in scalars
     }
-    out = parts.selectExpr(
+    # Mean of the field confidences above zero, in exact decimals.
+    summed = " + ".join(f"cast(greatest(_c_{f}, 0D) AS decimal(10,3))" for f in confidence)
+    present = " + ".join(f"if(_c_{f} > 0, 1, 0)" for f in confidence)
+    return parts.selectExpr(
         *values,
-        f"{_map_of(scalar_sources, 'array<string>')} AS scalar_provenance",
-        f"{_map_of(item_sources, 'map<string,array<string>>')} AS list_provenance",
-        f"{_map_of(confidence, 'double')} AS field_confidence",
+        f"{_whole_map({f: f'coalesce(_top_{f}.sources, {NO_TEXTS})' for f in scalars}, 'array<string>')} AS scalar_provenance",
+        f"{_whole_map({f: f'map_from_arrays(_{f}.key, _{f}.sources)' for f in lists}, 'map<string,array<string>>')} AS list_provenance",
+        f"{_whole_map({f: f'_c_{f}' for f in confidence}, 'double')} AS field_confidence",
         f"{_map_of(contested, CONFLICT)} AS conflicts",
+        f"{_rounded(f'try_divide(cast({summed} AS decimal(20,3)), {present})')} AS overall_confidence",
     )
-    return out.selectExpr("*", f"{_OVERALL} AS overall_confidence")
 
 
 # ------------------------------------------------- profile with long lists ----

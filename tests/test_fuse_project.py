@@ -257,3 +257,16 @@ def test_provenance_of_scalars_and_lists_comes_from_one_fusion(spark):
 
     plan = project_provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "c_custkey" in line for line in plan.splitlines()) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_are_slices_of_the_entries(spark):
+    gathered = fuse.gather(fuse.facts(records(spark, ROHAN)))
+    row = gathered.first()
+    held = [e["field"] for e in row["entries"]]
+    assert {f: n for f, n in row["counts"].asDict().items() if n} == {f: held.count(f) for f in held} and held == sorted(held)
+    # No entry is searched for by the name of its field.
+    assert ".field = " not in _plan(fuse.profiles(gathered)) and "field = emails" not in _plan(fuse.profiles(gathered)).split("Aggregate")[0]

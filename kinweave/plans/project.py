@@ -116,8 +116,10 @@ def project(profiles: DataFrame, config: dict | None = None, country: str = "US"
             confidences.append(entry(key, F.try_element_at("field_confidence", F.lit(root)), shown))
 
     def as_map(entries: list[Column], kind: str) -> Column:
-        kept = F.filter(F.array(*entries), lambda e: e["value"].isNotNull()) if entries else F.array()
-        return F.map_from_entries(kept.cast(f"array<struct<key:string,value:{kind}>>"))
+        # Without a cast: it would write every map and list of the entries anew.
+        if not entries:
+            return F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{kind}>>"))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
     extra = []
     if with_prov:
@@ -193,15 +195,30 @@ def _document(out: DataFrame, cfg: dict, carried: tuple[str, ...], texts: dict[s
     fields = [c for c in out.columns if c not in ("missing_keys", "_id", *carried) and (c != "candidate_id" or c in declared)]
     omit = (cfg.get("missing_policy") or "null") == "omit"
 
+    def text_of(names: list[str]) -> Column:
+        return F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+
     def member(c: str) -> Column:
-        text = F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"})
-        pair = F.substr(text, F.lit(2), F.length(text) - 2)
+        # Bound once: inside a condition the optimizer does not share what is used twice.
+        pair = N.let(text_of([c]), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
         if texts and c in texts:
             pair = F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), texts[c])).otherwise(pair)
         leaves = omit if c in declared else c == "conflicts"
         return F.when(F.col(f"`{c}`").isNotNull(), pair) if leaves else pair
 
-    return F.concat(F.lit("{"), F.array_join(F.array(*[member(c) for c in fields]), ","), F.lit("}"))
+    if omit or texts:
+        return F.concat(F.lit("{"), F.array_join(F.array(*[member(c) for c in fields]), ","), F.lit("}"))
+    # No key leaves but the conflicts, which come last: the row is written as one object.
+    whole = [c for c in fields if c != "conflicts" or c in declared]
+    if not fields:
+        return F.lit("{}")
+    if whole == fields:
+        return text_of(fields)
+    if not whole:
+        return F.coalesce(F.when(F.col("conflicts").isNotNull(), text_of(fields)), F.lit("{}"))
+    return N.let(
+        F.array(text_of(whole), F.when(F.col("conflicts").isNotNull(), text_of(["conflicts"]))),
+        lambda t: F.when(t[1].isNull(), t[0]).otherwise(F.concat(F.substr(t[0], F.lit(1), F.length(t[0]) - 1), F.lit(","), F.substr(t[1], F.lit(2)))))
 
 
 def documents(profiles: DataFrame, config: dict | None = None, country: str = "US", keep: tuple[str, ...] = ()) -> DataFrame:

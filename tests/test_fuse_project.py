@@ -278,3 +278,14 @@ def test_confidence_query_makes_its_map_once(tmp_path):
 
     plan = _plan(E.queries()["project_confidence"](SparkSession.getActiveSession(), "/root/testdata/sf0.001"))
     assert not [line for line in plan.splitlines() if "Filter" in line and "map_from_entries" in line]
+
+
+@pytest.mark.parametrize("conflicts", [True, False])
+def test_documents_are_written_as_one_object(spark, conflicts):
+    p = fuse.profiles(fuse.gather(fuse.facts(records(spark, ROHAN if conflicts else ROHAN[:1]))))
+    text = P.documents(p, C.DEFAULT).first()["output"]
+    doc = json.loads(text)
+    row = P.project(p, C.DEFAULT).drop("missing_keys").first().asDict(recursive=True)
+    assert list(doc) == [k for k in row if k != "conflicts" or conflicts] and ("conflicts" in doc) == conflicts
+    assert {k: doc[k] for k in doc} == {k: row[k] for k in doc}
+    assert _plan(P.documents(p, C.DEFAULT)).count("to_json(") + _plan(P.documents(p, C.DEFAULT)).count("StructsToJson") < 12

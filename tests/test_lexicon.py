@@ -70,3 +70,37 @@ def test_terms_of_words_are_looked_up_whole(spark, monkeypatch):
 
 def test_terms_that_end_in_a_line_break(spark):
     assert tagged(spark, [(1, "one\n two"), (2, "one two")], ["one\n", "one"]) == [(1, "one"), (1, "one\n"), (2, "one")]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_found_terms_are_not_shuffled(spark):
+    """Rows that were found stay where they are, as no two texts share an id."""
+    texts = [(i, t) for i, (_, t) in enumerate(TEXTS)]
+    t = spark.createDataFrame(texts, "id long, text string")
+    lex = spark.createDataFrame([("SQL",), ("sql",), ("deep learning",), ("go",)], "term string")
+    assert shuffles(L.tag(t, lex)) == 0
+
+
+@pytest.mark.parametrize("sent", [3, 40, 400])
+def test_a_part_of_the_terms_is_sent(spark, monkeypatch, sent):
+    """Terms that are sent, terms that are not, ids that several texts share, and no id give what one look-up gives."""
+    monkeypatch.setattr(L, "SENT_TERMS", sent)
+    rnd = random.Random(sent)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 3))) for _ in range(120)]
+    term = lambda: rnd.choice([" ", ", ", "-"]).join(rnd.choice(words) for _ in range(rnd.choice([1, 1, 2, 2, 3, 6])))
+    terms = [rnd.choice([str, str.upper, str.title, lambda x: x + "+"])(term()) for _ in range(400)]
+    texts = [(rnd.choice([i, i, i, 7, None]), " ".join(term() for _ in range(30))) for i in range(60)]
+    found = L.tag(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in terms], "term string"))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    known = {(i, x) for i, t in texts for _, x in brute([(0, t)], terms)}
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(known, key=key)
+
+
+def test_only_marked_keys_are_asked_by_a_shuffle(spark):
+    index = spark.range(0, 3000).selectExpr("concat('term ', id) AS key")
+    asked = spark.range(0, 60_000).selectExpr("id", "concat('term ', id) AS key")
+    kept = {r["id"] for r in L._marked(asked, index, 3000).collect()}
+    assert kept >= set(range(3000)) and len(kept) < 6000
